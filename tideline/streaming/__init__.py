@@ -1,0 +1,3 @@
+"""No operator here is streaming-specific: the data this library serves arrives as whole
+tables. The row-wise operators (casts, text counts, clipping, batch scoring) take a
+streaming DataFrame unchanged, which the tests show for the text columns."""
