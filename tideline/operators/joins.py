@@ -27,15 +27,28 @@ def _refuse(bad: DataFrame, on: list[str], text: str) -> None:
         raise ValueError(f"{text}; sample: {[tuple(r) for r in sample]}")
 
 
+def key_census(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Per key its number of rows on each side. One shuffle of map-side combined counts
+    answers uniqueness and coverage together, whatever the skew of the keys."""
+    sides = left.select(*on, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*on, F.lit(0).alias("_l"), F.lit(1).alias("_r"))
+    )
+    return sides.groupBy(*on).agg(F.sum("_l").alias("n_left"), F.sum("_r").alias("n_right"))
+
+
 def require_unique(df: DataFrame, on: list[str], what: str) -> None:
-    _refuse(duplicate_keys(df, on), on, f"{what}: duplicate {on}")
+    _refuse(duplicate_keys(df, on), [*on, "n"], f"{what}: duplicate {on}")
+
+
+def _require(left: DataFrame, right: DataFrame, on: list[str], bad: str, text: str) -> None:
+    census = key_census(left, right, on).where(bad)
+    _refuse(census, [*on, "n_left", "n_right"], f"{text} (key, left rows, right rows)")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", check: bool = True) -> DataFrame:
     """Join on a key that is unique on both sides."""
     if check:
-        require_unique(left, on, "left side")
-        require_unique(right, on, "right side")
+        _require(left, right, on, "n_left > 1 or n_right > 1", f"duplicate {on}")
     return left.join(right, on, how)
 
 
@@ -49,8 +62,7 @@ def many_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
 def full_coverage(left: DataFrame, right: DataFrame, on: list[str], check: bool = True) -> DataFrame:
     """Inner join in which every left row must find its one right row."""
     if check:
-        require_unique(right, on, "right side")
-        _refuse(left.join(right.select(*on), on, "left_anti"), on, "no match")
+        _require(left, right, on, "n_right > 1 or (n_left > 0 and n_right = 0)", "no single match")
     return join_one_row_per_key(left, right, on, "inner")
 
 
@@ -67,19 +79,14 @@ def marker_rows(markers: DataFrame, rows: DataFrame, on: dict[str, str], check:
 
 def key_differences(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Keys on one side only: ``side`` is 'missing' (left only) or 'extra' (right only)."""
-    a = left.select(*on).distinct().withColumn("_in_left", F.lit(True))
-    b = right.select(*on).distinct().withColumn("_in_right", F.lit(True))
-    both = a.join(b, on, "full_outer")
-    side = F.when(F.col("_in_right").isNull(), "missing").when(F.col("_in_left").isNull(), "extra")
-    return both.select(*on, side.alias("side")).where("side is not null")
+    one_sided = key_census(left, right, on).where("n_left = 0 or n_right = 0")
+    return one_sided.select(*on, F.when(F.col("n_right") == 0, "missing").otherwise("extra").alias("side"))
 
 
 def aligned(left: DataFrame, right: DataFrame, on: list[str], check: bool = True) -> DataFrame:
     """One-to-one inner join in which both key sets must be equal."""
     if check:
-        require_unique(left, on, "left side")
-        require_unique(right, on, "right side")
-        _refuse(key_differences(left, right, on), [*on, "side"], "key sets differ")
+        _require(left, right, on, "n_left <> 1 or n_right <> 1", "key sets differ")
     return left.join(right, on, "inner")
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.joins import duplicate_keys, key_differences
+from tideline.operators.joins import key_census
 
 
 def score_batches(
@@ -33,7 +33,7 @@ def score_batches(
 
 def same_key_set(keys: DataFrame, stored: DataFrame, on: list[str]) -> bool:
     """True if the stored rows have exactly the wanted keys, each once."""
-    return not key_differences(keys, stored, on).limit(1).count() and not duplicate_keys(stored, on).limit(1).count()
+    return key_census(keys, stored, on).where("n_left <> 1 or n_right <> 1").isEmpty()
 
 
 def reuse_or_score(df: DataFrame, stored: DataFrame | None, on: list[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:

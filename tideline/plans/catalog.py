@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tideline.plans import ingest, relational  # noqa: F401
+from tideline.plans import history, ingest, relational  # noqa: F401
 from tideline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

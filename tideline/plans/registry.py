@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.plans.fixtures import Tables
+from tideline.plans.fixtures import TIE_SHIFT, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,7 +21,7 @@ def rounded(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(f.name)
+            c = (F.round(c.cast("double") + F.lit(TIE_SHIFT), 6) + F.lit(0.0)).alias(f.name)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.unix_micros(c.cast("timestamp")).alias(f.name)
         out.append(c)

@@ -293,8 +293,8 @@ def _(t: Tables):
     sql(
         "anchor_preds",
         f"""SELECT target, kind, {SUMMARY},
-            CASE WHEN kind <> 'resid' THEN round(avg(CASE WHEN x < lo THEN 1.0 ELSE 0.0 END), 6) END AS frac_below,
-            CASE WHEN kind <> 'resid' THEN round(avg(CASE WHEN x > hi THEN 1.0 ELSE 0.0 END), 6) END AS frac_above
+            CASE WHEN kind <> 'resid' THEN round(avg(CASE WHEN x < lo THEN 1.0 ELSE 0.0 END) + 1.3e-9, 6) END AS frac_below,
+            CASE WHEN kind <> 'resid' THEN round(avg(CASE WHEN x > hi THEN 1.0 ELSE 0.0 END) + 1.3e-9, 6) END AS frac_above
             FROM long_rows GROUP BY target, kind""",
         long_rows=" UNION ALL ".join(
             f"SELECT '{c}' AS target, '{k}' AS kind, {x} AS x, {lo} AS lo, {hi} AS hi FROM anchor_preds"
