@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.expressions import direction_accuracy, huber, mae, mse, pearson, safe_pearson
-from tideline.operators.joins import aligned
+from tideline.operators.joins import aligned, union_reports
 
 # fixed values: columns of the evaluation log, in order, and their types
 LOG_SCHEMA = (
@@ -130,8 +130,11 @@ def weighted_loss(
     return found.withColumn("loss", sum((F.lit(float(w)) * F.col(f"loss_{c}") for c, w in weights.items()), F.lit(0.0)))
 
 
+def union_columns(columns: list[str], *tables: DataFrame) -> DataFrame:
+    """Stack the given columns of several tables."""
+    return union_reports(*[t.select(*columns) for t in tables])
+
+
 def compare_models(tables: dict[str, DataFrame], keep: list[str]) -> DataFrame:
     """Metric rows of several models in one table."""
-    from tideline.operators.joins import union_reports
-
     return union_reports(*[t.select(F.lit(name).alias("model"), *keep) for name, t in tables.items()])
