@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.scale import attach, widen
+
 # fixed values: patterns of the text features and of the word tokenizer
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 SENTENCE_END = "[.!?]"
@@ -29,15 +31,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def word_terms(text: Column) -> Column:
+def word_terms(words: Column) -> Column:
     """Words and pairs of neighbouring words, repeats kept."""
-    w = words(text)
-    pairs = F.zip_with(
-        F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))),
-        F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.concat(w, pairs)
+    fewer = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, fewer), F.slice(words, 2, fewer), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, pairs)
+
+
+def with_terms(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the terms of a text. The words become a column first, so each text is scanned
+    once, and small inputs use all cores for it."""
+    split = widen(df).withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
+    return split.withColumn(name, word_terms(F.col("_words"))).drop("_words")
 
 
 def text_features(df: DataFrame, text: str = "text", flag: str | None = "flag", prefix: str = "") -> DataFrame:
@@ -69,19 +74,20 @@ def z_scores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     parts = []
     for c in columns:
         parts += [F.avg(c).alias("m_" + c), F.stddev_samp(c).alias("s_" + c)]
-    stats = df.agg(*parts).select(F.struct("*")).scalar()
-    return df.withColumns(
+    stats = F.col("_stats")
+    scored = attach(df, "_stats", df.agg(*parts)).withColumns(
         {
             name: F.coalesce(F.try_divide(F.col(c) - stats["m_" + c], stats["s_" + c]), F.lit(0.0))
             for c, name in columns.items()
         }
     )
+    return scored.drop("_stats")
 
 
 def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Long table (key, term, tf). The counts are combined on the map side, so a
     frequent term does not make a large task."""
-    terms = df.select(key, F.explode(word_terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    terms = with_terms(df.select(key, text), text, "_terms").select(key, F.explode("_terms").alias("term"))
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

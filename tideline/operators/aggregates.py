@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.expressions import is_finite
 from tideline.functions.quantiles import exact_quantiles
+from tideline.scale import attach
 
 # fixed values: quantiles of the value summary and of the short description
 SUMMARY_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -39,14 +40,16 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts in equal-width bins over [min, max]; the last bin is closed. Empty bins
     are listed with 0. The bin list is fixed and small; the rows are not moved."""
     x = F.col(column)
-    ends = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    lo, hi = ends["lo"], ends["hi"]
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
     # A constant column gets a bin of width 1 around its value.
-    start = F.when(lo == hi, lo - 0.5).otherwise(lo)
-    width = F.when(lo == hi, F.lit(1.0)).otherwise(hi - lo) / bins
+    start = F.when(lo == hi, lo - 0.5).otherwise(lo).alias("start")
+    width = (F.when(lo == hi, F.lit(1.0)).otherwise(hi - lo) / bins).alias("width")
+    grid, start, width = ends.select(start, width), F.col("_grid")["start"], F.col("_grid")["width"]
+    known = attach(df.where(x.isNotNull()).select(column), "_grid", grid)
     bin_of = F.least(F.floor((x - start) / width), F.lit(bins - 1)).cast("int")
-    counts = df.where(x.isNotNull()).groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    listed = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = known.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    listed = attach(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")), "_grid", grid)
     filled = listed.join(counts, "bin", "left")
     return filled.select(
         "bin", (start + F.col("bin") * width).alias("left_edge"), F.coalesce("n", F.lit(0)).alias("n")

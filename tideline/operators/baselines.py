@@ -16,6 +16,7 @@ from tideline.functions.expressions import is_finite
 from tideline.operators.anchors import latest_eligible
 from tideline.operators.joins import aligned, require_unique
 from tideline.roles import Roles
+from tideline.scale import attach
 
 MIN_FIT_ROWS = 50  # fixed value: rows a one-lag fit needs
 
@@ -26,8 +27,8 @@ def fit_mean(train: DataFrame, columns: list[str]) -> DataFrame:
 
 def predict_mean(df: DataFrame, means: DataFrame, columns: list[str]) -> DataFrame:
     """``<column>_pred``: the training mean."""
-    m = means.select(F.struct(*columns)).scalar()
-    return df.withColumns({c + "_pred": m[c] for c in columns})
+    known = attach(df, "_means", means.select(*columns))
+    return known.withColumns({c + "_pred": F.col("_means")[c] for c in columns}).drop("_means")
 
 
 def predict_zero(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -72,19 +73,21 @@ def fit_two_lags(train: DataFrame, roles: Roles) -> DataFrame:
     return train.agg(*parts).select(F.inline(F.array(*rows)))
 
 
-def _coefficients(model: DataFrame) -> Column:
-    """The whole coefficient table (one row per delta) as a map in a scalar subquery."""
+def _with_coefficients(df: DataFrame, model: DataFrame) -> tuple[DataFrame, Column]:
+    """Add the coefficient table (one row per delta) to every row, as a map."""
     values = F.struct(*[c for c in model.columns if c != "delta"])
-    return model.agg(F.map_from_entries(F.collect_list(F.struct("delta", values)))).scalar()
+    table = model.agg(F.map_from_entries(F.collect_list(F.struct("delta", values))).alias("by_delta"))
+    return attach(df, "_model", table), F.col("_model")["by_delta"]
 
 
 def predict_two_lags(df: DataFrame, model: DataFrame, roles: Roles, suffix: str = "_pred", fill: float = 0.0) -> DataFrame:
     """Apply ``fit_two_lags``; unknown lags count as ``fill``. Expects ``<delta>_prev``."""
-    k = _coefficients(model)
+    df, k = _with_coefficients(df, model)
     p, q = (F.coalesce(F.col(d + "_prev"), F.lit(fill)) for d in roles.deltas)
-    return df.withColumns(
+    done = df.withColumns(
         {d + suffix: k[d]["intercept"] + k[d]["coef_1"] * p + k[d]["coef_2"] * q for d in roles.deltas}
     )
+    return done.drop("_model")
 
 
 def fit_one_lag(train: DataFrame, roles: Roles, min_rows: int = MIN_FIT_ROWS) -> DataFrame:
@@ -105,13 +108,14 @@ def fit_one_lag(train: DataFrame, roles: Roles, min_rows: int = MIN_FIT_ROWS) ->
 
 
 def predict_one_lag(df: DataFrame, model: DataFrame, roles: Roles) -> DataFrame:
-    k = _coefficients(model)
-    return df.withColumns(
+    df, k = _with_coefficients(df, model)
+    done = df.withColumns(
         {
             d + "_pred": k[d]["intercept"] + k[d]["coef"] * F.coalesce(F.col(d + "_lag"), F.lit(0.0))
             for d in roles.deltas
         }
     )
+    return done.drop("_model")
 
 
 def anchor_predictions(rows: DataFrame, roles: Roles) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.text import idf, term_counts, top_terms, word_terms
+from tideline.functions.text import idf, term_counts, top_terms, with_terms
+from tideline.operators.baselines import fit_mean, predict_mean
 from tideline.operators.metrics import regression_errors
 
 # fixed values: penalty of the ridge, vocabulary size, number of trees
@@ -44,8 +45,8 @@ def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float
             elasticNetParam=0.0,
             standardization=False,
             solver="l-bfgs" if wide else "normal",
-            maxIter=500,
-            tol=1e-10,
+            maxIter=300,
+            tol=1e-7,
         ).fit(train)
     return models
 
@@ -89,14 +90,13 @@ class TfIdf:
         return self
 
     def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        rows = df.withColumn("_terms", word_terms(F.coalesce(F.col(text), F.lit(""))))
+        rows = with_terms(df, text, "_terms")
         rows = reduce(lambda d, s: s.transform(d), self.stages, rows)
         return rows.drop("_terms", "_counts", "_weighted")
 
 
 def fit_predict_mean(train: DataFrame, test: DataFrame, targets: list[str]) -> DataFrame:
-    means = train.agg(F.struct(*[F.avg(t).alias(t) for t in targets])).scalar()
-    return test.withColumns({t + "_pred": means[t] for t in targets})
+    return predict_mean(test, fit_mean(train, targets), targets)
 
 
 def fit_predict_ridge(features: list[str] | str):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.expressions import slope
 from tideline.operators.joins import pair_means
 from tideline.roles import Roles
+from tideline.scale import attach
 
 # fixed values: order of the numeric profile columns for targets v and a
 PROFILE_COLUMNS = [
@@ -111,7 +112,9 @@ def fit_norm_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def apply_norm_stats(df: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
-    """Standardise columns with stored statistics, read as one scalar subquery."""
+    """Standardise columns with stored statistics (one row per column)."""
     pairs = F.map_from_entries(F.collect_list(F.struct("name", F.struct("mean", "std"))))
-    found = stats.where(F.col("name").isin(*columns)).agg(pairs.alias("m")).scalar()
-    return df.withColumns({c: (F.col(c) - found[c]["mean"]) / found[c]["std"] for c in columns})
+    known = attach(df, "_stats", stats.where(F.col("name").isin(*columns)).agg(pairs.alias("by_name")))
+    found = F.col("_stats")["by_name"]
+    done = known.withColumns({c: (F.col(c) - found[c]["mean"]) / found[c]["std"] for c in columns})
+    return done.drop("_stats")

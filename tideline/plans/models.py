@@ -68,7 +68,7 @@ def forecast(t: Tables):
 
 @query(
     "one_lag_fit",
-    sql("timeline user_split", f"SELECT 'dv' AS delta, {r6('iv', 'intercept')}, {r6('bv', 'coef')}, (SELECT regr_count(dv, dv_lag) FROM lags JOIN user_split USING (user_id) WHERE part = 'train') AS fit_rows FROM one_lag UNION ALL SELECT 'da', {r6('ia')}, {r6('ba')}, (SELECT regr_count(da, da_lag) FROM lags JOIN user_split USING (user_id) WHERE part = 'train') FROM one_lag".replace(" AS ia", "").replace(" AS ba,", ","),
+    sql("timeline user_split", f"SELECT 'dv' AS delta, {r6('iv', 'intercept')}, {r6('bv', 'coef')}, (SELECT CAST(regr_count(dv, dv_lag) AS BIGINT) FROM lags JOIN user_split USING (user_id) WHERE part = 'train') AS fit_rows FROM one_lag UNION ALL SELECT 'da', {r6('ia')}, {r6('ba')}, (SELECT CAST(regr_count(da, da_lag) AS BIGINT) FROM lags JOIN user_split USING (user_id) WHERE part = 'train') FROM one_lag".replace(" AS ia", "").replace(" AS ba,", ","),
         lags=LAGS, one_lag=ONE_LAG),
 )
 def _(t: Tables):
@@ -294,7 +294,7 @@ def steps(t: Tables, **options):
     "step_dataset",
     sql(
         "history two_lag_model user_split",
-        f"""SELECT user_id, event_id, part, CAST(least(i, 5) AS INTEGER) AS seq_len, {r6s('dv da')}, round(dv - dv_base, 3) + 0.0 AS dv_resid,
+        f"""SELECT user_id, event_id, part, CAST(least(i, 5) AS INTEGER) AS seq_len, {r6s('dv da')}, {r6('dv - CAST(dv_base AS FLOAT)', 'dv_resid')},
             {r6('(history_len - m) / s', 'history_len')} FROM
             (SELECT h.*, part, m.intercept + m.coef_1 * coalesce(dv_prev, 0) + m.coef_2 * coalesce(da_prev, 0) AS dv_base,
              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i
@@ -305,7 +305,7 @@ def steps(t: Tables, **options):
 )
 def _(t: Tables):
     done = steps(t)
-    return done.select("user_id", "event_id", "part", "seq_len", "dv", "da", F.round("dv_resid", 3).alias("dv_resid"), "history_len")
+    return done.select("user_id", "event_id", "part", "seq_len", "dv", "da", "dv_resid", "history_len")
 
 
 @query(

@@ -513,7 +513,7 @@ def _(t: Tables):
 
 @query(
     "least_squares_moments",
-    sql("lagged", f"SELECT delta, {r6s('intercept coef')}, fit_rows FROM (SELECT 'dv' AS delta, regr_intercept(dv, dv_lag) AS intercept, regr_slope(dv, dv_lag) AS coef, regr_count(dv, dv_lag) AS fit_rows FROM lags UNION ALL SELECT 'da', regr_intercept(da, da_lag), regr_slope(da, da_lag), regr_count(da, da_lag) FROM lags)",
+    sql("lagged", f"SELECT delta, {r6s('intercept coef')}, fit_rows FROM (SELECT 'dv' AS delta, regr_intercept(dv, dv_lag) AS intercept, regr_slope(dv, dv_lag) AS coef, CAST(regr_count(dv, dv_lag) AS BIGINT) AS fit_rows FROM lags UNION ALL SELECT 'da', regr_intercept(da, da_lag), regr_slope(da, da_lag), CAST(regr_count(da, da_lag) AS BIGINT) FROM lags)",
         lags="SELECT *, lag(dv) OVER w AS dv_lag, lag(da) OVER w AS da_lag FROM timeline WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"),
 )
 def _(t: Tables):

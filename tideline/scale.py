@@ -121,6 +121,27 @@ def spread(df: DataFrame, entity: list[str], order: list[str]) -> tuple[DataFram
     return pin(ranged.withColumn(CHUNK, F.spark_partition_id())), True
 
 
+def attach(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
+    """Add the struct of a one-row table to every row, as a scalar subquery.
+
+    It becomes a column of its own: if every use named the subquery anew, the optimizer
+    would work through a copy of its whole plan per use.
+    """
+    return df.withColumn(name, one_row.select(F.struct(*one_row.columns)).scalar())
+
+
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores, before work
+    that is heavy per row. Tables of ordinary size have more and stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    setting_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    per_partition = int(setting_bytes[:-1]) if setting_bytes.endswith("b") else 128 * 1024 * 1024
+    if estimated_bytes(df) >= cores * per_partition:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def same_key(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
     """Null-safe equality of ``keys`` with the prefixed columns of ``right``."""
     condition = F.lit(True)
