@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tideline.scale import attach, widen
 
 # fixed values: patterns of the text features and of the word tokenizer
-SPACE = r"(?U)[\s\x1c-\x1f]+"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 SENTENCE_END = "[.!?]"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def token_count(text: Column) -> Column:
     """Number of tokens between white space; 0 for blank text."""
-    return F.size(F.filter(F.split(text, SPACE), lambda t: t != "")).cast("int")
+    return F.size(F.array_remove(F.split(text, SPACE), "")).cast("int")
 
 
 def character_count(text: Column) -> Column:
@@ -50,7 +50,7 @@ def text_features(df: DataFrame, text: str = "text", flag: str | None = "flag",
     z-scores (sample deviation, 0 if undefined) of tokens and characters."""
     t = F.coalesce(F.col(text), F.lit(""))
     flagged = F.col(flag).cast("tinyint") if flag in df.columns else F.lit(None).cast("tinyint")
-    counted = df.withColumns(
+    counted = widen(df).withColumns(
         {
             prefix + "n_tokens": token_count(t),
             prefix + "n_chars": character_count(t),
@@ -87,7 +87,10 @@ def z_scores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Long table (key, term, tf). The counts are combined on the map side, so a
     frequent term does not make a large task."""
-    terms = with_terms(df.select(key, text), text, "_terms").select(key, F.explode("_terms").alias("term"))
+    # An inner explode would make Spark test the size of the terms below the shuffle,
+    # which scans every text once more.
+    terms = with_terms(df.select(key, text), text, "_terms").select(key, F.explode_outer("_terms").alias("term"))
+    terms = terms.where(F.col("term").isNotNull())
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

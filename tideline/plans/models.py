@@ -11,6 +11,7 @@ from tideline.plans.fixtures import EVENTS, OK, Tables, r6, r6s, sql
 from tideline.plans.history import MOMENTUM
 from tideline.plans.ingest import TOKENS
 from tideline.plans.registry import query
+from tideline.scale import pin
 
 RESULTS = ["user_id", "event_id", "dv_pred", "da_pred"]
 TRAIN_MEANS = """SELECT avg(v) AS mv, avg(a) AS ma FROM entries JOIN user_split USING (user_id) WHERE part = 'train'"""
@@ -234,7 +235,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return baselines.blend(t.anchor_preds, forecast(t), {"dv_pred": 0.25, "da_pred": 0.5}, "user_id")
+    return baselines.blend(t.stored_preds, pin(forecast(t)), {"dv_pred": 0.25, "da_pred": 0.5}, "user_id")
 
 
 @query(
@@ -260,7 +261,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return baselines.submission(
-        t.anchor_preds, ["user_id"], {"dv_pred": "pred_dv", "da_pred": "pred_da"}, expected=t.raw("events").select("user_id")
+        t.stored_preds, ["user_id"], {"dv_pred": "pred_dv", "da_pred": "pred_da"}, expected=t.raw("events").select("user_id")
     )
 
 

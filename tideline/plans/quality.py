@@ -45,7 +45,7 @@ def damaged(t: Tables):
         .otherwise(p)
     )
     moved = F.when(u % 50 == 7, F.col("anchor_id") + 1).otherwise(F.col("anchor_id"))
-    return t.anchor_preds.where(u % 30 != 4).withColumns({"anchor_id": moved, "dv_pred": broken})
+    return t.stored_preds.where(u % 30 != 4).withColumns({"anchor_id": moved, "dv_pred": broken})
 
 
 def repeated(t: Tables):
@@ -270,7 +270,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return audits.degenerate_predictions(t.anchor_preds.withColumn("flat", F.lit(0.5)), ["dv_pred", "flat"])
+    return audits.degenerate_predictions(t.stored_preds.withColumn("flat", F.lit(0.5)), ["dv_pred", "flat"])
 
 
 @query(

@@ -76,7 +76,7 @@ def _(t: Tables):
     sql("anchor_preds", f"SELECT user_id, {r6('dv_pred')}, anchor_id FROM anchor_preds"),
 )
 def _(t: Tables):
-    p = t.anchor_preds
+    p = t.stored_preds
     return joins.aligned(p.select("user_id", "dv_pred"), p.select("user_id", "anchor_id"), ["user_id"])
 
 
@@ -305,7 +305,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return aggregates.prediction_summary(
-        t.anchor_preds,
+        t.stored_preds,
         {"dv": "dv_pred", "da": "da_pred"},
         {"dv": "dv_true", "da": "da_true"},
         {"dv": (-40, 40), "da": (-2, 2)},

@@ -27,8 +27,10 @@ def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; starts no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of a plan's inputs by file statistics; starts no job and no optimizer run.
+    Inputs of unknown size (e.g. pinned ones) count as very large."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length()))
 
 
 def fits_one_task(df: DataFrame) -> bool:

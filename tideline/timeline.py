@@ -46,7 +46,8 @@ class Lag:
     value: Column
 
     def local(self, tl: Timeline) -> Column:
-        return F.lag(F.struct(self.value.alias("x")), 1).over(tl.window)
+        value = F.struct(self.value.alias("x")) if tl.chunked else self.value
+        return F.lag(value, 1).over(tl.window)
 
     def summary(self, tl: Timeline) -> Column:
         return F.max_by(F.struct(self.value.alias("x")), tl.order_value)
@@ -55,7 +56,7 @@ class Lag:
         return F.lag(summary, 1).over(chunks)
 
     def merge(self, local: Column, carry: Column | None) -> Column:
-        return (local if carry is None else F.coalesce(local, carry))["x"]
+        return local if carry is None else F.coalesce(local, carry)["x"]
 
 
 @dataclass(frozen=True)
@@ -65,7 +66,8 @@ class Next:
     value: Column
 
     def local(self, tl: Timeline) -> Column:
-        return F.lead(F.struct(self.value.alias("x")), 1).over(tl.window)
+        value = F.struct(self.value.alias("x")) if tl.chunked else self.value
+        return F.lead(value, 1).over(tl.window)
 
     def summary(self, tl: Timeline) -> Column:
         return F.min_by(F.struct(self.value.alias("x")), tl.order_value)
@@ -74,7 +76,7 @@ class Next:
         return F.lead(summary, 1).over(chunks)
 
     def merge(self, local: Column, carry: Column | None) -> Column:
-        return (local if carry is None else F.coalesce(local, carry))["x"]
+        return local if carry is None else F.coalesce(local, carry)["x"]
 
 
 @dataclass(frozen=True)
