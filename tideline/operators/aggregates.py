@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from tideline.functions.expressions import is_finite
 from tideline.functions.quantiles import exact_quantiles
-from tideline.scale import attach
+from tideline.scale import attach, same_key
 
 # fixed values: quantiles of the value summary and of the short description
 SUMMARY_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 DESCRIBE_QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Left join of two aggregates of the same groups; a null group matches itself."""
+    if not by:
+        return left.join(right, how="left")
+    renamed = right.withColumnsRenamed({k: "_g_" + k for k in by})
+    joined = left.join(renamed, same_key(left, renamed, by, "_g_"), "left")
+    return joined.drop(*["_g_" + k for k in by])
+
+
 def group_counts(df: DataFrame, by: str, distinct: str) -> DataFrame:
     """Rows and distinct keys per group."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(distinct).alias("n_keys"))
@@ -33,7 +42,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         F.min("x").alias("min"),
         F.max("x").alias("max"),
     )
-    return basic.join(exact_quantiles(long, ["name"], "x", DESCRIBE_QUANTILES), "name", "left")
+    return join_groups(basic, exact_quantiles(long, ["name"], "x", DESCRIBE_QUANTILES), ["name"])
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -93,9 +102,7 @@ def value_summary(
     basic = rows.groupBy(*by).agg(*aggregates)
     quantiles = exact_quantiles(rows, by, "f", SUMMARY_QUANTILES)
     absolute = exact_quantiles(rows.withColumn("f", F.abs("f")), by, "f", {"abs_p99": 0.99})
-    if not by:
-        return basic.join(quantiles, how="left").join(absolute, how="left")
-    return basic.join(quantiles, by, "left").join(absolute, by, "left")
+    return join_groups(join_groups(basic, quantiles, by), absolute, by)
 
 
 def prediction_summary(

@@ -16,6 +16,7 @@ from tideline.operators.anchors import latest_eligible
 from tideline.operators.joins import duplicate_keys, key_differences, mismatches
 from tideline.operators.splits import entities_in_both_parts
 from tideline.roles import Roles
+from tideline.scale import join_one_row_per_key
 
 
 def _key(on: list[str]) -> Column:
@@ -111,7 +112,8 @@ def latest_anchor_audit(preds: DataFrame, source: DataFrame, roles: Roles) -> Da
 
 def coverage(rows: DataFrame, store: DataFrame, on: list[str], what: str) -> DataFrame:
     """Rows whose key is missing from a store."""
-    return bad_rows(what + ":covered", rows.join(store.select(*on), on, "left_anti"), on)
+    absent = join_one_row_per_key(rows, store.select(*on), on, "left_anti")
+    return bad_rows(what + ":covered", absent, on)
 
 
 def first_half_only(preds: DataFrame, halves: DataFrame, entity: str) -> DataFrame:

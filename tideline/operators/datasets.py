@@ -17,6 +17,7 @@ from tideline.operators.windows import (
     timeline,
 )
 from tideline.roles import Roles
+from tideline.scale import join_one_row_per_key
 
 # fixed values: order of the numeric features, for targets v, a and deltas dv, da
 FEATURE_COLUMNS = [
@@ -47,7 +48,7 @@ def feature_block(rows: DataFrame, model: DataFrame, roles: Roles, finish: bool
 
 
 def train_rows(rows: DataFrame, split: DataFrame, on: list[str]) -> DataFrame:
-    return rows.join(split.where(F.col("part") == "train").select(*on), on, "left_semi")
+    return join_one_row_per_key(rows, split.where(F.col("part") == "train").select(*on), on, "left_semi")
 
 
 def step_dataset(
@@ -77,8 +78,7 @@ def step_dataset(
     with_vectors = full_coverage(featured, vectors.select(*vector_key, vector), vector_key, check)
     steps = sequences(timeline(with_vectors, roles), vector, length, zero).result().drop(vector)
     steps = steps.where(roles.eligible())
-    parts = split.select(*split_on, "part")
-    steps = steps.join(parts, split_on)
+    steps = join_one_row_per_key(steps, split.select(*split_on, "part"), split_on)
     # Targets keep their own columns: scaling must not touch them.
     if not use_history:
         steps = zero_columns(steps, FEATURE_COLUMNS)

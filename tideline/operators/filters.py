@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.expressions import clip, is_finite
 from tideline.roles import Roles
+from tideline.scale import join_one_row_per_key
 
 
 def eligible_rows(df: DataFrame, roles: Roles) -> DataFrame:
@@ -27,7 +28,7 @@ def keep_where(df: DataFrame, column: str, value) -> DataFrame:
 def rows_of_part(df: DataFrame, split: DataFrame, on: list[str], part: str) -> DataFrame:
     """Rows that a stored split puts into a part."""
     keys = split.where(F.col("part") == part).select(*on)
-    return df.join(keys, on, "left_semi")
+    return join_one_row_per_key(df, keys, on, "left_semi")
 
 
 def first_present(df: DataFrame, aliases: list[str], what: str = "column") -> str:

@@ -8,6 +8,7 @@ from tideline.operators import aggregates, learn, metrics, profiles, splits, win
 from tideline.plans.fixtures import EVENTS, OK, Tables, r6, sql
 from tideline.plans.models import PRED_SCORE
 from tideline.plans.registry import query
+from tideline.scale import join_one_row_per_key, pin
 from tideline.timeline import Timeline
 
 
@@ -114,8 +115,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     val = t.user_split.where("part = 'val'").select("user_id")
-    truth = t.entries.join(val, "user_id", "left_semi")
-    stored = t.level_preds.join(val, "user_id", "left_semi").select("user_id", "event_id", "v_pred", "a_pred")
+    truth = join_one_row_per_key(t.entries, val, ["user_id"], "left_semi")
+    stored = join_one_row_per_key(t.level_preds, val, ["user_id"], "left_semi")
+    stored = stored.select("user_id", "event_id", "v_pred", "a_pred")
     return metrics.metrics_from_stored(truth, stored, ["user_id", "event_id"], "user_id", ["v", "a"], "flag")
 
 
@@ -128,7 +130,8 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    rows = t.level_preds.join(t.user_split, "user_id").where("part = 'val'").withColumn("regime", F.lit("unseen_user"))
+    rows = join_one_row_per_key(t.level_preds, t.user_split, ["user_id"]).where("part = 'val'")
+    rows = rows.withColumn("regime", F.lit("unseen_user"))
     return metrics.regression_errors(metrics.with_slices(rows, "flag", "words", "essays"), ["v", "a"], ["regime", "slice"])
 
 
@@ -173,7 +176,7 @@ TIMED = """SELECT *, CASE WHEN i < greatest(1, least(n - 1, floor(n * CAST(0.8 A
 def _(t: Tables):
     """Stored predictions under both regimes: per group fold and on the held-out ends."""
     folds = splits.group_folds(t.raw("events"), "user_id", 5).select("user_id", "fold")
-    unseen = metrics.with_slices(t.level_preds.join(folds, "user_id"), "flag", "words", "essays")
+    unseen = metrics.with_slices(join_one_row_per_key(t.level_preds, folds, ["user_id"]), "flag", "words", "essays")
     unseen = metrics.regression_errors(unseen, ["v"], ["fold", "slice"]).withColumn("regime", F.lit("unseen_user"))
     unseen = aggregates.fold_means(unseen, ["regime", "slice"], ["mae_v", "r_v"])
     held = windows.time_split(Timeline(t.level_preds, "user_id", EVENTS.order)).result().where("part = 'val'")
@@ -186,7 +189,7 @@ def _(t: Tables):
 def _(t: Tables):
     """TF-IDF ridge fitted per regime: three group folds of sources and one time split."""
     rows = t.labelled.select("doc_id", "source", "text", "flag", "quality")
-    rows = rows.join(splits.group_folds(rows, "source", 3).select("source", "fold"), "source")
+    rows = pin(join_one_row_per_key(rows, splits.group_folds(rows, "source", 3).select("source", "fold"), ["source"]))
     model = {"tfidf": learn.fit_predict_tfidf("doc_id", min_df=2)}
 
     def sliced(df):

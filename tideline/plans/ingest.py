@@ -15,6 +15,7 @@ from tideline.functions.expressions import (
 from tideline.operators import filters, metrics, scoring, splits
 from tideline.plans.fixtures import EVENTS, OK, SEED, Tables, r6, r6s, sql
 from tideline.plans.registry import query
+from tideline.scale import join_one_row_per_key
 from tideline.sources import sinks, tables, vectors
 from tideline.timeline import RowsBefore, Timeline
 
@@ -219,7 +220,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    keyed = t.entries.select("user_id", "event_id").join(t.user_split, "user_id")
+    keyed = join_one_row_per_key(t.entries.select("user_id", "event_id"), t.user_split, ["user_id"])
     return splits.trial_rows(t.entries, keyed, EVENTS, 512).select("user_id", "event_id", "part")
 
 

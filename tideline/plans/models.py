@@ -11,7 +11,7 @@ from tideline.plans.fixtures import EVENTS, OK, Tables, r6, r6s, sql
 from tideline.plans.history import MOMENTUM
 from tideline.plans.ingest import TOKENS
 from tideline.plans.registry import query
-from tideline.scale import pin
+from tideline.scale import join_one_row_per_key, pin
 
 RESULTS = ["user_id", "event_id", "dv_pred", "da_pred"]
 TRAIN_MEANS = """SELECT avg(v) AS mv, avg(a) AS ma FROM entries JOIN user_split USING (user_id) WHERE part = 'train'"""
@@ -22,7 +22,7 @@ TRAIN_MEANS = """SELECT avg(v) AS mv, avg(a) AS ma FROM entries JOIN user_split
     sql("entries user_split", f"SELECT event_id, {r6('mv', 'v_pred')}, {r6('ma', 'a_pred')} FROM entries JOIN user_split USING (user_id), means WHERE part = 'val'", means=TRAIN_MEANS),
 )
 def _(t: Tables):
-    rows = t.entries.join(t.user_split, "user_id")
+    rows = join_one_row_per_key(t.entries, t.user_split, ["user_id"])
     means = baselines.fit_mean(rows.where("part = 'train'"), ["v", "a"])
     return baselines.predict_mean(rows.where("part = 'val'"), means, ["v", "a"]).select("event_id", "v_pred", "a_pred")
 
@@ -38,7 +38,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    rows = t.entries.join(t.user_split, "user_id")
+    rows = join_one_row_per_key(t.entries, t.user_split, ["user_id"])
     means = baselines.fit_mean(rows.where("part = 'train'"), ["v", "a"])
     return metrics.regression_errors(baselines.predict_mean(rows.where("part = 'val'"), means, ["v", "a"]), ["v", "a"])
 
@@ -155,7 +155,7 @@ def _(t: Tables):
 def _doc_features(t: Tables):
     rows = tx.text_features(t.labelled)
     rows = rows.select("doc_id", "text", "flag", "source", "quality", "toxic", *[F.col(c).cast("double").alias(c) for c in ("n_tokens", "n_chars", "n_marks", "flag_int")])
-    return rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5))
+    return pin(rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5)))
 
 
 NUMERIC = ["n_tokens", "n_chars", "n_marks", "flag_int"]
@@ -186,7 +186,7 @@ def _(t: Tables):
     rows = profiles.half_profile(t.halves, EVENTS).join(profiles.half_change(t.halves, EVENTS), "user_id")
     rows = rows.withColumn("fold", splits.row_fold([F.col("user_id")], 2))
     columns = profiles.PROFILE_COLUMNS
-    rows = rows.select("user_id", "fold", *[F.col(c).cast("double").alias(c) for c in columns], "v_half_change")
+    rows = pin(rows.select("user_id", "fold", *[F.col(c).cast("double").alias(c) for c in columns], "v_half_change"))
     return learn.cross_validate(rows, "fold", 2, {"forest": learn.fit_predict_forest(columns)}, ["v_half_change"])
 
 
@@ -211,7 +211,7 @@ def _(t: Tables):
     from pyspark.ml.functions import array_to_vector
 
     rows = t.labelled.join(t.vectors, "doc_id").select("doc_id", "quality", array_to_vector("vec").alias("features"))
-    rows = rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5))
+    rows = pin(rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5)))
     return learn.cross_validate(rows, "fold", 5, {"embedding": learn.fit_predict_ridge("features")}, ["quality"])
 
 

@@ -9,6 +9,7 @@ from tideline.operators.datasets import FEATURE_COLUMNS
 from tideline.operators.metrics import LOG_SCHEMA
 from tideline.plans.fixtures import EVENTS, Tables, sql
 from tideline.plans.registry import query
+from tideline.scale import join_one_row_per_key
 from tideline.sources import tables
 
 
@@ -187,7 +188,7 @@ def _(t: Tables):
     sql("timeline user_split", finding("targets:finite", "dv IS NULL OR da IS NULL", "concat(user_id, ':', event_id)", "(SELECT * FROM timeline JOIN user_split USING (user_id) WHERE part = 'val')")),
 )
 def _(t: Tables):
-    rows = t.timeline.join(t.user_split.where("part = 'val'"), "user_id", "left_semi")
+    rows = join_one_row_per_key(t.timeline, t.user_split.where("part = 'val'"), ["user_id"], "left_semi")
     return audits.finite_columns(rows, ["dv", "da"], ["user_id", "event_id"], "targets")
 
 
