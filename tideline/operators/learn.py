@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,6 +20,7 @@ from tideline.operators.metrics import regression_errors
 RIDGE_ALPHA = 1.0
 VOCABULARY_SIZE = 20_000
 TREES = 200
+ROWS_PER_PARTITION = 20_000  # rows of wide vectors per task of an iterative fit
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -35,6 +37,10 @@ def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float
     stats = train.agg(
         F.count(F.lit(1)).alias("n"), *[(F.stddev_samp(t) if wide else F.stddev_pop(t)).alias(t) for t in targets]
     ).first()
+    if wide:
+        # Every l-bfgs step sends one dense gradient per partition; few rows in many
+        # partitions would spend their time on that.
+        train = train.coalesce(max(1, math.ceil(stats["n"] / ROWS_PER_PARTITION)))
     models = {}
     for t in targets:
         models[t] = LinearRegression(
