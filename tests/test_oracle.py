@@ -18,7 +18,8 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 SKEWED = """previous_eligible_delta lagged_delta momentum_predictions previous_state half_split running_count_and_mean
 exponential_average history_features history_anchors sequences vector_sequences trajectories time_split group_folds
 group_quantiles describe array_summary asof_before_cutoff history_up_to_anchor join_many_to_one_cutoff half_profile
-semi_join_users large_timeline_history two_lag_fit audit_latest_anchor""".split()
+semi_join_users large_timeline_history two_lag_fit audit_latest_anchor rows_of_split metrics_from_stored regime_report
+step_dataset audit_vector_coverage""".split()
 
 
 @pytest.fixture(scope="module")
