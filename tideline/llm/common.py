@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +17,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def durable(frame: DataFrame) -> DataFrame:
-    """The frame as a checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
+    """The frame, written as Parquet to the shared folder that ``spark.checkpoint.dir`` names.
 
-    Where it names none (tests), a folder inside the warehouse, which all executors share.
-    Lost executors cost nothing that is already written.
+    Where it names none (tests), to a folder inside the warehouse, which all executors share.
+    Lost executors cost nothing that is already written. Unlike a checkpoint, the table that
+    is read again carries no constraints of the plan that made it.
     """
     spark = frame.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return frame.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    path = f"{folder}/tideline-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def fold_ascii(column):
