@@ -1,26 +1,62 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage but the last returns the columns of documents; ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tideline.llm import bpe, decontaminate, neardup, quality_rules, secret_scan
+from tideline.llm.common import durable, table
+
 
-from tideline.llm import neardup
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
-#: Columns of documents that stages hand on.
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without lines that too many documents of a source share."""
+    return _counted(quality_rules.clean(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return neardup.drop_near_duplicates(docs).select(*COLUMNS)
+    return neardup.drop_near_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are blotted out; the documents stay."""
+    return _counted(secret_scan.redact(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text (little-endian uint32), and whether decoding gives the text back."""
+    coded = bpe.digests(docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return coded.withColumn("round_trip", F.col("text_sha256") == F.col("decoded_sha256"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("quality_rules", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret_scan", secrets),
+    ("byte_bpe", tokens),
+]
+#: Near-duplicate components and the random forest have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each stage's rows are written to the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

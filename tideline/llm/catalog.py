@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tideline.llm import bpe, decontaminate, neardup, quality_rules
+from tideline.llm import bpe, decontaminate, neardup, quality_rules, secret_scan
 
-_MODULES = (quality_rules, neardup, bpe, decontaminate)
+_MODULES = (quality_rules, neardup, bpe, secret_scan, decontaminate)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
