@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import table
+from tideline.llm.common import durable, table
 
 SPACES = " \t\n\x0b\f\r"
 SALTS = 16
@@ -170,17 +170,24 @@ def quality(
 def clean(
     docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE
 ) -> DataFrame:
-    """The rows that ``quality`` keeps, without the removed lines in text; other columns as given."""
+    """The rows that ``quality`` keeps, without the removed lines in text; other columns as given.
+
+    The verdicts are written first: a filter on them would else be pushed below the counts and
+    evaluate their nested expressions again and again.
+    """
+    counted = base_counts(_keyed(docs)).join(removed_lines(docs, min_docs, share), ["key", "key2"], "left")
+    left_over = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
+    verdicts = durable(
+        counted.select(
+            "key", "key2", "removed_at", (~F.col("base_failed") & (left_over >= keep_share * F.col("n_words"))).alias("kept")
+        )
+    )
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.struct("*").alias("row"),
         F.xxhash64("doc_id", "source", text).alias("key"),
         F.hash(text, "doc_id").alias("key2"),
-    ).join(removed_lines(docs, min_docs, share), ["key", "key2"], "left")
-    rows = rows.withColumn("words", _words(F.coalesce("row.text", F.lit("")))).withColumn("n_words", F.size("words").cast("long"))
-    enough = F.col("n_words") - F.coalesce("removed_words", F.lit(0)) >= keep_share * F.col("n_words")
-    rows = _repeated_words(rows.where((F.col("n_words") >= 50) & enough))
-    rows = rows.where(100 * F.col("n_repeat_words") <= 50 * F.col("n_words"))
+    ).join(verdicts.where("kept").dropDuplicates(["key", "key2"]), ["key", "key2"])
     lines = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed_at", i))
     kept = F.when(F.col("removed_at").isNull(), F.col("row.text")).otherwise(F.array_join(lines, "\n"))
     return rows.select(F.col("row").withField("text", kept).alias("row")).select("row.*")
