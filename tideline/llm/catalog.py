@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tideline.llm import bpe, decontaminate, neardup, quality_rules, secret_scan
+from tideline.llm import bpe, decontaminate, language, neardup, quality_model, quality_rules, secret_scan, toxicity
 
-_MODULES = (quality_rules, neardup, bpe, secret_scan, decontaminate)
+_MODULES = (
+    quality_rules, toxicity, neardup, bpe, quality_model, secret_scan, decontaminate, language,
+)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
