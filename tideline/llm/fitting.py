@@ -30,8 +30,8 @@ def labelled_sample(labels: DataFrame, label: str, bound: int) -> tuple[DataFram
     return known.where(unit("doc_id") < share), totals
 
 
-def logistic(x: np.ndarray, y: np.ndarray, totals: dict[int, int], penalty: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic fit by Newton steps; the last column of x should be ones.
+def logistic(x: np.ndarray, y: np.ndarray, totals: dict[int, int], penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights of a logistic fit by Newton steps, and its mean log-loss; the last column of x should be ones.
 
     Rows weigh so that the labels have the shares of ``totals``, whatever the sample's bound did.
     """
@@ -46,7 +46,8 @@ def logistic(x: np.ndarray, y: np.ndarray, totals: dict[int, int], penalty: floa
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return w
+    p = np.clip(sigmoid(x @ w), 1e-9, 1 - 1e-9)
+    return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int = FIT_ROWS
     own = [sets[i] for i in np.flatnonzero(part)]
     ptr = np.concatenate([[0], np.cumsum([len(x) for x in own])])
     m = model.margins(ptr, np.concatenate(own).astype(np.int64) if len(own) else np.zeros(0, np.int64))
-    model.curve = logistic(np.stack([m, np.ones(len(m))], 1), y[part], totals)
+    model.curve, _ = logistic(np.stack([m, np.ones(len(m))], 1), y[part], totals)
     return model
 
 

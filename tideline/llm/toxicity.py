@@ -34,7 +34,9 @@ from tideline.llm.words import ALNUM, LOWER, chain, hashed_words, mix, owner, sl
 
 #: Bounds of the model: words, pairs, and labelled documents per class.
 WORDS, STEMS, PAIRS, FIT_ROWS = 1 << 16, 1 << 16, 1 << 20, 12000
-STEM, HELD, DISCOUNT = 6, 0.25, 2.0
+STEM, HELD = 6, 0.25
+#: Discounts to choose from, by the log-loss on labelled documents that are not in the counts.
+DISCOUNTS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 _WIDTH = 20  # bits of a word number
 _DRAWN = 2 << (2 * _WIDTH)
 
@@ -122,10 +124,6 @@ class Vocabulary:
         return ptr, np.where(word >= 0, word, len(self.words) + _find(self.stems, key >> np.uint64(16)) + 1)
 
 
-def discounted(n: np.ndarray) -> np.ndarray:
-    return np.maximum(n - DISCOUNT, 0)
-
-
 def _pairs(ptr: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Left and right word numbers of every word as one long; the first has the start sign (all bits) at left."""
     left = np.empty(len(ids), np.int64)
@@ -175,7 +173,8 @@ def _class_pairs(shared):
 class Counts:
     """One class: kept pairs with their discounted counts, totals of left words, and word probabilities."""
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, left_n: np.ndarray, before: np.ndarray, vocabulary: Vocabulary):
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, left_n: np.ndarray, before: np.ndarray, vocabulary: Vocabulary, discount: float):
+        discounted = lambda x: np.maximum(x - discount, 0)
         order = np.argsort(pairs)
         self.pairs, self.kept = pairs[order], discounted(n[order])
         self.left_n = left_n
@@ -265,27 +264,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     pairs = durable(
         rows.where(~held).mapInArrow(_class_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     )
-    classes = [Counts(*_class_tables(pairs, c, len(vocabulary.stem_of), PAIRS), vocabulary) for c in (0, 1)]
-    model = Model(vocabulary, *classes)
-    spread = docs.sparkSession.sparkContext.broadcast(model)
-    points = rows.where(held).mapInArrow(_points(spread), "doc_id long, label int, mean double, sized double").toPandas()
-    points = points.sort_values("doc_id")
+    tables = [_class_tables(pairs, c, len(vocabulary.stem_of), PAIRS) for c in (0, 1)]
+    models = [Model(vocabulary, *[Counts(*t, vocabulary, d) for t in tables]) for d in DISCOUNTS]
+    spread = docs.sparkSession.sparkContext.broadcast(models)
+    points = rows.where(held).mapInArrow(
+        _points(spread), "doc_id long, label int, means array<double>, sized array<double>"
+    ).toPandas().sort_values("doc_id")
     y = points["label"].to_numpy(float)
     if len(set(y.tolist())) < 2:
         return totals[1] / (totals[0] + totals[1])
-    x = np.stack([points["mean"], points["sized"], np.ones(len(y))], 1)
-    model.curve = logistic(x, y, totals)
-    return model
+    means, sized = np.stack(points["means"].to_list()), np.stack(points["sized"].to_list())
+    best = None
+    for i, model in enumerate(models):
+        x = np.stack([means[:, i], sized[:, i], np.ones(len(y))], 1)
+        model.curve, loss = logistic(x, y, totals)
+        if best is None or loss < best[0]:
+            best = loss, model
+    return best[1]
 
 
 def _points(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x = shared.value.features(part.column("text"))
+                x = np.stack([m.features(part.column("text")) for m in shared.value])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("label"), pa.array(x[:, 0]), pa.array(x[:, 1])],
-                    names=["doc_id", "label", "mean", "sized"],
+                    [part.column("doc_id"), part.column("label")]
+                    + [pa.array(list(x[:, :, k].T), pa.list_(pa.float64())) for k in (0, 1)],
+                    names=["doc_id", "label", "means", "sized"],
                 )
 
     return run
