@@ -10,11 +10,12 @@ of the whole corpus, which both classes share; so rare words of a stem stand in
     P_c(w)     = (k_c(w) - D + rest_c P_c(stem) S(w | stem)) / K_c
     P_c(stem)  = (k_c(stem) - D + rest'_c S(stem)) / K_c
 
-n counts documents with a pair, so that a text which repeats itself counts once. D is above
-the counts that chance gives to rare words. A text's feature is the mean of log P_toxic - log
-P_ordinary per word, less the text's median: all words of a language or topic that one class
-has more of share a shift that says nothing on this text. A logistic curve over it (and its
-size against chance, times the root of the length), calibrated on labelled documents that are
+n counts the different words before a pair, one from each text, so that neither texts which
+repeat themselves nor copies count again. D is above the counts that chance gives to rare
+words. Features of a text are the mean of log P_toxic - log P_ordinary per word, less the
+text's median (all words of a language or topic that one class has more of share a shift that
+says nothing on this text), the mean of what is above ``CLEAR``, and both against chance (times
+the root of the length). A logistic curve over them, calibrated on labelled documents that are
 not in the counts, gives the score. Class counts come from equally many labelled documents of each class, at most about
 ``FIT_ROWS``; corpus counts cover all documents.
 """
@@ -34,11 +35,11 @@ from tideline.llm.words import ALNUM, LOWER, chain, hashed_words, mix, owner, sl
 
 #: Bounds of the model: words, pairs, and labelled documents per class.
 WORDS, STEMS, PAIRS, FIT_ROWS = 1 << 16, 1 << 16, 1 << 20, 12000
-STEM, HELD = 6, 0.25
+STEM, HELD, CLEAR, FEATURES = 6, 0.25, 1.0, 5
 #: Discounts to choose from, by the log-loss on labelled documents that are not in the counts.
 DISCOUNTS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 _WIDTH = 20  # bits of a word number
-_DRAWN = 2 << (2 * _WIDTH)
+_DRAWN = 2 << (3 * _WIDTH)
 
 
 def word_keys(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -156,16 +157,22 @@ def _class_pairs(shared):
             for part in slices(batch, "text"):
                 ptr, ids = vocabulary.numbers(part.column("text"))
                 label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-                once = np.unique(owner(ptr) << (2 * _WIDTH) | _pairs(ptr, ids))
-                doc, pair = once >> (2 * _WIDTH), once & ((1 << 2 * _WIDTH) - 1)
-                of = label[doc] << (2 * _WIDTH)
-                # one left neighbour of each word of a text, drawn by hash
-                order = np.lexsort((mix(once.astype(np.uint64)), pair & ((1 << _WIDTH) - 1), doc))
-                word = (doc << _WIDTH | pair & ((1 << _WIDTH) - 1))[order]
-                drawn = order[np.append(True, word[1:] != word[:-1])] if len(order) else order
-                key = np.concatenate([pair | of, (pair | of)[drawn] | _DRAWN])
-                key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "n"])
+                pair = _pairs(ptr, ids)
+                doc = owner(ptr)
+                before = np.append(0, pair[:-1] >> _WIDTH) if len(pair) else pair
+                # each pair of a text with the word before it where it comes first
+                order = np.lexsort((pair, doc))
+                lead = np.append(True, (pair[order][1:] != pair[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
+                once = order[lead[: len(order)]]
+                tail = before[once] << (2 * _WIDTH) | pair[once]
+                # each word of a text with one left neighbour, drawn by hash
+                word = pair & ((1 << _WIDTH) - 1)
+                order = np.lexsort((mix(pair.astype(np.uint64) + doc.astype(np.uint64)), word, doc))
+                lead = np.append(True, (word[order][1:] != word[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
+                drawn = order[lead[: len(order)]]
+                of = label[doc] << (3 * _WIDTH)
+                key = np.unique(np.concatenate([tail | of[once], pair[drawn] | of[drawn] | _DRAWN]))
+                yield pa.RecordBatch.from_arrays([pa.array(key)], names=["run"])
 
     return run
 
@@ -200,18 +207,20 @@ class Counts:
 class Model:
     def __init__(self, vocabulary: Vocabulary, ordinary: Counts, toxic: Counts):
         self.vocabulary, self.ordinary, self.toxic = vocabulary, ordinary, toxic
-        self.curve = np.zeros(3)
+        self.curve = np.zeros(FEATURES)
 
     def features(self, texts) -> np.ndarray:
         ptr, ids = self.vocabulary.numbers(texts)
         pair = _pairs(ptr, ids)
         ratio = self.toxic.log(pair) - self.ordinary.log(pair)
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
         n = np.diff(ptr)
-        mean = (total[ptr[1:]] - total[ptr[:-1]]) / np.maximum(n, 1)
+        mean, excess = np.zeros(len(n)), np.zeros(len(n))
         for i in np.flatnonzero(n).tolist():
-            mean[i] -= np.median(ratio[ptr[i] : ptr[i + 1]])
-        return np.stack([mean, mean * np.sqrt(n), np.ones(len(n))], 1)
+            own = ratio[ptr[i] : ptr[i + 1]]
+            own = own - np.median(own)
+            mean[i], excess[i] = own.mean(), np.maximum(own - CLEAR, 0).mean()
+        root = np.sqrt(n)
+        return np.stack([mean, mean * root, excess, excess * root, np.ones(len(n))], 1)
 
     def scores(self, texts) -> np.ndarray:
         return sigmoid(self.features(texts) @ self.curve)
@@ -223,11 +232,9 @@ def corpus_words(docs: DataFrame) -> DataFrame:
 
 
 def _class_tables(rows: DataFrame, label: int, size: int, bound: int):
-    """Arrays of one class out of ``pair, n``: the kept pairs, totals by left word, left neighbours by word."""
-    kind = F.shiftright("pair", 2 * _WIDTH)
-    plain = F.col("pair").bitwiseAND((1 << 2 * _WIDTH) - 1).alias("pair")
-    own = rows.where(kind == label).select(plain, "n")
-    drawn = rows.where(kind == label + 2).select(plain)
+    """Arrays of one class out of ``kind, pair, n``: the kept pairs, totals by left word, left neighbours by word."""
+    own = rows.where(F.col("kind") == label).select("pair", "n")
+    drawn = rows.where(F.col("kind") == label + 2).select("pair")
     left, right = F.shiftright("pair", _WIDTH), F.col("pair").bitwiseAND((1 << _WIDTH) - 1)
     left_n, before = np.zeros(1 << _WIDTH), np.zeros(size)
     for frame, key, value, into in (
@@ -262,22 +269,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
     rows = durable(rows)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     pairs = durable(
-        rows.where(~held).mapInArrow(_class_pairs(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        rows.where(~held)
+        .mapInArrow(_class_pairs(shared), "run long")
+        .distinct()
+        .groupBy(
+            F.shiftright("run", 3 * _WIDTH).alias("kind"), F.col("run").bitwiseAND((1 << 2 * _WIDTH) - 1).alias("pair")
+        )
+        .agg(F.count("*").alias("n"))
     )
     tables = [_class_tables(pairs, c, len(vocabulary.stem_of), PAIRS) for c in (0, 1)]
     models = [Model(vocabulary, *[Counts(*t, vocabulary, d) for t in tables]) for d in DISCOUNTS]
     spread = docs.sparkSession.sparkContext.broadcast(models)
-    points = rows.where(held).mapInArrow(
-        _points(spread), "doc_id long, label int, means array<double>, sized array<double>"
-    ).toPandas().sort_values("doc_id")
+    points = rows.where(held).mapInArrow(_points(spread), "doc_id long, label int, x array<double>").toPandas()
+    points = points.sort_values("doc_id")
     y = points["label"].to_numpy(float)
     if len(set(y.tolist())) < 2:
         return totals[1] / (totals[0] + totals[1])
-    means, sized = np.stack(points["means"].to_list()), np.stack(points["sized"].to_list())
+    x = np.stack(points["x"].to_list()).reshape(len(y), len(models), FEATURES)
     best = None
     for i, model in enumerate(models):
-        x = np.stack([means[:, i], sized[:, i], np.ones(len(y))], 1)
-        model.curve, loss = logistic(x, y, totals)
+        model.curve, loss = logistic(x[:, i], y, totals)
         if best is None or loss < best[0]:
             best = loss, model
     return best[1]
@@ -287,11 +298,10 @@ def _points(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x = np.stack([m.features(part.column("text")) for m in shared.value])
+                x = np.concatenate([m.features(part.column("text")) for m in shared.value], 1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("label")]
-                    + [pa.array(list(x[:, :, k].T), pa.list_(pa.float64())) for k in (0, 1)],
-                    names=["doc_id", "label", "means", "sized"],
+                    [part.column("doc_id"), part.column("label"), pa.array(list(x), pa.list_(pa.float64()))],
+                    names=["doc_id", "label", "x"],
                 )
 
     return run
