@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tideline.llm import bpe, decontaminate, language, neardup, quality_model, quality_rules, secret_scan, toxicity
+from tideline.llm import (
+    bpe, decontaminate, html_text, language, neardup, quality_model, quality_rules, secret_scan, toxicity, url_filter,
+)
 
 _MODULES = (
-    quality_rules, toxicity, neardup, bpe, quality_model, secret_scan, decontaminate, language,
+    quality_rules, toxicity, neardup, html_text, bpe, url_filter, quality_model, secret_scan, decontaminate, language,
 )
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
