@@ -26,7 +26,7 @@ def spark():
 @pytest.fixture
 def tiny_tasks(spark):
     """Settings under which a group of over 20 rows counts as too large for one task."""
-    names = {"spark.tideline.maxTaskRows": "20", "spark.tideline.maxTaskBytes": "0"}
+    names = {"spark.tideline.maxTaskRows": "20"}
     for name, value in names.items():
         spark.conf.set(name, value)
     yield

@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.scale import fits_one_task
 from tideline.timeline import SumBefore, Timeline, Total
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles of the non-null values per group.
 
-    Small inputs use the built-in aggregate, which holds a group's distinct values in
-    one buffer. Larger ones count each distinct value first, take running counts along
-    the values (cut into chunks where a group has too many) and read off the values at
-    the two ranks around each quantile with ordinary minimum aggregates.
+    Each distinct value is counted first; running counts along the values (cut into chunks
+    where a group has too many) give the values at the two ranks around each quantile, which
+    ordinary minimum aggregates read off. No buffer holds the values of a group.
     """
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    if fits_one_task(values):
-        found = F.percentile("_x", F.array(*[F.lit(float(p)) for p in probabilities.values()]))
-        listed = values.groupBy(*keys).agg(found.alias("_q"))
-        return listed.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probabilities)])
     entity = keys or ["_all"]
     counts = values.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"))
     if not keys:

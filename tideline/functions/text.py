@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.scale import attach, widen
+from tideline.scale import attach
 
 # fixed values: patterns of the text features and of the word tokenizer
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -39,9 +39,8 @@ def word_terms(words: Column) -> Column:
 
 
 def with_terms(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the terms of a text. The words become a column first, so each text is scanned
-    once, and small inputs use all cores for it."""
-    split = widen(df).withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
+    """Add the terms of a text. The words become a column first, so each text is scanned once."""
+    split = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
     return split.withColumn(name, word_terms(F.col("_words"))).drop("_words")
 
 
@@ -50,7 +49,7 @@ def text_features(df: DataFrame, text: str = "text", flag: str | None = "flag",
     z-scores (sample deviation, 0 if undefined) of tokens and characters."""
     t = F.coalesce(F.col(text), F.lit(""))
     flagged = F.col(flag).cast("tinyint") if flag in df.columns else F.lit(None).cast("tinyint")
-    counted = widen(df).withColumns(
+    counted = df.withColumns(
         {
             prefix + "n_tokens": token_count(t),
             prefix + "n_chars": character_count(t),
@@ -108,10 +107,9 @@ def idf(df_count: Column, n_docs: Column) -> Column:
 def tfidf_weights(counts: DataFrame, vocabulary: DataFrame, n_docs: Column, key: str) -> DataFrame:
     """Long table (key, term, weight) with rows of unit length.
 
-    The vocabulary has at most its stated size (20,000 in the baselines), so it is
-    broadcast and the large term table is shuffled once, by document.
+    The vocabulary is as large as the caller chose; Spark broadcasts it if its size allows.
     """
-    known = counts.join(F.broadcast(vocabulary.select("term", F.col("df").alias("_df"))), "term")
+    known = counts.join(vocabulary.select("term", F.col("df").alias("_df")), "term")
     raw = known.withColumn("_w", F.col("tf") * idf(F.col("_df"), n_docs))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return raw.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))

@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.expressions import lenient_bool
-from tideline.operators.joins import _refuse, marker_rows
+from tideline.operators.joins import _refuse, duplicate_keys, marker_rows
 from tideline.roles import Roles
 from tideline.scale import join_one_row_per_key
 
 
+def _row_at(df: DataFrame, roles: Roles, pick: Callable[[Column], Column]) -> DataFrame:
+    """The row per entity at its first or last place. Places are found on the slim key
+    columns, one row per entity and task; then the one wide row of each is joined back."""
+    places = df.groupBy(F.col(roles.entity).alias("_entity")).agg(pick(roles.order_value()).alias("_place"))
+    same = F.col(roles.entity).eqNullSafe(F.col("_entity")) & roles.order_value().eqNullSafe(F.col("_place"))
+    found = df.join(places, same).dropDuplicates([roles.entity])
+    return found.select(*df.columns)
+
+
 def latest_row(df: DataFrame, roles: Roles, where: Column | None = None) -> DataFrame:
-    """Last row per entity in (ts, tie) order, as a partial aggregate: each task sends
-    one row per entity, however many rows an entity has."""
-    rows = df if where is None else df.where(where)
-    found = rows.groupBy(roles.entity).agg(F.max_by(F.struct(*df.columns), roles.order_value()).alias("_row"))
-    return found.select("_row.*")
+    """Last row per entity in (ts, tie) order."""
+    return _row_at(df if where is None else df.where(where), roles, F.max)
 
 
 def earliest_row(df: DataFrame, roles: Roles) -> DataFrame:
     """First row per entity in (ts, tie) order."""
-    found = df.groupBy(roles.entity).agg(F.min_by(F.struct(*df.columns), roles.order_value()).alias("_row"))
-    return found.select("_row.*")
+    return _row_at(df, roles, F.min)
 
 
 def first_known(df: DataFrame, roles: Roles, columns: list[str]) -> DataFrame:
@@ -71,7 +78,9 @@ def entities_without_row_before(df: DataFrame, cutoffs: DataFrame, roles: Roles,
 
 def history_up_to(df: DataFrame, anchors: DataFrame, roles: Roles, length: int, anchor_ts: str = "anchor_ts") -> DataFrame:
     """The last ``length`` rows per entity at or before its anchor time, ``back`` = 0 for
-    the newest. Spark keeps only ``length`` rows per entity and task before shuffling."""
+    the newest. Spark keeps only ``length`` rows per entity and task before shuffling. An
+    entity with two anchors is refused."""
+    _refuse(duplicate_keys(anchors, [roles.entity]), [roles.entity], "more than one anchor")
     limits = anchors.select(roles.entity, F.col(anchor_ts).alias("_anchor"))
     joined = join_one_row_per_key(df, limits, [roles.entity]).where(F.col(roles.ts) <= F.col("_anchor"))
     newest = W.partitionBy(roles.entity).orderBy(*[F.col(c).desc() for c in roles.order])

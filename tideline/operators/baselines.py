@@ -39,8 +39,8 @@ def fit_two_lags(train: DataFrame, roles: Roles) -> DataFrame:
     """Least squares of each delta on both previous deltas and an intercept.
 
     One row per delta from second moments: a single aggregate, no matrix of rows.
-    Expects ``<delta>_prev``; rows without both are not used. If the lags are collinear
-    only the first varying one gets a coefficient.
+    Expects ``<delta>_prev``; rows without both are not used. Collinear lags get the solution of
+    least norm. Without a usable row the job fails.
     """
     p, q = (F.col(d + "_prev") for d in roles.deltas)
     used = p.isNotNull() & q.isNotNull()
@@ -56,14 +56,17 @@ def fit_two_lags(train: DataFrame, roles: Roles) -> DataFrame:
     solvable = det > 1e-12 * c("s11") * c("s22")
     rows = []
     for i, d in enumerate(roles.deltas):
-        alone1 = F.coalesce(F.try_divide(c(f"c1{i}"), c("s11")), F.lit(0.0))
-        alone2 = F.when(c("s11") == 0, F.coalesce(F.try_divide(c(f"c2{i}"), c("s22")), F.lit(0.0))).otherwise(0.0)
+        spread2 = (c("s11") + c("s22")) * (c("s11") + c("s22"))
+        alone1 = F.coalesce(F.try_divide(c("s11") * c(f"c1{i}") + c("s12") * c(f"c2{i}"), spread2), F.lit(0.0))
+        alone2 = F.coalesce(F.try_divide(c("s12") * c(f"c1{i}") + c("s22") * c(f"c2{i}"), spread2), F.lit(0.0))
         b1 = F.when(solvable, F.try_divide(c("s22") * c(f"c1{i}") - c("s12") * c(f"c2{i}"), det)).otherwise(alone1)
         b2 = F.when(solvable, F.try_divide(c("s11") * c(f"c2{i}") - c("s12") * c(f"c1{i}"), det)).otherwise(alone2)
         rows.append(
             F.struct(
                 F.lit(d).alias("delta"),
-                (c(f"my{i}") - b1 * c("m1") - b2 * c("m2")).alias("intercept"),
+                F.when(c("n") > 0, c(f"my{i}") - b1 * c("m1") - b2 * c("m2"))
+                .otherwise(F.raise_error(F.lit(f"no row with both lags to fit {d}")).cast("double"))
+                .alias("intercept"),
                 b1.alias("coef_1"),
                 b2.alias("coef_2"),
                 c("n").alias("fit_rows"),

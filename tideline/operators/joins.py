@@ -17,8 +17,12 @@ SAMPLE = 10  # keys shown in an error text
 
 
 def duplicate_keys(df: DataFrame, on: list[str]) -> DataFrame:
-    """Keys that occur more than once, with their counts."""
-    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Keys that occur more than once, with their counts. Hashes are counted first, so only
+    keys whose hashes repeat are shuffled at full width."""
+    hashed = df.select(*on).withColumn("_hash", F.xxhash64(*on))
+    again = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
+    rows = hashed.join(again, "_hash", "left_semi")
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def _refuse(bad: DataFrame, on: list[str], text: str) -> None:

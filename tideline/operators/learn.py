@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -20,7 +19,7 @@ from tideline.operators.metrics import regression_errors
 RIDGE_ALPHA = 1.0
 VOCABULARY_SIZE = 20_000
 TREES = 200
-ROWS_PER_PARTITION = 20_000  # rows of wide vectors per task of an iterative fit
+FOREST_ROWS = 100_000  # labelled rows a forest is fitted on, at most about; its trees are held on the driver
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
@@ -37,10 +36,6 @@ def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float
     stats = train.agg(
         F.count(F.lit(1)).alias("n"), *[(F.stddev_samp(t) if wide else F.stddev_pop(t)).alias(t) for t in targets]
     ).first()
-    if wide:
-        # Every l-bfgs step sends one dense gradient per partition; few rows in many
-        # partitions would spend their time on that.
-        train = train.coalesce(max(1, math.ceil(stats["n"] / ROWS_PER_PARTITION)))
     models = {}
     for t in targets:
         models[t] = LinearRegression(
@@ -51,14 +46,17 @@ def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float
             elasticNetParam=0.0,
             standardization=False,
             solver="l-bfgs" if wide else "normal",
-            maxIter=300,
-            tol=1e-7,
+            maxIter=1000,
+            tol=1e-11,
         ).fit(train)
     return models
 
 
 def fit_forest(train: DataFrame, features: str, targets: list[str], trees: int = TREES, seed: int = 42) -> dict:
-    """One random forest per target, as deep as Spark ML allows."""
+    """One random forest per target, as deep as Spark ML allows, on about ``FOREST_ROWS`` rows at most."""
+    n = train.count()
+    if n > FOREST_ROWS:
+        train = train.sample(fraction=FOREST_ROWS / n, seed=seed)
     return {
         t: RandomForestRegressor(
             featuresCol=features, labelCol=t, predictionCol=t + "_pred", numTrees=trees, maxDepth=30, seed=seed,
@@ -142,6 +140,12 @@ def fit_predict_tfidf(key: str, numeric: list[str] | None = None, size: int = VO
     return run
 
 
+def out_of_fold(df: DataFrame, fold: str, folds: int, fit_predict: Callable, targets: list[str]) -> DataFrame:
+    """Every row with the predictions of the model that was fitted on the other folds."""
+    parts = [fit_predict(df.where(F.col(fold) != k), df.where(F.col(fold) == k), targets) for k in range(folds)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def cross_validate(
     df: DataFrame, fold: str, folds: int, models: dict[str, Callable], targets: list[str], slices: Callable | None = None
 ) -> DataFrame:

@@ -62,7 +62,8 @@ def group_folds(df: DataFrame, entity: str, folds: int, seed: int = 42) -> DataF
     sizes = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows"))
     enough = sizes.limit(folds).count() >= folds and folds >= 2
     if not enough:
-        return group_split(df, entity, seed).select(entity, F.when(F.col("part") == "val", 0).otherwise(-1).alias("fold"))
+        parts = group_split(df, entity, seed).join(sizes, entity)
+        return parts.select(entity, F.when(F.col("part") == "val", 0).otherwise(-1).alias("fold"), F.col("_rows").alias("n_rows"))
     ordered = whole(sizes.withColumn("_fewer", -F.col("_rows")))
     ranked = Timeline(ordered, "_all", ["_fewer", entity]).running(_rank=RowsBefore()).result()
     turn, seat = F.floor(F.col("_rank") / folds) % 2, F.col("_rank") % folds

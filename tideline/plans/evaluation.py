@@ -8,7 +8,7 @@ from tideline.operators import aggregates, learn, metrics, profiles, splits, win
 from tideline.plans.fixtures import EVENTS, OK, Tables, r6, sql
 from tideline.plans.models import PRED_SCORE
 from tideline.plans.registry import query
-from tideline.scale import join_one_row_per_key, pin
+from tideline.scale import join_one_row_per_key
 from tideline.timeline import Timeline
 
 
@@ -189,7 +189,7 @@ def _(t: Tables):
 def _(t: Tables):
     """TF-IDF ridge fitted per regime: three group folds of sources and one time split."""
     rows = t.labelled.select("doc_id", "source", "text", "flag", "quality")
-    rows = pin(join_one_row_per_key(rows, splits.group_folds(rows, "source", 3).select("source", "fold"), ["source"]))
+    rows = join_one_row_per_key(rows, splits.group_folds(rows, "source", 5).select("source", "fold"), ["source"]).persist()
     model = {"tfidf": learn.fit_predict_tfidf("doc_id", min_df=2)}
 
     def sliced(df):

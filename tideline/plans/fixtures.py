@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators import baselines, datasets, splits, windows
 from tideline.roles import Roles
-from tideline.scale import join_one_row_per_key, pin
+from tideline.scale import join_one_row_per_key
 from tideline.timeline import Next, RowsBefore, RowTotal, Timeline
 
 EVENTS = Roles("user_id", "ts", "event_id", ("v", "a"), ("dv", "da"), "flag")
@@ -86,9 +86,8 @@ class Tables:
 
     @cached_property
     def stored_preds(self) -> DataFrame:
-        """Anchor predictions written once, as one stage hands them to the next; for
-        queries that read them several times."""
-        return pin(self.anchor_preds)
+        """Anchor predictions as one stage hands them to the next."""
+        return self.anchor_preds
 
     @cached_property
     def cutoffs(self) -> DataFrame:

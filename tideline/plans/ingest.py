@@ -66,16 +66,16 @@ def _(t: Tables):
 @query(
     "dataset_summary",
     sql(
-        "entries labelled",
+        "entries docs",
         """SELECT 'events' AS table_name, count(*) AS n_rows, count(DISTINCT user_id) AS n_entities,
            count(*) FILTER (flag) AS n_true, count(*) FILTER (NOT flag) AS n_false, count(*) FILTER (flag IS NULL) AS n_null FROM entries
-           UNION ALL SELECT 'documents', count(*), count(DISTINCT source), count(*) FILTER (flag), count(*) FILTER (NOT flag), count(*) FILTER (flag IS NULL) FROM labelled
+           UNION ALL SELECT 'documents', count(*), count(DISTINCT source), count(*) FILTER (flag), count(*) FILTER (NOT flag), count(*) FILTER (flag IS NULL) FROM docs
            UNION ALL SELECT 'orders', count(*), count(DISTINCT o_custkey), 0, 0, count(*) FROM orders""",
     ),
 )
 def _(t: Tables):
     return tables.summary(
-        {"events": t.entries, "documents": t.labelled, "orders": t.raw("orders")},
+        {"events": t.entries, "documents": t.docs, "orders": t.raw("orders")},
         {"events": "user_id", "documents": "source", "orders": "o_custkey"},
         {"events": "flag", "documents": "flag", "orders": None},
     )
@@ -347,37 +347,37 @@ def _(t: Tables):
 
 TERMS = r"""SELECT doc_id, term, count(*) AS tf FROM (
     SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
-    FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM labelled)) GROUP BY ALL"""
+    FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM docs)) GROUP BY ALL"""
 VOCABULARY = "SELECT term, sum(tf) AS tf, count(*) AS df FROM terms GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 20000"
 
 
-@query("term_counts", sql("labelled", "SELECT * FROM terms", terms=TERMS))
+@query("term_counts", sql("docs", "SELECT * FROM terms", terms=TERMS))
 def _(t: Tables):
-    return tx.term_counts(t.labelled, "doc_id")
+    return tx.term_counts(t.docs, "doc_id")
 
 
 @query(
     "top_terms",
-    sql("labelled", "SELECT term, CAST(tf AS BIGINT) AS tf, df FROM vocabulary", terms=TERMS, vocabulary=VOCABULARY),
+    sql("docs", "SELECT term, CAST(tf AS BIGINT) AS tf, df FROM vocabulary", terms=TERMS, vocabulary=VOCABULARY),
 )
 def _(t: Tables):
-    return tx.top_terms(tx.term_counts(t.labelled, "doc_id"), 20_000, 2)
+    return tx.top_terms(tx.term_counts(t.docs, "doc_id"), 20_000, 2)
 
 
 @query(
     "tfidf_weights",
     sql(
-        "labelled",
+        "docs",
         f"SELECT doc_id, term, {r6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 'weight')} FROM raw_weights",
         terms=TERMS,
         vocabulary=VOCABULARY,
-        raw_weights="""SELECT doc_id, term, t.tf * (ln((1.0 + (SELECT count(*) FROM labelled)) / (1.0 + v.df)) + 1.0) AS w
+        raw_weights="""SELECT doc_id, term, t.tf * (ln((1.0 + (SELECT count(*) FROM docs)) / (1.0 + v.df)) + 1.0) AS w
                        FROM terms t JOIN vocabulary v USING (term)""",
     ),
 )
 def _(t: Tables):
-    counts = tx.term_counts(t.labelled, "doc_id")
-    n = t.raw("documents").join(t.raw("labels"), "doc_id").agg(F.count(F.lit(1))).scalar()
+    counts = tx.term_counts(t.docs, "doc_id")
+    n = t.raw("documents").agg(F.count(F.lit(1))).scalar()
     return tx.tfidf_weights(counts, tx.top_terms(counts, 20_000, 2), n, "doc_id")
 
 

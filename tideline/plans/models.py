@@ -11,7 +11,7 @@ from tideline.plans.fixtures import EVENTS, OK, Tables, r6, r6s, sql
 from tideline.plans.history import MOMENTUM
 from tideline.plans.ingest import TOKENS
 from tideline.plans.registry import query
-from tideline.scale import join_one_row_per_key, pin
+from tideline.scale import join_one_row_per_key
 
 RESULTS = ["user_id", "event_id", "dv_pred", "da_pred"]
 TRAIN_MEANS = """SELECT avg(v) AS mv, avg(a) AS ma FROM entries JOIN user_split USING (user_id) WHERE part = 'train'"""
@@ -155,7 +155,7 @@ def _(t: Tables):
 def _doc_features(t: Tables):
     rows = tx.text_features(t.labelled)
     rows = rows.select("doc_id", "text", "flag", "source", "quality", "toxic", *[F.col(c).cast("double").alias(c) for c in ("n_tokens", "n_chars", "n_marks", "flag_int")])
-    return pin(rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5)))
+    return rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5)).persist()
 
 
 NUMERIC = ["n_tokens", "n_chars", "n_marks", "flag_int"]
@@ -184,35 +184,33 @@ def _(t: Tables):
 @query("forest_cross_validation")
 def _(t: Tables):
     rows = profiles.half_profile(t.halves, EVENTS).join(profiles.half_change(t.halves, EVENTS), "user_id")
-    rows = rows.withColumn("fold", splits.row_fold([F.col("user_id")], 2))
+    rows = rows.withColumn("fold", splits.row_fold([F.col("user_id")], 5))
     columns = profiles.PROFILE_COLUMNS
-    rows = pin(rows.select("user_id", "fold", *[F.col(c).cast("double").alias(c) for c in columns], "v_half_change"))
-    return learn.cross_validate(rows, "fold", 2, {"forest": learn.fit_predict_forest(columns)}, ["v_half_change"])
+    targets = ["v_half_change", "a_half_change"]
+    rows = rows.select("user_id", "fold", *[F.col(c).cast("double").alias(c) for c in columns], *targets).persist()
+    return learn.cross_validate(rows, "fold", 5, {"forest": learn.fit_predict_forest(columns)}, targets)
 
 
 @query("tfidf_ridge")
 def _(t: Tables):
-    rows = _doc_features(t)
-    train, test = rows.where("fold <> 0"), rows.where("fold = 0")
-    scored = learn.fit_predict_tfidf("doc_id", min_df=2)(train, test, ["quality"])
-    return scored.select("doc_id", "quality", "quality_pred")
+    scored = learn.out_of_fold(_doc_features(t), "fold", 5, learn.fit_predict_tfidf("doc_id", min_df=2), ["quality", "toxic"])
+    return scored.select("doc_id", "fold", "quality", "quality_pred", "toxic", "toxic_pred")
 
 
 @query("tfidf_numeric_ridge")
 def _(t: Tables):
-    rows = _doc_features(t)
-    train, test = rows.where("fold <> 0"), rows.where("fold = 0")
-    scored = learn.fit_predict_tfidf("doc_id", numeric=["n_marks", "flag_int"], min_df=2)(train, test, ["quality"])
-    return scored.select("doc_id", "quality", "quality_pred")
+    fit_predict = learn.fit_predict_tfidf("doc_id", numeric=["n_marks", "flag_int"], min_df=2)
+    scored = learn.out_of_fold(_doc_features(t), "fold", 5, fit_predict, ["quality", "toxic"])
+    return scored.select("doc_id", "fold", "quality", "quality_pred", "toxic", "toxic_pred")
 
 
 @query("embedding_ridge")
 def _(t: Tables):
     from pyspark.ml.functions import array_to_vector
 
-    rows = t.labelled.join(t.vectors, "doc_id").select("doc_id", "quality", array_to_vector("vec").alias("features"))
-    rows = pin(rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5)))
-    return learn.cross_validate(rows, "fold", 5, {"embedding": learn.fit_predict_ridge("features")}, ["quality"])
+    rows = t.labelled.join(t.vectors, "doc_id").select("doc_id", "quality", "toxic", array_to_vector("vec").alias("features"))
+    rows = rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5)).persist()
+    return learn.cross_validate(rows, "fold", 5, {"embedding": learn.fit_predict_ridge("features")}, ["quality", "toxic"])
 
 
 @query(
@@ -235,7 +233,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return baselines.blend(t.stored_preds, pin(forecast(t)), {"dv_pred": 0.25, "da_pred": 0.5}, "user_id")
+    return baselines.blend(t.stored_preds, forecast(t), {"dv_pred": 0.25, "da_pred": 0.5}, "user_id")
 
 
 @query(

@@ -1,24 +1,19 @@
-"""Size checks and skew handling shared by all operators.
+"""Skew handling shared by all operators.
 
-Nothing here changes a result. Each helper has a plain way for data of checked
-size and a second way for groups too large for one task.
+Nothing here changes a result, and nothing decides by file sizes: entities are counted.
 """
 
 from __future__ import annotations
 
-import math
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 
-# Session settings and their defaults. A group of up to MAX_TASK_ROWS rows may be
-# sorted by one task; a whole input below MAX_TASK_BYTES needs no skew check.
+# Session setting and its default: a group of up to this many rows may be sorted by one task.
 MAX_TASK_ROWS = ("spark.tideline.maxTaskRows", 5_000_000)
-MAX_TASK_BYTES = ("spark.tideline.maxTaskBytes", 64 * 1024 * 1024)
-MAX_HOT_KEYS = ("spark.tideline.maxHotKeys", 200_000)
+#: Cut points drawn for each MAX_TASK_ROWS rows of a hot entity; more make chunks more even.
+CUTS = 4
 
 
 def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
@@ -26,101 +21,56 @@ def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
     return int(spark.conf.get(name, str(default)))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of a plan's inputs by file statistics; starts no job and no optimizer run.
-    Inputs of unknown size (e.g. pinned ones) count as very large."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.length()))
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True if even the whole input in one task would be small."""
-    return estimated_bytes(df) <= setting(df.sparkSession, MAX_TASK_BYTES)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only for local runs."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-
-
-def pin(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared checkpoint folder, so that values which depend
-    on the partition (chunk numbers) stay the same when an executor is lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def hot_keys(df: DataFrame, keys: list[str]) -> list:
-    """Keys with more rows than one task should take.
-
-    Counted with a map-side combined aggregate over the key columns alone. There are
-    at most (rows / MAX_TASK_ROWS) such keys, so they fit on the driver; the limit
-    below only guards against a wrong setting and raises instead of dropping keys.
-    """
-    spark = df.sparkSession
-    if fits_one_task(df.select(*keys)):
-        return []
-    most = setting(spark, MAX_HOT_KEYS)
-    found = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > setting(spark, MAX_TASK_ROWS))
-        .select(*keys)
-        .limit(most + 1)
-        .collect()
-    )
-    if len(found) > most:
-        raise RuntimeError(f"over {most} hot keys: raise {MAX_TASK_ROWS[0]}")
-    return found
-
-
 def join_one_row_per_key(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join many ``left`` rows to at most one ``right`` row per key.
 
-    Rows of hot keys meet a broadcast copy of their few right rows (one per hot key)
-    and are not shuffled; all other rows take Spark's own choice of join.
+    A plain equi-join: adaptive execution broadcasts a right side that turns out small, and
+    else splits the partitions of hot (and null) keys on the left, whose right rows are few.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
-    found = hot_keys(left, on)
-    if not found:
-        return left.join(right, on, how)
-    schema = left.select(*on).schema
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
-    right_hot = F.broadcast(right.join(hot, on, "left_semi"))
-    part_hot = left.join(hot, on, "left_semi").join(right_hot, on, how)
-    part_rest = left.join(hot, on, "left_anti").join(right, on, how)
-    return part_hot.unionByName(part_rest)
+    return left.join(right, on, how)
+
+
+#: Whether inputs counted so far have a hot entity, by session and plan. A stale answer can
+#: cost time, never rows: cut points are found anew whenever a plan runs.
+_counted: dict[tuple, bool] = {}
+
+
+def has_hot_entity(df: DataFrame, entity: list[str]) -> bool:
+    """True if one entity has more rows than a task should sort; one map-side combined count."""
+    spark = df.sparkSession
+    limit = setting(spark, MAX_TASK_ROWS)
+    rows = df.select(*entity)
+    known = (id(spark), limit, rows.semanticHash())
+    if known not in _counted:
+        most = rows.groupBy(*entity).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows").alias("most")).first()
+        _counted[known] = (most["most"] or 0) > limit
+    return _counted[known]
 
 
 def spread(df: DataFrame, entity: list[str], order: list[str]) -> tuple[DataFrame, bool]:
     """Cut hot entities into chunks of consecutive rows.
 
-    Returns the input unchanged if no entity is hot. Otherwise the rows are range
-    partitioned by (entity, order), each partition number becomes the chunk number
-    and the result is pinned. Range bounds cut at most one entity each, so at most
-    two chunks per partition belong to entities with several chunks.
+    Returns the input unchanged if no entity is hot. Otherwise cut points are drawn from the
+    rows of hot entities, about ``CUTS`` for each task-sized run, by a hash of the row's place;
+    a row's chunk is the number of its entity's cut points at or before it. So the chunk is a
+    function of the row: nothing is pinned, and rows of other entities keep chunk 0.
     """
-    spark = df.sparkSession
-    if fits_one_task(df.select(*entity, *order)):
-        return df, False
-    sizes = df.groupBy(*entity).agg(F.count(F.lit(1)).alias("_rows"))
-    top = sizes.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("total")).first()
-    limit = setting(spark, MAX_TASK_ROWS)
-    if top["most"] is None or top["most"] <= limit:
+    if CHUNK in df.columns:
+        return df, True
+    if not has_hot_entity(df, entity):
         return df, False
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(2 * top["total"] / limit))
-    ranged = df.repartitionByRange(parts, *[F.col(c) for c in (*entity, *order)])
-    return pin(ranged.withColumn(CHUNK, F.spark_partition_id())), True
+    limit = setting(df.sparkSession, MAX_TASK_ROWS)
+    sizes = df.groupBy(*entity).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
+    places = df.select(*entity, F.struct(*order).alias("_at")).join(sizes.drop("_rows"), entity, "left_semi")
+    drawn = places.where(F.pmod(F.xxhash64("_at"), F.lit(limit)) < CUTS)
+    cuts = drawn.groupBy(*entity).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
+    cuts = cuts.select(*[F.col(k).alias("_e_" + k) for k in entity], "_cuts")
+    joined = df.join(cuts, same_key(df, cuts, entity, "_e_"), "left")
+    before = F.size(F.filter("_cuts", lambda x: x <= F.struct(*order)))
+    chunked = joined.withColumn(CHUNK, F.when(F.col("_cuts").isNull(), 0).otherwise(before))
+    return chunked.drop("_cuts", *["_e_" + k for k in entity]), True
 
 
 def attach(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
@@ -132,18 +82,6 @@ def attach(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
     return df.withColumn(name, one_row.select(F.struct(*one_row.columns)).scalar())
 
 
-def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores, before work
-    that is heavy per row. Tables of ordinary size have more and stay as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    setting_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    per_partition = int(setting_bytes[:-1]) if setting_bytes.endswith("b") else 128 * 1024 * 1024
-    if estimated_bytes(df) >= cores * per_partition:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def same_key(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
     """Null-safe equality of ``keys`` with the prefixed columns of ``right``."""
     condition = F.lit(True)

@@ -58,21 +58,24 @@ def normalise(df: DataFrame, schema: str | T.StructType, what: str = "table") ->
     return df.select(*out)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
+def read_any(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Parquet, or CSV with a header by file name. CSV columns are read as text and cast
-    by :func:`normalise`, so no pass over the data is spent on inference."""
+    by :func:`normalise`, so no pass over the data is spent on inference. ``multi_line``
+    allows line breaks in quoted values; such a file is read by one task."""
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     return spark.read.parquet(path)
 
 
-def load_tables(spark: SparkSession, paths: dict[str, str], schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def load_tables(
+    spark: SparkSession, paths: dict[str, str], schemas: dict[str, str] | None = None, multi_line: bool = False
+) -> dict[str, DataFrame]:
     """Lazily read named tables; all missing paths are reported together."""
     schemas = schemas or SCHEMAS
     tables, missing = {}, []
     for name, path in paths.items():
         try:
-            raw = read_any(spark, path)
+            raw = read_any(spark, path, multi_line)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise

@@ -51,4 +51,4 @@ def import_npz(spark: SparkSession, path: str, key: list[str], matrix: str = "em
                     part = {k: v[start : start + 1024] for k, v in keys.items()}
                     yield pd.DataFrame({**part, vector: list(rows[start : start + 1024])})
 
-    return files.repartition("path").mapInPandas(unpack, schema)
+    return files.mapInPandas(unpack, schema)

@@ -4,8 +4,8 @@
 values are window expressions. When one entity is too large for a task, its rows are
 cut into chunks (:func:`tideline.scale.spread`): the same window expressions run per
 chunk, each chunk is reduced to one summary row, and what enters a chunk from the
-chunks before it is computed from the summaries and joined back. The summaries that
-are joined back belong to cut entities only and are at most two per range partition.
+chunks before it is computed from the summaries and joined back. Only summaries of cut
+entities are joined back.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ class Timeline:
         return summary.select(*columns, chunk_count.alias("_chunks")).where("_chunks > 1").drop("_chunks")
 
     def _join_carry(self, local: DataFrame, carry: DataFrame, merges: dict) -> Timeline:
-        joined = local.join(F.broadcast(carry), same_key(local, carry, self.keys, "_c_"), "left")
+        joined = local.join(carry, same_key(local, carry, self.keys, "_c_"), "left")
         merged = joined.withColumns({n: m(F.col(n), F.col("_c_" + n)) for n, m in merges.items()})
         return self._with(merged.drop(*carry.columns))
 
@@ -234,21 +234,26 @@ class Timeline:
             parts = [F.sum(F.col("_ok").cast("long")).alias("_m")]
             for n in names:
                 parts += [F.max_by("_s_" + n, at).alias("_s_" + n), F.min_by("_x_" + n, at).alias("_f_" + n)]
+            # Chunks without an eligible row are left out of the fold, so the last `size` chunks
+            # hold at least `size` eligible rows; what was before weighs under 1e-18.
+            held = W.partitionBy(*self.entity, F.col("_m") > 0).orderBy(CHUNK).rowsBetween(-size, 0)
             chunks = W.partitionBy(*self.entity).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
 
-            def entering(n: str) -> Column:
+            def leaving(n: str) -> Column:
                 ended = F.collect_list(F.struct(F.col("_m").alias("m"), F.col("_s_" + n).alias("s"), F.col("_f_" + n).alias("f")))
-                return F.aggregate(
-                    ended.over(chunks),
+                state = F.aggregate(
+                    ended.over(held),
                     F.lit(None).cast("double"),
-                    lambda state, c: F.when(c["m"] == 0, state).otherwise(
-                        c["s"] + F.coalesce(state, c["f"]) * F.pow(F.lit(keep), c["m"])
-                    ),
+                    lambda state, c: c["s"] + F.coalesce(state, c["f"]) * F.pow(F.lit(keep), c["m"]),
                 )
+                return F.when(F.col("_m") > 0, state)
 
             summary = local.groupBy(*self.keys).agg(*parts)
-            carry = self._of_cut_entities(summary, {n: entering(n) for n in names})
-            local = local.join(F.broadcast(carry), same_key(local, carry, self.keys, "_c_"), "left")
+            summary = summary.withColumns({"_after_" + n: leaving(n) for n in names})
+            carry = self._of_cut_entities(
+                summary, {n: F.last("_after_" + n, ignorenulls=True).over(chunks) for n in names}
+            )
+            local = local.join(carry, same_key(local, carry, self.keys, "_c_"), "left")
         else:
             carry = None
             local = local.withColumns({"_c_" + n: F.lit(None).cast("double") for n in names})
