@@ -63,7 +63,9 @@ def spread(df: DataFrame, entity: list[str], order: list[str]) -> tuple[DataFram
         return df, False
     limit = setting(df.sparkSession, MAX_TASK_ROWS)
     sizes = df.groupBy(*entity).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit)
-    places = df.select(*entity, F.struct(*order).alias("_at")).join(sizes.drop("_rows"), entity, "left_semi")
+    hot = sizes.select(*[F.col(k).alias("_h_" + k) for k in entity])
+    places = df.select(*entity, F.struct(*order).alias("_at"))
+    places = places.join(hot, same_key(places, hot, entity, "_h_"), "left_semi")
     drawn = places.where(F.pmod(F.xxhash64("_at"), F.lit(limit)) < CUTS)
     cuts = drawn.groupBy(*entity).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
     cuts = cuts.select(*[F.col(k).alias("_e_" + k) for k in entity], "_cuts")
