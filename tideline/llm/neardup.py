@@ -4,16 +4,18 @@ A document's set is its distinct shingles of ``width`` words (all words as one s
 has fewer, nothing if it has none). Documents with equal sets form a class; the rest works on
 classes. A sketch holds the ``SKETCH`` smallest hashes of a set.
 
-1. Inverted lists of the ``KEYS`` smallest values give pairs that share a value. A list of at
-   most ``SHORT`` classes gives its pairs. Longer lists matter only for classes whose
-   sketches hold fewer than ``RARE`` values with short lists (a linked pair shares each of
-   them with a chance of 0.8 or more, so others are found in the short lists but for a
-   chance of 0.2 ** RARE); in these each class is paired with ``HUBS`` hubs.
+1. Inverted lists of the ``KEYS`` smallest values give pairs. A list of at most ``SHORT``
+   classes gives its pairs; those that meet in two lists are candidates. Longer lists matter
+   only for classes whose sketches hold fewer than ``RARE`` values with short lists: a linked
+   pair shares each of them with a chance of 0.8 or more, so that of ``RARE`` less than two
+   are shared with a chance of 2e-7. In long lists each such class is paired with ``HUBS``
+   hubs.
 2. The union sketch of a pair estimates its similarity; clear misses are left out.
 3. The exact Jaccard of the full sets decides. First every class is verified against its best
-   partner only, which joins most of a large group; then all candidates left between
-   different components are verified, among them all pairs of different components within
-   the long lists, in blocks of at most ``BLOCK`` by ``BLOCK``. So no link between components
+   two partners only, which joins most of a large group; then all candidates left between
+   different components are verified. Within the long lists, all sets of different components
+   meet in blocks of at most about ``BLOCK`` by ``BLOCK`` (a class takes the lists of its
+   ``LISTS`` smallest values), from which only links come out. So no link between components
    is left out, and a large group never becomes all of its pairs.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import components, durable, table
 from tideline.llm.words import LOWER, NOT_SPACE, chain, hashed_words, mix, slices
 
-SKETCH, KEYS, SHORT, RARE, HUBS, BLOCK = 48, 24, 16, 8, 4, 256
+SKETCH, KEYS, SHORT, RARE, HUBS, LISTS, BLOCK = 48, 24, 16, 12, 4, 8, 512
 #: Shared values of a union sketch below which a pair at the threshold falls with a chance
 #: of about 1e-8 (binomial tail for 48 draws at 0.8), as standard deviations.
 SLACK = 5.5
@@ -130,19 +132,16 @@ def _scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("hit") >= t * F.col("of") - slack).select("x", "y", (F.col("hit") / F.col("of")).alias("est"))
 
 
+def _sets(needed: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``class, full`` of the needed classes, from the text of one document of each."""
+    ids = needed.join(classes.select("class", F.col("first").alias("doc_id")), "class").select("doc_id").distinct()
+    full = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "class binary, full binary")
+    return durable(full.where("class is not null").groupBy("class").agg(F.first("full").alias("full")))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full sets have the similarity; full sets are made for these alone."""
-    needed = pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct()
-    ids = needed.join(classes.select("class", F.col("first").alias("doc_id")), "class").select("doc_id").distinct()
-    full = (
-        docs.select("doc_id", "text")
-        .join(ids, "doc_id", "left_semi")
-        .mapInArrow(_full_sets(width), "class binary, full binary")
-        .where("class is not null")
-        .groupBy("class")
-        .agg(F.first("full").alias("full"))
-    )
-    full = durable(full)
+    full = _sets(pairs.select(F.col("x").alias("class")).union(pairs.select("y")).distinct(), docs, classes, width)
     joined = pairs.join(full.toDF("x", "xs"), "x").join(full.toDF("y", "ys"), "y")
     return durable(joined.select("x", "y", "xs", "ys").mapInArrow(_exact(percent), "x binary, y binary"))
 
@@ -151,6 +150,78 @@ def _pair(a: str, b: str):
     return F.least(a, b).alias("x"), F.greatest(a, b).alias("y")
 
 
+def _way(node: str, partner: str):
+    return F.struct(F.col(node).alias("node"), F.col(partner).alias("partner"))
+
+
+def _block_links(percent: int):
+    """Links between different components in one block of sets; enough of them to join all that are linked."""
+
+    def run(block: pa.Table) -> pa.Table:
+        classes, roots = block.column("class").to_pylist(), block.column("root").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in block.column("full").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), n)
+        shared = count[inverse] > 1  # a value of one set alone is in no intersection
+        number = (np.cumsum(count > 1) - 1)[inverse[shared]]
+        row = row[shared]
+        order = np.argsort(number, kind="stable")
+        number, row = number[order], row[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        width = max(1, (1 << 22) // len(sets))
+        for start in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+            lo, hi = np.searchsorted(number, [start, start + width])
+            held = np.zeros((len(sets), width), np.float32)
+            held[row[lo:hi], number[lo:hi] - start] = 1
+            both += held @ held.T
+        part = np.unique(np.array(roots, object).astype("S16"), return_inverse=True)[1]
+        linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (part[:, None] < part[None, :])
+        names = list(range(int(part.max()) + 1))
+
+        def find(x: int) -> int:
+            while names[x] != x:
+                names[x] = names[names[x]]
+                x = names[x]
+            return x
+
+        xs, ys = [], []
+        for i, j in np.argwhere(linked).tolist():
+            p, q = find(int(part[i])), find(int(part[j]))
+            if p != q:
+                names[p] = q
+                xs.append(min(classes[i], classes[j]))
+                ys.append(max(classes[i], classes[j]))
+        return pa.table({"x": pa.array(xs, pa.binary()), "y": pa.array(ys, pa.binary())})
+
+    return run
+
+
+def _across(tagged: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``x, y`` between different components within the long lists.
+
+    Of the lists that hold several components each class takes those of its ``LISTS`` smallest
+    values. A list is cut into blocks of about ``BLOCK`` and every two blocks are compared in a
+    task: pairs stay there, only links come out.
+    """
+    mixed = tagged.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rows = tagged.join(mixed.where("lo <> hi").select("value"), "value")
+    own = F.slice(F.array_sort(F.collect_list("value")), 1, LISTS)  # at most KEYS values are collected
+    rows = rows.groupBy("class", "root").agg(own.alias("values")).select("class", "root", F.explode("values").alias("value"))
+    rows = durable(rows)
+    sizes = rows.groupBy("value").agg(
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    )
+    sizes = sizes.where("lo <> hi").select("value", "blocks")
+    placed = rows.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("class", "root", "value", "own", other).select(
+        "class", "root", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+    placed = placed.join(_sets(rows.select("class").distinct(), docs, classes, width), "class")
+    return durable(placed.groupBy("value", "i", "j").applyInArrow(_block_links(percent), "x binary, y binary").distinct())
+
+
 def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """``class, root`` of the classes that have a link: the component as its smallest class."""
     classes = durable(
@@ -170,7 +241,10 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         .join(short.select("value", F.col("class").alias("q"), F.col("n").alias("nq")), "value")
         .where("p < q")
         .where(100 * F.least("np", "nq") >= percent * F.greatest("np", "nq"))
-        .select(F.col("p").alias("x"), F.col("q").alias("y"))
+        .groupBy(F.col("p").alias("x"), F.col("q").alias("y"))
+        .agg(F.count("*").alias("lists"))
+        .where("lists > 1")
+        .select("x", "y", F.lit(3).alias("who"))
     )
     # a value of its own also counts as rare: it shows that the class differs
     common = entries.groupBy("class").agg(F.count_if(F.col("len") > SHORT).alias("common"))
@@ -183,42 +257,36 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
     long = durable(entries.where(F.col("len") > SHORT).join(hard, "class"))
     hubs = None
     for i in range(HUBS):
-        own = long.groupBy("value").agg(
-            F.min_by("class", F.xxhash64("class", F.lit(i))).alias("hub"),
-        )
+        own = long.groupBy("value").agg(F.min_by("class", F.xxhash64("class", F.lit(i))).alias("hub"))
         hubs = own if hubs is None else hubs.union(own)
-    starred = long.join(hubs.distinct(), "value").where("class <> hub").select(*_pair("class", "hub"))
-    scored = durable(_scored(near.union(starred).distinct(), classes, percent))
-    best = scored.groupBy("y").agg(F.max(F.struct("est", "x")).alias("b")).select(F.col("b.x").alias("x"), "y")
-    linked = _verified(durable(best), docs, classes, width, percent)
-    roots = components(linked, "x", "y")
-    named = roots.toDF("class", "root")
-    tagged = long.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    # lists within one component are done
-    mixed = tagged.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"))
-    open_lists = tagged.join(mixed.where("lo <> hi").select("value", "m"), "value").withColumn(
-        "blocks", F.ceil(F.col("m") / BLOCK).cast("int")
-    ).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    open_lists = durable(open_lists)
-    left = open_lists.select(
-        "value", F.col("class").alias("p"), F.col("n").alias("np"), F.col("root").alias("rp"), F.col("own").alias("i"),
-        F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"),
+    starred = (
+        long.join(hubs.distinct(), "value")
+        .where("class <> hub")
+        .select(*_pair("class", "hub"), F.when(F.col("class") < F.col("hub"), 1).otherwise(2).alias("who"))
     )
-    right = open_lists.select(
-        "value", F.col("class").alias("q"), F.col("n").alias("nq"), F.col("root").alias("rq"), F.col("own").alias("j"),
-        F.explode(F.sequence(F.lit(0), "own")).alias("i"),
+    chosen = near.union(starred).groupBy("x", "y").agg(F.bit_or("who").alias("who"))
+    scored = durable(_scored(chosen, classes, percent).join(chosen, ["x", "y"]))
+    # each class is verified against the best two of the partners that it has chosen, a bounded list
+    own = scored.select(
+        "est", F.explode(F.when(F.col("who") == 3, F.array(_way("x", "y"), _way("y", "x")))
+                         .when(F.col("who") == 1, F.array(_way("x", "y"))).otherwise(F.array(_way("y", "x")))).alias("w")
     )
-    across = (
-        left.join(right, ["value", "i", "j"])
-        .where("rp <> rq and (i < j or p < q)")
-        .where(100 * F.least("np", "nq") >= percent * F.greatest("np", "nq"))
-        .select(*_pair("p", "q"))
+    best = (
+        own.groupBy("w.node")
+        .agg(F.slice(F.sort_array(F.collect_list(F.struct("est", F.col("w.partner").alias("partner"))), asc=False), 1, 2).alias("top"))
+        .select("node", F.explode("top").alias("t"))
+        .select(*_pair("node", "t.partner"))
         .distinct()
     )
-    rest = _scored(across, classes, percent).select("x", "y").union(scored.select("x", "y"))
+    best = durable(best)
+    linked = _verified(best, docs, classes, width, percent)
+    roots = components(linked, "x", "y")
+    named = roots.toDF("class", "root")
+    tagged = long.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    across = _across(tagged, docs, classes, width, percent)
     side = lambda s: named.toDF(s, f"r{s}")
     rest = (
-        rest.distinct()
+        scored.select("x", "y")
         .join(side("x"), "x", "left")
         .join(side("y"), "y", "left")
         .where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
@@ -226,7 +294,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         .select("x", "y")
     )
     more = _verified(durable(rest), docs, classes, width, percent)
-    return components(linked.union(more), "x", "y").toDF("class", "root")
+    return components(linked.union(across).union(more), "x", "y").toDF("class", "root")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
