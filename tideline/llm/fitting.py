@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,20 @@ def logistic(x: np.ndarray, y: np.ndarray, totals: dict[int, int], penalty: floa
     return w, float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean())
 
 
+class Packed:
+    """An array that travels compressed: tables of counts are mostly zeros."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def __getstate__(self):
+        return zlib.compress(np.ascontiguousarray(self.values).tobytes(), 1), self.values.dtype.str, self.values.shape
+
+    def __setstate__(self, state):
+        raw, kind, shape = state
+        self.values = np.frombuffer(zlib.decompress(raw), kind).reshape(shape)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 

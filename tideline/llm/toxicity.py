@@ -34,7 +34,7 @@ from tideline.llm.fitting import labelled_sample, logistic, sigmoid, unit
 from tideline.llm.words import ALNUM, LOWER, chain, hashed_words, mix, owner, slices, text_buffer
 
 #: Bounds of the model: words, pairs, and labelled documents per class.
-WORDS, STEMS, PAIRS, FIT_ROWS = 1 << 16, 1 << 16, 1 << 20, 12000
+WORDS, STEMS, PAIRS, FIT_ROWS = 1 << 16, 1 << 16, 1 << 19, 12000
 STEM, HELD, CLEAR, FEATURES = 6, 0.25, 1.0, 5
 #: Discounts to choose from, by the log-loss on labelled documents that are not in the counts.
 DISCOUNTS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
@@ -125,11 +125,11 @@ class Vocabulary:
         return ptr, np.where(word >= 0, word, len(self.words) + _find(self.stems, key >> np.uint64(16)) + 1)
 
 
-def _pairs(ptr: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Left and right word numbers of every word as one long; the first has the start sign (all bits) at left."""
+def _pairs(ptr: np.ndarray, ids: np.ndarray, start: int) -> np.ndarray:
+    """Left and right word numbers of every word as one long; the first has the start sign at left."""
     left = np.empty(len(ids), np.int64)
     left[1:] = ids[:-1]
-    left[ptr[:-1][np.diff(ptr) > 0]] = (1 << _WIDTH) - 1
+    left[ptr[:-1][np.diff(ptr) > 0]] = start
     return left << _WIDTH | ids
 
 
@@ -157,7 +157,7 @@ def _class_pairs(shared):
             for part in slices(batch, "text"):
                 ptr, ids = vocabulary.numbers(part.column("text"))
                 label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-                pair = _pairs(ptr, ids)
+                pair = _pairs(ptr, ids, len(vocabulary.stem_of))
                 doc = owner(ptr)
                 before = np.append(0, pair[:-1] >> _WIDTH) if len(pair) else pair
                 # each pair of a text with the word before it where it comes first
@@ -182,16 +182,16 @@ class Counts:
 
     def __init__(self, pairs: np.ndarray, n: np.ndarray, left_n: np.ndarray, before: np.ndarray, vocabulary: Vocabulary, discount: float):
         discounted = lambda x: np.maximum(x - discount, 0)
-        order = np.argsort(pairs)
-        self.pairs, self.kept = pairs[order], discounted(n[order])
-        self.left_n = left_n
-        used = np.bincount(self.pairs >> _WIDTH, self.kept, minlength=len(left_n)) if len(pairs) else np.zeros(len(left_n))
-        self.rest = left_n - used
+        self.pairs, self.n, self.left_n, self.discount = pairs, n, left_n, discount
+        kept = discounted(n)
+        used = np.bincount(pairs >> _WIDTH, kept, minlength=len(left_n)) if len(pairs) else np.zeros(len(left_n))
+        self.rest = (left_n - used).astype(np.float32)
         total = max(before.sum(), 1.0)
         by_stem = discounted(np.bincount(vocabulary.stem_of, before, minlength=len(vocabulary.shared)))
         stem = (by_stem + (total - by_stem.sum()) * vocabulary.shared) / total
         base = discounted(before)
         self.word = (base + (total - base.sum()) * stem[vocabulary.stem_of] * vocabulary.within) / total
+        self.word = self.word.astype(np.float32)
 
     def log(self, pair: np.ndarray) -> np.ndarray:
         left, right = pair >> _WIDTH, pair & ((1 << _WIDTH) - 1)
@@ -199,8 +199,9 @@ class Counts:
         found = np.zeros(len(pair))
         if len(self.pairs):
             at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            found = np.where(self.pairs[at] == pair, self.kept[at], 0.0)
-        p = np.where(n > 0, (found + self.rest[left] * self.word[right]) / np.maximum(n, 1), self.word[right])
+            found = np.where(self.pairs[at] == pair, np.maximum(self.n[at] - self.discount, 0), 0.0)
+        word = self.word[right].astype(float)
+        p = np.where(n > 0, (found + self.rest[left] * word) / np.maximum(n, 1), word)
         return np.log(np.maximum(p, 1e-300))
 
 
@@ -211,7 +212,7 @@ class Model:
 
     def features(self, texts) -> np.ndarray:
         ptr, ids = self.vocabulary.numbers(texts)
-        pair = _pairs(ptr, ids)
+        pair = _pairs(ptr, ids, len(self.vocabulary.stem_of))
         ratio = self.toxic.log(pair) - self.ordinary.log(pair)
         n = np.diff(ptr)
         mean, excess = np.zeros(len(n)), np.zeros(len(n))
@@ -236,7 +237,7 @@ def _class_tables(rows: DataFrame, label: int, size: int, bound: int):
     own = rows.where(F.col("kind") == label).select("pair", "n")
     drawn = rows.where(F.col("kind") == label + 2).select("pair")
     left, right = F.shiftright("pair", _WIDTH), F.col("pair").bitwiseAND((1 << _WIDTH) - 1)
-    left_n, before = np.zeros(1 << _WIDTH), np.zeros(size)
+    left_n, before = np.zeros(size + 1, np.float32), np.zeros(size)
     for frame, key, value, into in (
         (own, left, F.sum("n"), left_n),
         (drawn, right, F.count("*"), before),
@@ -244,7 +245,8 @@ def _class_tables(rows: DataFrame, label: int, size: int, bound: int):
         got = frame.groupBy(key.alias("k")).agg(value.alias("v")).toPandas()  # at most a row per word
         into[got["k"].to_numpy(np.int64)] = got["v"].to_numpy(float)
     kept = _at_most(own.where("n > 1"), bound).toPandas()
-    return kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(float), left_n, before
+    kept = kept.sort_values("pair")
+    return kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(np.float32), left_n, before
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model | float:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import fold_ascii, table
-from tideline.llm.fitting import unit
+from tideline.llm.fitting import Packed, unit
 from tideline.llm.words import mix, slices, text_buffer
 
 ORDER, BITS, HELD, BINS = 5, 18, 0.2, 512
@@ -109,16 +109,14 @@ class Model:
     """Counts of one class by order: of context and next byte, of contexts, and of kinds of next byte."""
 
     def __init__(self):
-        self.both = np.zeros((ORDER + 1, 1 << BITS))
-        self.total = np.zeros((ORDER + 1, 1 << BITS))
-        self.kinds = np.zeros((ORDER + 1, 1 << BITS))
+        self.both, self.total, self.kinds = (Packed(np.zeros((ORDER + 1, 1 << BITS), np.float32)) for _ in range(3))
 
     def log(self, keys) -> np.ndarray:
         p = None
         for k, _, c, both in keys:
             p = np.full(len(c), 1 / 256) if p is None else p
-            total, kinds = self.total[k][c], self.kinds[k][c]
-            p = np.where(total > 0, (self.both[k][both] + kinds * p) / np.maximum(total + kinds, 1), p)
+            total, kinds = self.total.values[k][c], self.kinds.values[k][c]
+            p = np.where(total > 0, (self.both.values[k][both] + kinds * p) / np.maximum(total + kinds, 1), p)
         return np.log(p) if p is not None else np.zeros(0)
 
 
@@ -162,15 +160,15 @@ def fit(pages: DataFrame) -> tuple[tuple[Model, Model], float] | None:
         own = (p >> 40) == label
         if not own.any():
             return None
-        model.both[(p[own] >> 32) & 255, p[own] & mask] = n[own]
+        model.both.values[(p[own] >> 32) & 255, p[own] & mask] = n[own]
         q, m = kinds["place"].to_numpy(np.int64), kinds["n"].to_numpy(float)
         mine = (q >> 32) == label
-        model.kinds[(q[mine] >> 28) & 15, q[mine] & mask] = m[mine]
+        model.kinds.values[(q[mine] >> 28) & 15, q[mine] & mask] = m[mine]
     totals = known.where(~held).mapInArrow(_contexts, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     t, n = totals["place"].to_numpy(np.int64), totals["n"].to_numpy(float)
     for label, model in enumerate(models):
         own = (t >> 40) == label
-        model.total[(t[own] >> 32) & 255, t[own] & mask] = n[own]
+        model.total.values[(t[own] >> 32) & 255, t[own] & mask] = n[own]
     shared = pages.sparkSession.sparkContext.broadcast(models)
     scored = known.where(held).mapInArrow(_with_difference(shared), "url string, label int, difference double")
     # the threshold that errs least, both labels weighing the same; counts in bins only
