@@ -55,7 +55,8 @@ class Windows:
         """Offsets of each window's terms, and the terms of each item, from the rarest on."""
         cost = np.where(self.rows < 0, np.iinfo(np.int64).max, counts[self.rows])
         self.order = np.argsort(cost, axis=1, kind="stable")
-        self.rare = [t[np.argsort(counts[t], kind="stable")][:near_terms] for t in self.of_item]
+        known = [t[counts[t] > 0] for t in self.of_item]  # a term that no document has is in no match
+        self.rare = [t[np.argsort(counts[t], kind="stable")][:near_terms] for t in known]
         return self
 
 
