@@ -28,14 +28,17 @@ CACHE = 1 << 18
 _NONE = np.int64(1 << 60)
 
 
+def rank_tokens(content: bytes) -> list[bytes]:
+    """The bytes of each token, by rank."""
+    ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, content.splitlines())}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+
+
 class Ranks:
-    """A rank file as arrays: the bytes of each token, and the rank that each pair merges to."""
+    """A rank file as arrays: the rank that each pair of tokens merges to."""
 
     def __init__(self, content: bytes):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
+        ranks = {token: rank for rank, token in enumerate(rank_tokens(content)) if token}
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -43,10 +46,14 @@ class Ranks:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = rank
-        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.results = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
 
+    def merge(self, left: int, right: int) -> int | None:
+        key = left << 20 | right
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.results[at]) if at < len(self.keys) and self.keys[at] == key else None
+
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``_NONE`` where it does not merge; -1 stands for no token."""
         key = left << 20 | right
@@ -97,11 +104,11 @@ def _merge_rows(ids: np.ndarray, ranks: Ranks) -> np.ndarray:
 def _merge_long(piece: bytes, ranks: Ranks) -> list[int]:
     """One long piece with its own tree in lists."""
     ids = ranks.bytes[np.frombuffer(piece, np.uint8)].tolist()
-    n, none, pairs = len(ids), int(_NONE), ranks.pairs
+    n, none = len(ids), int(_NONE)
     size = 1 << (n - 1).bit_length()
     tree = [none] * (2 * size)
     for i in range(n - 1):
-        rank = pairs.get(ids[i] << 20 | ids[i + 1])
+        rank = ranks.merge(ids[i], ids[i + 1])
         if rank is not None:
             tree[size + i] = rank * size + i
     for node in range(size - 1, 0, -1):
@@ -110,7 +117,7 @@ def _merge_long(piece: bytes, ranks: Ranks) -> list[int]:
 
     def put(i: int) -> None:
         k = after[i]
-        rank = pairs.get(ids[i] << 20 | ids[k]) if k < n else None
+        rank = ranks.merge(ids[i], ids[k]) if k < n else None
         set_leaf(i, none if rank is None else rank * size + i)
 
     def set_leaf(i: int, value: int) -> None:
@@ -146,8 +153,8 @@ def encode_pieces(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
         elif piece:
             groups.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(at)
     for size, own in groups.items():
-        for a in range(0, len(own), 1 << 14):
-            some = own[a : a + (1 << 14)]
+        for a in range(0, len(own), 1 << 12):
+            some = own[a : a + (1 << 12)]
             raw = np.frombuffer(b"".join(pieces[x].ljust(size, b"\0") for x in some), np.uint8).reshape(-1, size)
             n = np.array([len(pieces[x]) for x in some])
             ids = np.where(np.arange(size) < n[:, None], ranks.bytes[raw], -1)
@@ -179,7 +186,7 @@ def _encode(content, pattern: str):
         ranks, known = _ranks(content.value)
         split = regex.compile(pattern).findall
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 if len(known) > CACHE:
                     known.clear()
                 texts = [split(x) if x else [] for x in part.column("text").to_pylist()]
@@ -191,17 +198,19 @@ def _encode(content, pattern: str):
                     [*rest, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.large_binary())],
                     names=[c for c in part.schema.names if c != "text"] + ["n_tokens", "ids"],
                 )
+        known.clear()  # an idle worker holds no more than the ranks
 
     return run
 
 
 def _decode(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _ranks(content.value)[0].tokens.__getitem__
+        token = rank_tokens(content.value).__getitem__
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            raw = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.large_binary())], names=[*batch.schema.names, "decoded"])
+            for part in slices(batch, "ids", 1 << 20):
+                ids = part.column("ids").to_pylist()
+                raw = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.large_binary())], names=[*part.schema.names, "decoded"])
 
     return run
 
