@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import components, durable, table
 from tideline.llm.words import LOWER, NOT_SPACE, chain, hashed_words, mix, slices
 
-SKETCH, KEYS, SHORT, RARE, HUBS, LISTS, BLOCK = 48, 24, 16, 12, 4, 8, 512
+SKETCH, KEYS, SHORT, RARE, HUBS, LISTS, BLOCK = 48, 24, 16, 12, 4, 8, 1024
 #: Shared values of a union sketch below which a pair at the threshold falls with a chance
 #: of about 1e-8 (binomial tail for 48 draws at 0.8), as standard deviations.
 SLACK = 5.5
