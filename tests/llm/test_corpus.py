@@ -183,7 +183,7 @@ def hits_of(text, items, width=10):
         n = min(width, len(v))
         for k in range(len(v) - n + 1 if n else 0):
             for i in range(len(w) - n + 1):
-                if w[i : i + n] == v[k : k + n]:
+                if w[i] == v[k] and w[i : i + n] == v[k : k + n]:
                     hit.update(range(i, i + n))
                     found.add(str(name))
     return len(w), len(hit), sorted(found)
