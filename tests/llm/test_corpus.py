@@ -273,6 +273,19 @@ def test_scores_rank_held_out_documents(spark, name, label):
     assert all(h == (zlib.crc32(str(i).encode()) % of == rest) for i, h in zip(got["doc_id"], got["held_out"], strict=True))
 
 
+def test_rare_words_keep_their_own_counts(spark):
+    often = [f"{i}often" for i in range(70000)]  # more than 65,536 words are more frequent than the rare ones
+    rows = [(k * 2000 + i, " ".join(often[35 * i : 35 * i + 35]), "en", "s", 1) for i in range(2000) for k in range(3)]
+    rare = [f"mywordtoxic{i}" for i in range(80)]
+    rows += [(9000 + i, f"a text with {w} in it {often[i]}", "en", "s", 1) for i, w in enumerate(rare)]
+    labels = spark.createDataFrame([(9000 + i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    own = toxicity.fit(frame(spark, rows), labels).vocabulary
+    _, ids = own.numbers(pa.array([*rare, "mywordunseen", "zzz"]))
+    kept = ids[:80][ids[:80] < len(own.words)]
+    assert len(set(kept.tolist())) == len(kept) > 40  # all but those of held-out texts
+    assert ids[80] >= len(own.words) and own.stem_of[ids[80]] == own.stem_of[kept[0]] > 0 and own.stem_of[ids[81]] == 0
+
+
 def test_language_of_held_out_documents(spark):
     folder = SF.replace("0.001", "0.01")
     got = language.op10_language_id(spark, folder).toPandas().merge(pd.read_parquet(f"{folder}/documents.parquet"))

@@ -1,8 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models of word pairs.
 
-The words of the model (lower-cased runs of letters and digits) are those most frequent in the
-whole corpus. Any other word is known by its stem, the first ``STEM`` bytes, if that is
-frequent, else unknown. Each class has pair counts, which back off to the number of different
+Words are lower-cased runs of letters and digits, a stem is the first ``STEM`` bytes of a word.
+All words of the corpus are counted. The model holds those of the labelled texts, and of any
+other word the stem: with no count in a class, its share of the stem is a factor of both classes,
+so it drops out of their ratio, and so does that of a stem that no labelled text has. No word,
+stem or pair is left out for being rare, and the model grows with the labelled texts. Each class has pair counts, which back off to the number of different
 left neighbours of a word in the class (one drawn from each text), then to that of its stem in the class, then to counts
 of the whole corpus, which both classes share; so rare words of a stem stand in for another:
 
@@ -33,64 +35,52 @@ from tideline.llm.common import crc_bucket, durable, table
 from tideline.llm.fitting import labelled_sample, logistic, sigmoid, unit
 from tideline.llm.words import ALNUM, LOWER, chain, hashed_words, mix, owner, slices, text_buffer
 
-#: Bounds of the model: words, pairs, and labelled documents per class.
-WORDS, STEMS, PAIRS, FIT_ROWS = 1 << 16, 1 << 16, 1 << 19, 12000
+#: Labelled documents per class.
+FIT_ROWS = 12000
 STEM, HELD, CLEAR, FEATURES = 6, 0.25, 1.0, 5
 #: Discounts to choose from, by the log-loss on labelled documents that are not in the counts.
 DISCOUNTS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
-_WIDTH = 20  # bits of a word number
-_DRAWN = 2 << (3 * _WIDTH)
+_WIDTH = 32  # bits of a word number
 
 
-def word_keys(texts) -> tuple[np.ndarray, np.ndarray]:
-    """``ptr, keys``: the stem's bytes in the upper 48 bits, 16 bits of the word's hash below."""
+def word_keys(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``ptr, hashes, stems``: a stem is its bytes as a number."""
     ptr, h, start, end = hashed_words(texts, ALNUM, LOWER, spans=True)
     raw, _ = text_buffer(texts)
-    key = np.zeros(len(h), np.uint64)
+    stem = np.zeros(len(h), np.uint64)
     for k in range(STEM):
         at = start + k
         inside = at < end
-        letter = np.where(inside, LOWER[raw[np.where(inside, at, 0)]], 0) if len(raw) else key
-        key = key << np.uint64(8) | letter.astype(np.uint64)
-    return ptr, key << np.uint64(16) | (h & np.uint64(0xFFFF))
+        letter = np.where(inside, LOWER[raw[np.where(inside, at, 0)]], 0) if len(raw) else stem
+        stem = stem << np.uint64(8) | letter.astype(np.uint64)
+    return ptr, h, stem
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words, stems, counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def merged(w, n):
+    def merged(w, s, n):
         order = np.argsort(w, kind="stable")
-        w, n = w[order], n[order]
+        w, s, n = w[order], s[order], n[order]
         lead = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
-        return w[lead], np.add.reduceat(n, lead) if len(lead) else n[:0]
+        return w[lead], s[lead], np.add.reduceat(n, lead) if len(lead) else n[:0]
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["word", "n"])
+        columns = [words.view(np.int64), stems.view(np.int64), counts]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "stem", "n"])
 
     for batch in batches:
         for part in slices(batch, "text"):
-            _, h = word_keys(part.column("text"))
-            w, n = np.unique(h, return_counts=True)
-            words, counts = merged(np.concatenate([words, w]), np.concatenate([counts, n]))
+            _, h, stem = word_keys(part.column("text"))
+            w, at, n = np.unique(h, return_index=True, return_counts=True)
+            own = (words, w), (stems, stem[at]), (counts, n)
+            words, stems, counts = merged(*[np.concatenate(x) for x in own])
             if len(words) > 1 << 20:
                 yield out()
-                words, counts = words[:0], counts[:0]
+                words, stems, counts = words[:0], stems[:0], counts[:0]
     yield out()
 
 
-def _at_most(frame: DataFrame, bound: int) -> DataFrame:
-    """The rows with the largest ``n``: those of at least the least count that not too many reach."""
-    level = F.least(F.col("n"), F.lit(1 << 20)).alias("level")
-    sizes = frame.groupBy(level).agg(F.count("*").alias("m")).orderBy(F.col("level").desc()).toLocalIterator()
-    least, total = None, 0
-    for row in sizes:  # counts of counts: few rows
-        total += row["m"]
-        if total > bound:
-            break
-        least = row["level"]
-    return frame.where(F.col("n") >= (least if least is not None else 1 << 62))
-
-
 def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Position of each value, -1 where it is not there."""
     if not len(sorted_):
@@ -106,10 +96,10 @@ class Vocabulary:
     ``within`` that of an expression given its stem.
     """
 
-    def __init__(self, words, counts, stems, stem_counts, total: int):
+    def __init__(self, words, word_stems, counts, stems, stem_counts, total: int):
         order, stem_order = np.argsort(words), np.argsort(stems)
         self.words, self.stems = words[order], stems[stem_order]
-        of_word = _find(self.stems, self.words >> np.uint64(16)) + 1
+        of_word = _find(self.stems, word_stems[order]) + 1
         n_stems = len(self.stems) + 1
         self.stem_of = np.concatenate([of_word, np.arange(n_stems)])
         per_stem = np.concatenate([[max(total - stem_counts.sum(), 0)], stem_counts[stem_order]]).astype(float)
@@ -120,9 +110,9 @@ class Vocabulary:
         self.shared = sums / sums.sum()
 
     def numbers(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        ptr, key = word_keys(texts)
-        word = _find(self.words, key)
-        return ptr, np.where(word >= 0, word, len(self.words) + _find(self.stems, key >> np.uint64(16)) + 1)
+        ptr, h, stem = word_keys(texts)
+        word = _find(self.words, h)
+        return ptr, np.where(word >= 0, word, len(self.words) + _find(self.stems, stem) + 1)
 
 
 def _pairs(ptr: np.ndarray, ids: np.ndarray, start: int) -> np.ndarray:
@@ -164,15 +154,17 @@ def _class_pairs(shared):
                 order = np.lexsort((pair, doc))
                 lead = np.append(True, (pair[order][1:] != pair[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
                 once = order[lead[: len(order)]]
-                tail = before[once] << (2 * _WIDTH) | pair[once]
                 # each word of a text with one left neighbour, drawn by hash
                 word = pair & ((1 << _WIDTH) - 1)
                 order = np.lexsort((mix(pair.astype(np.uint64) + doc.astype(np.uint64)), word, doc))
                 lead = np.append(True, (word[order][1:] != word[order][:-1]) | (doc[order][1:] != doc[order][:-1]))
                 drawn = order[lead[: len(order)]]
-                of = label[doc] << (3 * _WIDTH)
-                key = np.unique(np.concatenate([tail | of[once], pair[drawn] | of[drawn] | _DRAWN]))
-                yield pa.RecordBatch.from_arrays([pa.array(key)], names=["run"])
+                kind = np.concatenate([label[doc[once]], label[doc[drawn]] + 2]).astype(np.int32)
+                first = np.concatenate([before[once], np.zeros(len(drawn), np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kind), pa.array(first), pa.array(np.concatenate([pair[once], pair[drawn]]))],
+                    names=["kind", "first", "pair"],
+                )
 
     return run
 
@@ -228,12 +220,16 @@ class Model:
 
 
 def corpus_words(docs: DataFrame) -> DataFrame:
-    """``word`` (hash) and ``n`` of every word of all texts."""
-    return docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    """``word`` (hash), ``stem`` and ``n`` of every word of all texts."""
+    counts = docs.select("text").mapInArrow(_word_counts, "word long, stem long, n long")
+    return counts.groupBy("word").agg(F.max("stem").alias("stem"), F.sum("n").alias("n"))
+
 
+def _class_tables(rows: DataFrame, label: int, size: int):
+    """Arrays of one class out of ``kind, pair, n``: the pairs, totals by left word, left neighbours by word.
 
-def _class_tables(rows: DataFrame, label: int, size: int, bound: int):
-    """Arrays of one class out of ``kind, pair, n``: the kept pairs, totals by left word, left neighbours by word."""
+    Pairs counted once are in the totals alone: no discount leaves anything of them.
+    """
     own = rows.where(F.col("kind") == label).select("pair", "n")
     drawn = rows.where(F.col("kind") == label + 2).select("pair")
     left, right = F.shiftright("pair", _WIDTH), F.col("pair").bitwiseAND((1 << _WIDTH) - 1)
@@ -242,21 +238,26 @@ def _class_tables(rows: DataFrame, label: int, size: int, bound: int):
         (own, left, F.sum("n"), left_n),
         (drawn, right, F.count("*"), before),
     ):
-        got = frame.groupBy(key.alias("k")).agg(value.alias("v")).toPandas()  # at most a row per word
-        into[got["k"].to_numpy(np.int64)] = got["v"].to_numpy(float)
-    kept = _at_most(own.where("n > 1"), bound).toPandas()
-    kept = kept.sort_values("pair")
-    return kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(np.float32), left_n, before
+        got = frame.groupBy(key.alias("k")).agg(value.alias("v")).toArrow()  # at most a row per word
+        into[got["k"].to_numpy()] = got["v"].to_numpy()
+    kept = own.where("n > 1").toArrow().sort_by("pair")
+    return kept["pair"].to_numpy(), kept["n"].to_numpy().astype(np.float32), left_n, before
+
+
+def _vocabulary(counted: DataFrame, taught: DataFrame) -> Vocabulary:
+    """The words of the texts ``taught`` and their stems, with their counts in the corpus (``word, stem, n``)."""
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    own = durable(corpus_words(taught).select("word", "stem"))
+    words = counted.join(own.select("word"), "word", "left_semi").toArrow()
+    stemmed = counted.groupBy("stem").agg(F.sum("n").alias("n"))
+    stems = stemmed.join(own.select("stem").distinct(), "stem", "left_semi").toArrow()
+    hashes = lambda x: x.to_numpy().view(np.uint64)
+    counts = lambda x: x["n"].to_numpy().astype(float)
+    return Vocabulary(hashes(words["word"]), hashes(words["stem"]), counts(words), hashes(stems["stem"]), counts(stems), total)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model | float:
     """The models of both classes, or the share of label 1 if only one label is there (0.5 if none)."""
-    counted = durable(corpus_words(docs))
-    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
-    stemmed = counted.groupBy(F.call_function("shiftrightunsigned", "word", F.lit(16)).alias("word")).agg(F.sum("n").alias("n"))
-    words, stems = (_at_most(*x).toPandas() for x in ((counted, WORDS), (durable(stemmed), STEMS)))
-    hashes = lambda x: x["word"].to_numpy(np.int64).view(np.uint64)
-    vocabulary = Vocabulary(hashes(words), words["n"].to_numpy(float), hashes(stems), stems["n"].to_numpy(float), total)
     _, totals = labelled_sample(labels, label, fit_rows)
     if len(totals) < 2:
         return float(next(iter(totals), 0.5))
@@ -269,17 +270,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_rows: int
         firsts = rows.groupBy("label", mark).agg(F.min("doc_id").alias("doc_id"))
         rows = rows.join(firsts.select("label", "doc_id"), ["label", "doc_id"], "left_semi")
     rows = durable(rows)
+    vocabulary = _vocabulary(durable(corpus_words(docs)), rows.where(~held))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     pairs = durable(
         rows.where(~held)
-        .mapInArrow(_class_pairs(shared), "run long")
+        .mapInArrow(_class_pairs(shared), "kind int, first long, pair long")
         .distinct()
-        .groupBy(
-            F.shiftright("run", 3 * _WIDTH).alias("kind"), F.col("run").bitwiseAND((1 << 2 * _WIDTH) - 1).alias("pair")
-        )
+        .groupBy("kind", "pair")
         .agg(F.count("*").alias("n"))
     )
-    tables = [_class_tables(pairs, c, len(vocabulary.stem_of), PAIRS) for c in (0, 1)]
+    tables = [_class_tables(pairs, c, len(vocabulary.stem_of)) for c in (0, 1)]
     models = [Model(vocabulary, *[Counts(*t, vocabulary, d) for t in tables]) for d in DISCOUNTS]
     spread = docs.sparkSession.sparkContext.broadcast(models)
     points = rows.where(held).mapInArrow(_points(spread), "doc_id long, label int, x array<double>").toPandas()
