@@ -164,6 +164,18 @@ def test_near_duplicates_equal_all_pairs(spark, width, monkeypatch):
         assert r["kept"] == (r["doc_id"] == want[r["doc_id"]])
 
 
+def test_union_sketches_keep_links_of_sets_of_unequal_size(spark):
+    rows = []
+    for large, small in ((80, 64), (90, 72), (95, 76)):
+        for i in range(4000):
+            w = [f"{large}a{i}b{k}" for k in range(large)]
+            rows += [(len(rows), " ".join(w[:small]), "en", "s", 1), (len(rows) + 1, " ".join(w), "en", "s", 1)]
+    classes = neardup.sketches(frame(spark, rows), 1).withColumnRenamed("n_shingles", "n").toPandas().sort_values("doc_id")
+    pairs = list(zip(classes["class"][::2], classes["class"][1::2], strict=True))
+    own = spark.createDataFrame(classes[["class", "n", "sketch"]], "class binary, n long, sketch array<long>")
+    assert neardup._scored(spark.createDataFrame(pairs, "x binary, y binary"), own, 80).count() == len(pairs)
+
+
 def test_near_duplicates_of_awkward_rows(awkward):
     got = neardup.near_duplicates(awkward, 2).collect()
     assert len(got) == len(ROWS)

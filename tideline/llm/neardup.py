@@ -2,7 +2,7 @@
 
 A document's set is its distinct shingles of ``width`` words (all words as one shingle if it
 has fewer, nothing if it has none). Documents with equal sets form a class; the rest works on
-classes. A sketch holds the ``SKETCH`` smallest hashes of a set.
+classes. A sketch holds the ``SKETCH`` smallest hashes of a set, as longs of the same order.
 
 1. Inverted lists of the ``KEYS`` smallest values give pairs. A list of at most ``SHORT``
    classes gives its pairs; those that meet in two lists are candidates. Longer lists matter
@@ -58,6 +58,11 @@ def shingle_sets(texts, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return sets
 
 
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Unsigned values as longs in the same order, which Spark's sorting keeps."""
+    return (x ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def _digest(x: np.ndarray) -> bytes | None:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
 
@@ -67,7 +72,7 @@ def _sketches(width: int, k: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
-                low = [np.sort(x)[:k].view(np.int64) for x in sets]  # hashes are mixed already
+                low = [ordered(np.sort(x)[:k]) for x in sets]  # hashes are mixed already
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
