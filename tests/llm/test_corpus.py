@@ -263,6 +263,28 @@ def test_secrets_are_found_and_lookalikes_left(spark):
     assert text[0] == 'some prose token = "[secret]" and more' and text[2] == rows[2][1]
 
 
+def test_all_secrets_of_a_word_are_found(spark):
+    rng = random.Random(9)
+    key = lambda n=36: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(n))
+    rows, planted = [], {}
+    for i in range(200):
+        a, b = "ghp_" + key(), "hunter!pass#" + "abcdefgh"[i % 8] * 2
+        c = key()
+        text = {
+            0: f'{{"user":"longusername_abc","token":"{a}"}}', 1: f"token={a};secret_key={c}",
+            2: f"https://example.org/page?id=3&access_token={a}&api_key={c}", 3: f'{{"user":"x","password":"{b}"}}',
+        }[i % 4]
+        planted[i] = {0: {a}, 1: {a, c}, 2: {a, c}, 3: {b}}[i % 4]
+        rows.append((i, f"see {text} there", "en", "src/app.py", 1))
+    rows += [(1000 + i, f"fixed in commit {hashlib.sha1(str(i).encode()).hexdigest()} today", "en", "src/app.py", 1) for i in range(100)]
+    found = secret_scan.candidates(frame(spark, rows)).select("word", "value", "named").collect()
+    named = {(r["word"], r["value"]) for r in found if r["named"]}
+    assert all((rows[i][1].split()[1], v) in named for i in planted for v in planted[i])
+    text = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame(spark, rows)).collect()}
+    assert not any(v in text[i] for i in planted if i % 4 < 3 for v in planted[i])
+    assert text[0] == 'see {"user":"longusername_abc","token":"[secret]"} there'
+
+
 def test_secret_scan_of_awkward_rows(awkward, none):
     assert secret_scan.scan(awkward).count() == len(ROWS) and secret_scan.redact(awkward).columns == awkward.columns
     assert secret_scan.scan(none).count() == 0

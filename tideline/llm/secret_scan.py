@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by shape and assignment, false positives removed by a random forest.
 
-Everything is DataFrame functions and Spark ML. A candidate is a word (cut at white space)
-that holds a long run of key characters with a digit, or a value that is assigned to a name
+Everything is DataFrame functions and Spark ML. Candidates are all long runs of key characters
+with a digit in a word (cut at white space), and all values in it that are assigned to a name
 such as ``token`` or ``password``. The forest sees its length, the transitions between its
 characters, how much of it dictionary words cover, the path (source) of the text and the
 neighbouring words. It is trained from labelled findings; without any, findings of the
@@ -43,11 +43,18 @@ TEST_PATH = "(?i)(test|example|sample|fixture|mock|docs?/)"
 
 _RUN = r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*|[A-Za-z0-9+/_-]{12,}={0,2})"
 _ASSIGNED = r"^[\"'(\[{]*[A-Za-z_][A-Za-z0-9_.-]*[\"']?(?::=|=>|=|:)[\"']?([^\"'\s,;<>]{8,}?)[\"'\])},;.]*$"
+_OPERATOR = r"[A-Za-z0-9_.-]*+[\"']?(?::=|=>|=|:)[\"']?"
+_PAIR = NAMES.replace("(?i)(", "(?i)(?:") + _OPERATOR + r"([^\"'\s,;<>&]{8,})"
+_CUT = "\x01"
 _BARE = r"^[\"'(\[{]*([^\"'\s,;<>]{8,}?)[\"'\])},;.]*$"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``key, at, value`` and the context of every candidate; at counts words from 0."""
+    """``key, at, part, value`` and the context of every candidate; at counts words from 0.
+
+    part numbers the different values of a word: 0 is that of the whole word or its first run,
+    then come the other runs with a digit, then values of names that are in no such run.
+    """
     rows = docs.select(
         F.xxhash64("doc_id", "text").alias("key"),
         F.coalesce("source", F.lit("")).alias("path"),
@@ -61,9 +68,10 @@ def candidates(docs: DataFrame) -> DataFrame:
         | word(i).rlike(NAMES.replace("(?i)", r"(?i)^[\"'(\[{]*[A-Za-z_.-]*") + r"[A-Za-z0-9_.-]*[\"']?(:=|=>|=|:)[\"']?[^/\s]{8,}")
     )
     shaped = lambda w: w.rlike("[0-9]") & w.rlike(_RUN)
+    paired = lambda w: w.rlike("[:=]") & w.rlike(_PAIR)
     at = F.filter(
         F.sequence(F.lit(0), F.size("words") - 1),
-        lambda i: (F.length(word(i)) >= 8) & F.coalesce(shaped(word(i)) | named(i), F.lit(False)),
+        lambda i: (F.length(word(i)) >= 8) & F.coalesce(shaped(word(i)) | named(i) | paired(word(i)), F.lit(False)),
     )
     rows = rows.where(F.size("words") > 0).select("key", "path", "words", F.explode(at).alias("at"))
     i = F.col("at")
@@ -83,7 +91,36 @@ def candidates(docs: DataFrame) -> DataFrame:
         .when(F.col("named") & (bare != ""), bare)
         .otherwise(run)
     )
-    return rows.withColumn("value", value).where(F.length("value") >= 8)
+    # runs of the word at odd places, what is between them at even ones
+    pieces = F.split(F.regexp_replace(F.translate("word", _CUT, " "), _RUN, f"{_CUT}$1{_CUT}"), _CUT)
+    rows = rows.withColumns({"value": value, "pieces": pieces})
+    piece = lambda i: F.coalesce(F.get("pieces", i), F.lit(""))
+    ahead = lambda i: F.concat(piece(i - 2), piece(i - 1))  # noqa: E731  a long name is a run too
+    assigned = lambda x: x.rlike(NAMES + _OPERATOR + "$")
+    part = lambda n, v, is_named, before: F.struct(
+        n.cast("int").alias("part"), v.alias("value"), is_named.alias("named"), before.alias("before")
+    )
+    first = F.array(part(F.lit(0), F.col("value"), F.col("named") | ((F.col("value") == run) & assigned(piece(F.lit(0)))), F.col("before")))
+    digits = F.filter(
+        F.transform("pieces", lambda x, i: part(i, x, assigned(ahead(i)), ahead(i))),
+        lambda x: (x["part"] % 2 == 1) & x["value"].rlike("[0-9]") & (x["value"] != F.col("value")),
+    )
+    rows = rows.withColumn("runs", F.filter(F.concat(first, digits), lambda x: F.length(x["value"]) >= 8))
+    # closing marks do not belong to a value; what holds a run or is within one is there already
+    valued = F.transform(
+        F.array_distinct(F.regexp_extract_all("word", F.lit(_PAIR), F.lit(1))), lambda x: F.regexp_replace(x, r"[\])}.]+$", "")
+    )
+    others = F.filter(
+        valued,
+        lambda v: (F.length(v) >= 8)
+        & ~F.exists("runs", lambda r: (F.contains(r["value"], v) | F.contains(v, r["value"])) & (r["named"] | r["value"].rlike("[0-9]"))),
+    )
+    others = F.transform(others, lambda v, j: part(F.size("pieces") + j, v, F.lit(True), F.lit("")))
+    # a first run without a digit stands for a word only if nothing else in it does
+    rows = rows.withColumn("all", F.concat("runs", others))
+    sure = F.filter("all", lambda x: x["named"] | x["value"].rlike("[0-9]"))
+    rows = rows.withColumn("one", F.explode(F.when(F.size(sure) > 0, sure).otherwise(F.col("all"))))
+    return rows.select("key", "path", "at", "one.part", "one.named", "word", "after_operator", "one.before", "after", "one.value")
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -157,14 +194,14 @@ def fit(labelled: DataFrame, names: list[str], fit_rows: int = FIT_ROWS):
 
 
 def secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``key, at, value, score, secret`` of every candidate; key is xxhash64(doc_id, text).
+    """``key, at, part, value, score, secret`` of every candidate; key is xxhash64(doc_id, text).
 
     ``docs`` has doc_id, text and source; ``findings`` has the columns of ``candidates`` and a
     label (1 secret, 0 not, null unknown). With labels of one kind only there is no forest, and
     the certain labels decide. Null and empty texts have no candidates; a null source is an
     empty path; repeated rows give the same findings once; extra columns are ignored.
     """
-    found, names = features(candidates(docs).dropDuplicates(["key", "at"]))
+    found, names = features(candidates(docs).dropDuplicates(["key", "at", "part"]))
     found = durable(certain_label(found))
     model = fit(found if findings is None else features(findings)[0], names)
     if model is None:
@@ -172,7 +209,7 @@ def secrets(docs: DataFrame, findings: DataFrame | None = None, threshold: float
     else:
         rows = VectorAssembler(inputCols=names, outputCol="features").transform(found)
         scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-    return scored.select("key", "at", "value", "score", (F.col("score") >= threshold).alias("secret"))
+    return scored.select("key", "at", "part", "value", "score", (F.col("score") >= threshold).alias("secret"))
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -180,9 +217,9 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
     found = secrets(docs, findings, threshold)
     listed = found.groupBy("key").agg(
         F.count("*").alias("n_candidates"),
-        F.array_sort(F.collect_list(F.when(F.col("secret"), F.struct("at", "value", "score")))).alias("findings"),
+        F.array_sort(F.collect_list(F.when(F.col("secret"), F.struct("at", "part", "value", "score")))).alias("findings"),
     )
-    empty = F.array().cast("array<struct<at:int,value:string,score:double>>")
+    empty = F.array().cast("array<struct<at:int,part:int,value:string,score:double>>")
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key")).join(listed, "key", "left")
     findings_ = F.coalesce("findings", empty)
     return rows.select(
