@@ -176,6 +176,20 @@ def test_union_sketches_keep_links_of_sets_of_unequal_size(spark):
     assert neardup._scored(spark.createDataFrame(pairs, "x binary, y binary"), own, 80).count() == len(pairs)
 
 
+def test_near_duplicates_with_many_values_of_their_own(spark):
+    base = [f"base{k}" for k in range(80)]
+    group = [" ".join(base)] + [" ".join(base[:k] + [f"other{k}"] + base[k + 1 :]) for k in range(30)]
+    known = set(neardup.shingle_sets(pa.array(group[:1]), 1)[0].tolist())
+    for i in range(40000):  # a text whose smallest values are its own for the greater part
+        text = " ".join(base + [f"own{i}x{k}" for k in range(20)])
+        low = neardup.shingle_sets(pa.array([text]), 1)[0][: neardup.KEYS].tolist()
+        if sum(x not in known for x in low) >= 12:
+            break
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate([*group, text])]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows), 1).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_near_duplicates_of_awkward_rows(awkward):
     got = neardup.near_duplicates(awkward, 2).collect()
     assert len(got) == len(ROWS)

@@ -5,11 +5,9 @@ has fewer, nothing if it has none). Documents with equal sets form a class; the
 classes. A sketch holds the ``SKETCH`` smallest hashes of a set, as longs of the same order.
 
 1. Inverted lists of the ``KEYS`` smallest values give pairs. A list of at most ``SHORT``
-   classes gives its pairs; those that meet in two lists are candidates. Longer lists matter
-   only for classes whose sketches hold fewer than ``RARE`` values with short lists: a linked
-   pair shares each of them with a chance of 0.8 or more, so that of ``RARE`` less than two
-   are shared with a chance of 2e-7. In long lists each such class is paired with ``HUBS``
-   hubs.
+   classes gives its pairs; those that meet in two lists are candidates. In longer lists each
+   class is paired with ``HUBS`` hubs. Rare values do not excuse a class from its long lists:
+   they may all be its own.
 2. The union sketch of a pair estimates its similarity; clear misses are left out.
 3. The exact Jaccard of the full sets decides. First every class is verified against its best
    two partners only, which joins most of a large group; then all candidates left between
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 from tideline.llm.common import components, durable, table
 from tideline.llm.words import LOWER, NOT_SPACE, chain, hashed_words, mix, slices
 
-SKETCH, KEYS, SHORT, RARE, HUBS, LISTS, BLOCK = 48, 24, 16, 12, 4, 8, 1024
+SKETCH, KEYS, SHORT, HUBS, LISTS, BLOCK = 48, 24, 16, 4, 8, 1024
 #: Shared values of a union sketch below which a pair at the threshold falls with a chance
 #: of about 1e-8 (binomial tail for 48 draws at 0.8), as standard deviations.
 SLACK = 5.5
@@ -251,15 +249,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         .where("lists > 1")
         .select("x", "y", F.lit(3).alias("who"))
     )
-    # a value of its own also counts as rare: it shows that the class differs
-    common = entries.groupBy("class").agg(F.count_if(F.col("len") > SHORT).alias("common"))
-    hard = (
-        common.join(classes.select("class", F.least(F.size("sketch"), F.lit(KEYS)).alias("of")), "class")
-        .where(F.col("of") - F.col("common") < RARE)
-        .where("common > 0")
-        .select("class")
-    )
-    long = durable(entries.where(F.col("len") > SHORT).join(hard, "class"))
+    long = durable(entries.where(F.col("len") > SHORT))
     hubs = None
     for i in range(HUBS):
         own = long.groupBy("value").agg(F.min_by("class", F.xxhash64("class", F.lit(i))).alias("hub"))
