@@ -25,24 +25,29 @@ def _cut_points(places: DataFrame, ranges: int) -> DataFrame:
     drawn = attach(places, "_size", size).where(F.pmod(F.xxhash64("_at"), thin) == 0)
     seats = drawn.groupBy(F.pmod(F.xxhash64("_at", F.lit(3)), F.lit(ranges)).alias("_seat"))
     chosen = seats.agg(F.max_by("_at", F.xxhash64("_at", F.lit(5))).alias("_at"))
-    return chosen.agg(F.array_sort(F.collect_list("_at")).alias("cuts"))
+    cuts = chosen.agg(F.array_sort(F.collect_list("_at")).alias("cuts"))
+    return cuts.withColumn("heads", F.filter("cuts", lambda x, i: i % _STEP == 0))
 
 
-def in_ranges(df: DataFrame, order: list[str], ranges: int = RANGES) -> tuple[DataFrame, DataFrame]:
-    """``df`` with ``_range``, and one row per range: ``_range``, ``_start`` (rows in the ranges before), ``_size``.
+def in_ranges(df: DataFrame, order: list[str], ranges: int = RANGES) -> DataFrame:
+    """``df`` with ``_range``, the number of cut points at or before the row.
 
     Ranges follow each other in ``order`` (ascending, null first); there are ``ranges`` + 1 at most.
     """
     at = F.struct(*order)
-    places = df.select(at.alias("_at"))
-    cuts = F.col("_cuts.cuts")
-    coarse = F.size(F.filter(F.filter(cuts, lambda x, i: i % _STEP == 0), lambda x: x <= at))
-    within = F.slice(cuts, F.greatest(F.lit(1), (coarse - 1) * _STEP + 1), _STEP)
-    found = F.when(coarse == 0, 0).otherwise((coarse - 1) * _STEP + F.size(F.filter(within, lambda x: x <= at)))
-    ranged = attach(df, "_cuts", _cut_points(places, ranges)).withColumn("_range", found).drop("_cuts")
+    cut = attach(df, "_cuts", _cut_points(df.select(at.alias("_at")), ranges))
+    # every 32nd cut point first, then those between two of them
+    cut = cut.withColumn("_head", F.size(F.filter("_cuts.heads", lambda x: x <= at)))
+    within = F.slice("_cuts.cuts", (F.greatest(F.lit(1), F.col("_head")) - 1) * _STEP + 1, F.lit(_STEP))
+    found = (F.col("_head") - 1) * _STEP + F.size(F.filter(within, lambda x: x <= at))
+    return cut.withColumn("_range", F.when(F.col("_head") == 0, 0).otherwise(found)).drop("_cuts", "_head")
+
+
+def range_starts(ranged: DataFrame) -> DataFrame:
+    """One row per range: ``_range``, ``_size``, ``_start`` (rows in the ranges before)."""
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    return ranged, sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    return sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
 
 
 def number_in_ranges(ranged: DataFrame, starts: DataFrame, order: list[str]) -> DataFrame:
@@ -57,6 +62,6 @@ def row_numbers(df: DataFrame, order: list[str], name: str, ranges: int = RANGES
 
     Rows equal in ``order`` get consecutive numbers in any order; an empty table stays empty.
     """
-    ranged, starts = in_ranges(df, order, ranges)
-    numbered = number_in_ranges(ranged, starts, order)
+    ranged = in_ranges(df, order, ranges)
+    numbered = number_in_ranges(ranged, range_starts(ranged), order)
     return numbered.withColumn(name, F.col("_number").cast("long")).drop("_range", "_start", "_number")
