@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tideline.llm.carry import with_results
 from tideline.llm.common import durable, table
 from tideline.llm.words import LOWER, slices, text_buffer
-from tideline.numbering import in_ranges, number_in_ranges
+from tideline.numbering import in_ranges, number_in_ranges, range_starts
 
 #: Bytes of text whose words share a dictionary.
 BLOCK = 2 << 20
@@ -247,7 +247,8 @@ def resample(
         (-F.col("score")).alias("down"), F.col(key).isNull().alias("last"), F.col(key).alias("key"),
     ))
     order = ["down", "last", "key"]
-    ranged, starts = in_ranges(rows.where("fit"), order)
+    ranged = durable(in_ranges(rows.where("fit"), order))
+    starts = range_starts(ranged)
     everything = W.partitionBy(F.lit(0))
     quota = starts.withColumn("quota", F.floor(F.sum("_size").over(everything) * percent / F.lit(100)).cast("long"))
     quota = durable(quota)  # a row per range
