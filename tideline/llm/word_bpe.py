@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +32,9 @@ from tideline.llm.words import slices
 #: Characters of the words whose ids a worker keeps, and of the longest such word.
 CACHE_CHARS = 4 << 20
 CACHED_WORD = 64
-_SHIFT = 21
+#: A pair's key is its left id, shifted, and its right id; a heap entry is a rank, shifted, and a position.
+_SHIFT, _PLACE = 21, 40
+_PLACES = (1 << _PLACE) - 1
 
 
 def byte_alphabet() -> list[str]:
@@ -68,18 +71,16 @@ class WordBpe:
         self.plain = steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)]
         self.find = regex.compile(words["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
         vocabulary = model["vocab"]
-        self.tokens = {i: token for token, i in vocabulary.items()}
         self.special = {x["content"]: x["id"] for x in rules["added_tokens"]}
-        self.tokens.update({i: token for token, i in self.special.items()})
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else lambda text: [text]
         end = model["end_of_word_suffix"] or ""
         alphabet = byte_alphabet()
         self.inner = [vocabulary[c] for c in alphabet]
         self.last = [vocabulary[c + end] for c in alphabet]
-        self.pairs: dict[int, tuple[int, int]] = {}
-        for rank, (left, right) in enumerate(x if isinstance(x, list) else x.split(" ") for x in model["merges"]):
-            self.pairs[vocabulary[left] << _SHIFT | vocabulary[right]] = rank, vocabulary[left + right]
+        merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        self.ranks = {vocabulary[a] << _SHIFT | vocabulary[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.results = [vocabulary[a + b] for a, b in merges]
 
     def words(self, section: str) -> list[str]:
         """The words of a text without special tokens, normalised."""
@@ -94,39 +95,53 @@ class WordBpe:
     def merge(self, word: str) -> list[int]:
         """The ids of one word."""
         raw = word.encode()
-        n, pairs = len(raw), self.pairs
-        ids = array("i", [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]])
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        n, rank = len(raw), self.ranks.get
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
         heap = []
         for i in range(n - 1):
-            found = pairs.get(ids[i] << _SHIFT | ids[i + 1])
-            if found:
-                heap.append(found[0] << 40 | i)
+            r = rank(ids[i] << _SHIFT | ids[i + 1])
+            if r is not None:
+                heap.append(r << _PLACE | i)
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        # plain lists are quicker, arrays smaller
+        hold = list if n <= CACHED_WORD else lambda x: array("q", x)
+        after, before = hold(range(1, n + 1)), hold(range(-1, n - 1))
         while heap:
             entry = heapq.heappop(heap)
-            i = entry & (1 << 40) - 1
+            i = entry & _PLACES
             j = after[i]
-            if ids[i] < 0 or j >= n:
-                continue
-            found = pairs.get(ids[i] << _SHIFT | ids[j])
-            if found is None or found[0] != entry >> 40:
+            left = ids[i]
+            if left < 0 or j >= n or rank(left << _SHIFT | ids[j]) != entry >> _PLACE:
                 continue  # stale: a symbol of the pair has changed
-            ids[i], ids[j] = found[1], -1
+            new = ids[i] = self.results[entry >> _PLACE]
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = pairs.get(ids[i] << _SHIFT | ids[k])
-                if found:
-                    heapq.heappush(heap, found[0] << 40 | i)
+                r = rank(new << _SHIFT | ids[k])
+                if r is not None:
+                    heapq.heappush(heap, r << _PLACE | i)
             h = before[i]
             if h >= 0:
-                found = pairs.get(ids[h] << _SHIFT | ids[i])
-                if found:
-                    heapq.heappush(heap, found[0] << 40 | h)
+                r = rank(ids[h] << _SHIFT | new)
+                if r is not None:
+                    heapq.heappush(heap, r << _PLACE | h)
         return [x for x in ids if x >= 0]
 
 
+def token_strings(content: bytes) -> pa.Array:
+    """The vocabulary's strings, special tokens included, by id; null for an id that is not used."""
+    rules = json.loads(content)
+    ids = rules["model"]["vocab"] | {x["content"]: x["id"] for x in rules["added_tokens"]}
+    out: list[str | None] = [None] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        out[i] = token
+    return pa.array(out, pa.large_string())
+
+
 class Encoder:
     """Texts to ids, with the words met so far kept up to ``CACHE_CHARS`` characters."""
 
@@ -185,19 +200,33 @@ def _encode(content):
 
 def _decode(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _encoder(content).bpe.tokens.get
+        strings = token_strings(content.value)
+        size = len(strings)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [
-                    None if x is None else " ".join(t for t in map(token, x) if t is not None)
-                    for x in part.column("value").to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
+            for part in _by_ids(batch, 1 << 20):
+                lists = part.column("value")
+                flat, owner = lists.flatten(), pc.list_parent_indices(lists)
+                found = strings.take(pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, size)), flat, None))
+                owner, found = owner.filter(found.is_valid()), found.drop_null()
+                ends = np.searchsorted(owner.to_numpy(zero_copy_only=False), np.arange(len(lists) + 1))
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), pa.scalar(" ", pa.large_string()))
+                texts = pc.if_else(lists.is_valid(), joined, None).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("row"), texts], names=["row", "decoded"])
 
     return run
 
 
+def _by_ids(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``most`` ids in all."""
+    held = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("value")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = held[start - 1] if start else 0
+        end = max(int(np.searchsorted(held, before + most, "right")), start + 1)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def read_rules(spark: SparkSession, path: str):
     """The tokenizer's file (a few MB: its vocabulary and merges) for all executors."""
     with open(path, "rb") as file:
