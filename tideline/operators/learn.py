@@ -5,37 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.text import idf, term_counts, top_terms, with_terms
 from tideline.operators.baselines import fit_mean, predict_mean
 from tideline.operators.metrics import regression_errors
 
-# fixed values: penalty of the ridge, vocabulary size, number of trees
+# fixed values: penalty of the ridge, number of trees
 RIDGE_ALPHA = 1.0
-VOCABULARY_SIZE = 20_000
 TREES = 200
-FOREST_ROWS = 100_000  # labelled rows a forest is fitted on, at most about; its trees are held on the driver
 
 
 def assemble(df: DataFrame, columns: list[str], name: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol=name).transform(df)
 
 
-def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float = RIDGE_ALPHA, wide: bool = False) -> dict:
-    """One ridge regression per target, minimising ``|y - Xw - b|^2 + alpha |w|^2``.
+def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float = RIDGE_ALPHA) -> dict:
+    """One ridge regression per target, minimising ``|y - Xw - b|^2 + alpha |w|^2``, by the normal equations.
 
-    Spark ML divides the squared error by 2n and scales the penalty by the label's
-    deviation, so ``regParam`` undoes both: the population deviation for the normal
-    equations, the sample deviation for l-bfgs (``wide``, over 4,096 features).
+    Spark ML divides the squared error by 2n and scales the penalty by the label's population
+    deviation, so ``regParam`` undoes both.
     """
-    stats = train.agg(
-        F.count(F.lit(1)).alias("n"), *[(F.stddev_samp(t) if wide else F.stddev_pop(t)).alias(t) for t in targets]
-    ).first()
+    stats = train.agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(t).alias(t) for t in targets]).first()
     models = {}
     for t in targets:
         models[t] = LinearRegression(
@@ -45,18 +38,25 @@ def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float
             regParam=alpha / stats["n"] * (stats[t] or 0.0),
             elasticNetParam=0.0,
             standardization=False,
-            solver="l-bfgs" if wide else "normal",
-            maxIter=1000,
-            tol=1e-11,
+            solver="normal",
         ).fit(train)
     return models
 
 
-def fit_forest(train: DataFrame, features: str, targets: list[str], trees: int = TREES, seed: int = 42) -> dict:
-    """One random forest per target, as deep as Spark ML allows, on about ``FOREST_ROWS`` rows at most."""
-    n = train.count()
-    if n > FOREST_ROWS:
-        train = train.sample(fraction=FOREST_ROWS / n, seed=seed)
+def fit_forest(
+    train: DataFrame, features: str, targets: list[str], trees: int = TREES, seed: int = 42,
+    key: list[str] | None = None, max_rows: int | None = None,
+) -> dict:
+    """One random forest per target, as deep as Spark ML allows, on all rows.
+
+    With ``max_rows`` it is fitted on that many rows at most: those with the smallest hash of
+    ``key``, so the choice depends on the rows alone.
+    """
+    if max_rows is not None:
+        if not key:
+            raise ValueError("a bound on rows needs a key to choose them by")
+        place = F.xxhash64(*key, F.lit(seed))
+        train = train.orderBy(place, *key).limit(max_rows)
     return {
         t: RandomForestRegressor(
             featuresCol=features, labelCol=t, predictionCol=t + "_pred", numTrees=trees, maxDepth=30, seed=seed,
@@ -70,35 +70,6 @@ def apply_models(df: DataFrame, models: dict) -> DataFrame:
     return reduce(lambda d, m: m.transform(d), models.values(), df)
 
 
-class TfIdf:
-    """TF-IDF vectors of words and word pairs, fitted on the training texts.
-
-    The fitted state is the vocabulary (at most ``size`` terms) and its document counts;
-    the texts themselves are only ever transformed row by row.
-    """
-
-    def __init__(self, size: int = VOCABULARY_SIZE, min_df: int = 1):
-        self.size, self.min_df = size, min_df
-
-    def fit(self, train: DataFrame, key: str, text: str = "text") -> TfIdf:
-        found = top_terms(term_counts(train, key, text), self.size, self.min_df)
-        n = train.agg(F.count(F.lit(1))).scalar()
-        rows = found.select("term", idf(F.col("df"), n).alias("w")).orderBy("term").collect()
-        self.terms = [r["term"] for r in rows]
-        counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_counts")
-        weigh = ElementwiseProduct(
-            scalingVec=Vectors.dense([r["w"] for r in rows]), inputCol="_counts", outputCol="_weighted"
-        )
-        scale = Normalizer(inputCol="_weighted", outputCol="tfidf", p=2.0)
-        self.stages = [counter, weigh, scale]
-        return self
-
-    def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
-        rows = with_terms(df, text, "_terms")
-        rows = reduce(lambda d, s: s.transform(d), self.stages, rows)
-        return rows.drop("_terms", "_counts", "_weighted")
-
-
 def fit_predict_mean(train: DataFrame, test: DataFrame, targets: list[str]) -> DataFrame:
     return predict_mean(test, fit_mean(train, targets), targets)
 
@@ -121,31 +92,6 @@ def fit_predict_forest(features: list[str], trees: int = TREES):
     return run
 
 
-def fit_predict_tfidf(key: str, numeric: list[str] | None = None, size: int = VOCABULARY_SIZE, min_df: int = 1):
-    """TF-IDF ridge, optionally with numeric columns beside the text vector."""
-
-    def run(train: DataFrame, test: DataFrame, targets: list[str]) -> DataFrame:
-        space = TfIdf(size, min_df).fit(train, key)
-        train, test = space.transform(train), space.transform(test)
-        name = "tfidf"
-        if numeric:
-            name = "features"
-            train, test = assemble(train, ["tfidf", *numeric]), assemble(test, ["tfidf", *numeric])
-        train = train.persist()
-        try:
-            return apply_models(test, fit_ridge(train, name, targets, wide=True))
-        finally:
-            train.unpersist()
-
-    return run
-
-
-def out_of_fold(df: DataFrame, fold: str, folds: int, fit_predict: Callable, targets: list[str]) -> DataFrame:
-    """Every row with the predictions of the model that was fitted on the other folds."""
-    parts = [fit_predict(df.where(F.col(fold) != k), df.where(F.col(fold) == k), targets) for k in range(folds)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def cross_validate(
     df: DataFrame, fold: str, folds: int, models: dict[str, Callable], targets: list[str], slices: Callable | None = None
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import aggregates, learn, metrics, profiles, splits, windows
+from tideline.operators import aggregates, comparison, metrics, profiles, splits, text_ridge, windows
 from tideline.plans.fixtures import EVENTS, OK, Tables, r6, sql
 from tideline.plans.models import PRED_SCORE
 from tideline.plans.registry import query
@@ -187,20 +187,16 @@ def _(t: Tables):
 
 @query("regime_report_tfidf")
 def _(t: Tables):
-    """TF-IDF ridge fitted per regime: three group folds of sources and one time split."""
-    rows = t.labelled.select("doc_id", "source", "text", "flag", "quality")
-    rows = join_one_row_per_key(rows, splits.group_folds(rows, "source", 5).select("source", "fold"), ["source"]).persist()
-    model = {"tfidf": learn.fit_predict_tfidf("doc_id", min_df=2)}
-
-    def sliced(df):
-        return metrics.with_slices(df, "flag", "words", "essays")
-
-    unseen = learn.cross_validate(rows, "fold", 3, model, ["quality"], sliced)
-    unseen = aggregates.fold_means(unseen.withColumn("regime", F.lit("unseen_user")), ["regime", "slice"], ["mae_quality", "r_quality"])
-    timed = windows.time_split(Timeline(rows, "source", ["doc_id"])).result()
-    scored = model["tfidf"](timed.where("part = 'train'"), timed.where("part = 'val'"), ["quality"])
-    seen = metrics.regression_errors(sliced(scored), ["quality"], ["slice"]).withColumn("regime", F.lit("seen_user"))
-    return metrics.union_columns(["regime", "slice", "n", "mae_quality", "r_quality"], unseen, seen)
+    """TF-IDF ridge of both targets in both regimes: five group folds of sources, and held-out ends."""
+    rows = t.labelled.select("doc_id", "source", "text", "flag", "quality", "toxic")
+    parts = []
+    for regime, folds, dealt in (
+        (comparison.UNSEEN, 5, comparison.unseen_folds(rows, "source", 5)),
+        (comparison.SEEN, 1, comparison.seen_fold(rows, "source", ["doc_id"])),
+    ):
+        scored, _ = text_ridge.cross_fitted(dealt, "fold", folds, ["quality", "toxic"], min_df=2)
+        parts.append(scored.withColumns({"model": F.lit("tfidf"), "regime": F.lit(regime)}))
+    return comparison.comparison(parts[0].unionByName(parts[1]), ["quality", "toxic"], "flag")
 
 
 @query(

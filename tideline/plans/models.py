@@ -6,10 +6,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
-from tideline.operators import anchors, baselines, datasets, learn, metrics, profiles, scoring, splits, windows
+from tideline.operators import (
+    anchors, baselines, comparison, datasets, learn, metrics, moment_ridge, profiles, scoring, splits, text_ridge, windows,
+)
 from tideline.plans.fixtures import EVENTS, OK, Tables, r6, r6s, sql
 from tideline.plans.history import MOMENTUM
-from tideline.plans.ingest import TOKENS
+from tideline.plans.ingest import TERMS, TOKENS
 from tideline.plans.registry import query
 from tideline.scale import join_one_row_per_key
 
@@ -155,7 +157,56 @@ def _(t: Tables):
 def _doc_features(t: Tables):
     rows = tx.text_features(t.labelled)
     rows = rows.select("doc_id", "text", "flag", "source", "quality", "toxic", *[F.col(c).cast("double").alias(c) for c in ("n_tokens", "n_chars", "n_marks", "flag_int")])
-    return rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5)).persist()
+    return rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5))
+
+
+FOLD = "CAST(('0x' || substr(md5(concat(doc_id, ':42')), 1, 8)) AS BIGINT) % 5"
+LABELS = ["quality", "toxic"]
+
+
+def gram_sql(numbers: str, size: int, plan: str = "SELECT k, fold FROM range(5) a(k), range(5) b(fold) WHERE k <> fold") -> dict[str, str]:
+    """Centred products per model of ``plan`` (k, fold to fit on) of ``numbers`` (fold, z): z is 1, features, targets."""
+    return {
+        "numbers": numbers,
+        "plan": plan,
+        "gram": f"SELECT fold, i, j, sum(z[i] * z[j]) AS g FROM numbers, range(1, {size + 1}) a(i), range(1, {size + 1}) b(j) GROUP BY ALL",
+        "train": "SELECT k, i, j, sum(g) AS g FROM gram JOIN plan USING (fold) GROUP BY ALL",
+        "centred": """SELECT t.k, t.i, t.j, t.g - a.g * b.g / n.g AS s FROM train t JOIN train n ON n.k = t.k AND n.i = 1 AND n.j = 1
+                      JOIN train a ON a.k = t.k AND a.i = 1 AND a.j = t.i JOIN train b ON b.k = t.k AND b.i = 1 AND b.j = t.j""",
+        "centres": "SELECT k, list(g / n ORDER BY j) AS c FROM (SELECT t.k, t.j, t.g, n.g AS n FROM train t JOIN train n ON n.k = t.k AND n.i = 1 AND n.j = 1 WHERE t.i = 1) GROUP BY k",
+    }
+
+
+def ridge_sql(size: int, use: list[int], prefix: str = "") -> dict[str, str]:
+    """The table ``scored`` of the ridge models of ``gram_sql`` that use some places of z, two targets at its end.
+
+    The systems are eliminated row by row in a recursive query.
+    """
+    rows, d = ", ".join(map(str, use)), len(use)
+    value = lambda w, t: f"c[{t}] + list_sum(list_transform({w}, lambda w, i: w * (z[([{rows}])[i]] - c[([{rows}])[i]])))"
+    return {
+        prefix + "matrix": f"""SELECT k, list(r ORDER BY i) AS m FROM (SELECT k, i, list(s + CASE WHEN i = j THEN 1.0 ELSE 0.0 END ORDER BY j) AS r
+                      FROM centred WHERE i IN ({rows}) AND j IN ({rows}, {size - 1}, {size}) GROUP BY k, i) GROUP BY k""",
+        prefix + "steps": f"""SELECT k, 1 AS p, m FROM {prefix}matrix UNION ALL SELECT k, p + 1, list_transform(m, lambda r, i: CASE WHEN i = p
+                     THEN list_transform(r, lambda v: v / r[p]) ELSE list_transform(r, lambda v, j: v - r[p] / m[p][p] * m[p][j]) END) FROM {prefix}steps WHERE p <= {d}""",
+        prefix + "solved": f"SELECT k, list_transform(m, lambda r: r[{d + 1}]) AS w1, list_transform(m, lambda r: r[{d + 2}]) AS w2 FROM {prefix}steps WHERE p = {d + 1}",
+        prefix + "scored": f"""SELECT numbers.*, z[{size - 1}] AS quality, z[{size}] AS toxic, {value("w1", size - 1)} AS quality_pred, {value("w2", size)} AS toxic_pred
+                      FROM numbers JOIN {prefix}solved ON k = fold JOIN centres USING (k)""",
+    }
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+RAW_ERRORS = ", ".join(
+    f"avg(abs({c} - {c}_pred)) AS mae_{c}, avg(({c} - {c}_pred) ** 2) AS mse_{c}, covar_pop({c}, {c}_pred) / nullif(stddev_pop({c}) * stddev_pop({c}_pred), 0) AS r_{c}"
+    for c in LABELS
+)
+FOLD_ERRORS = ", ".join(
+    f"{r6(f'avg(abs({c} - {c}_pred))', f'mae_{c}')}, {r6(f'avg(({c} - {c}_pred) ** 2)', f'mse_{c}')}, {r6(f'covar_pop({c}, {c}_pred) / nullif(stddev_pop({c}) * stddev_pop({c}_pred), 0)', f'r_{c}')}"
+    for c in LABELS
+)
 
 
 NUMERIC = ["n_tokens", "n_chars", "n_marks", "flag_int"]
@@ -175,10 +226,51 @@ def _(t: Tables):
     return learn.cross_validate(rows, "fold", 5, {"mean": learn.fit_predict_mean}, ["quality"])
 
 
-@query("ridge_cross_validation")
+DOC_NUMBERS = f"""SELECT doc_id, {FOLD} AS fold, [1.0, CAST({TOKENS} AS DOUBLE), CAST(length(text) AS DOUBLE),
+    CAST(len(regexp_extract_all(text, '[.!?]')) AS DOUBLE), CAST(flag AS DOUBLE), quality, toxic] AS z FROM labelled"""
+
+
+@query(
+    "ridge_cross_validation",
+    recursive(sql("labelled", f"SELECT 'ridge' AS model, CAST(fold AS INTEGER) AS fold, count(*) AS n, {FOLD_ERRORS} FROM scored GROUP BY fold", **gram_sql(DOC_NUMBERS, 7), **ridge_sql(7, [2, 3, 4, 5]))),
+)
 def _(t: Tables):
-    rows = _doc_features(t).select("doc_id", "quality", "toxic", "fold", *NUMERIC)
-    return learn.cross_validate(rows, "fold", 5, {"ridge": learn.fit_predict_ridge(NUMERIC)}, ["quality", "toxic"])
+    numbers = F.array(*[F.col(c) for c in NUMERIC])
+    scored = moment_ridge.cross_fitted(_doc_features(t), "fold", 5, numbers, len(NUMERIC), LABELS)
+    found = metrics.regression_errors(scored, LABELS, ["fold"])
+    return found.select(F.lit("ridge").alias("model"), *found.columns)
+
+
+REGIMES = """SELECT 'unseen_user' AS regime, labelled.*, CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS fold FROM labelled JOIN
+    (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) - 1 AS r FROM labelled GROUP BY source) USING (source)
+    UNION ALL SELECT 'seen_user', * EXCLUDE (i, n), CASE WHEN i < greatest(1, least(n - 1, floor(n * CAST(0.8 AS DOUBLE)))) OR n <= 1 THEN 6 ELSE 5 END
+    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM labelled)"""
+REGIME_PLAN = "SELECT k, fold FROM range(5) a(k), range(5) b(fold) WHERE k <> fold UNION ALL SELECT 5, 6"
+REGIME_NUMBERS = DOC_NUMBERS.replace(f"{FOLD} AS fold", "regime, flag, fold").replace("FROM labelled", "FROM regimes")
+REGIME_MEANS = ", ".join(r6(f"avg({m}_{c})", f"{m}_{c}") for c in LABELS for m in ("mae", "mse", "r"))
+SCORED_MODELS = """SELECT 'mean' AS model, regime, fold, flag, z[6] AS quality, z[7] AS toxic, c[6] AS quality_pred, c[7] AS toxic_pred FROM numbers JOIN centres ON k = fold
+    UNION ALL SELECT 'length', regime, fold, flag, quality, toxic, quality_pred, toxic_pred FROM length_scored
+    UNION ALL SELECT 'ridge', regime, fold, flag, quality, toxic, quality_pred, toxic_pred FROM ridge_scored"""
+
+
+@query(
+    "regime_comparison",
+    recursive(sql(
+        "labelled",
+        f"SELECT model, regime, slice, CAST(sum(n) AS BIGINT) AS n, {REGIME_MEANS} FROM per_fold GROUP BY ALL",
+        regimes=REGIMES,
+        **gram_sql(REGIME_NUMBERS, 7, REGIME_PLAN),
+        **ridge_sql(7, [2], "length_"),
+        **ridge_sql(7, [2, 3, 4, 5], "ridge_"),
+        scored_models=SCORED_MODELS,
+        per_fold=f"""SELECT model, regime, slice, fold, count(*) AS n, {RAW_ERRORS} FROM
+                 (SELECT *, unnest(['all', CASE WHEN flag THEN 'words' ELSE 'essays' END]) AS slice FROM scored_models) GROUP BY model, regime, slice, fold""",
+    )),
+)
+def _(t: Tables):
+    models = {"mean": [], "length": ["n_tokens"], "ridge": NUMERIC}
+    long = comparison.moment_predictions(_doc_features(t).drop("fold"), "source", ["doc_id"], models, LABELS)
+    return comparison.comparison(long, LABELS, "flag")
 
 
 @query("forest_cross_validation")
@@ -191,26 +283,61 @@ def _(t: Tables):
     return learn.cross_validate(rows, "fold", 5, {"forest": learn.fit_predict_forest(columns)}, targets)
 
 
+TEXT_MODELS = f"""SELECT CAST(k AS INTEGER) AS fold, target, n_train, n_terms, {r6('mean')}, true AS certified FROM
+    (SELECT k, count(*) AS n_train, avg(quality) AS quality, avg(toxic) AS toxic FROM range(5) f(k) JOIN folded ON fold <> k GROUP BY k)
+    UNPIVOT (mean FOR target IN (quality, toxic))
+    JOIN (SELECT k, least(20000, count(*)) AS n_terms FROM (SELECT k, term FROM range(5) f(k) JOIN terms ON fold <> k GROUP BY k, term HAVING count(*) >= 2) GROUP BY k) USING (k)"""
+FOLDED = dict(
+    folded=f"SELECT doc_id, text, quality, toxic, {FOLD} AS fold FROM labelled",
+    terms=TERMS.replace("SELECT doc_id, term, count(*) AS tf", "SELECT doc_id, fold, term").replace("SELECT doc_id, unnest", "SELECT doc_id, fold, unnest").replace("SELECT doc_id, regexp", "SELECT doc_id, fold, regexp").replace("FROM docs", "FROM folded"),
+)
+
+
+def _text_models(t: Tables, numeric: list[str] | None = None):
+    return text_ridge.cross_fitted(_doc_features(t), "fold", 5, LABELS, numeric=numeric, min_df=2)
+
+
+def _text_certificates(t: Tables, numeric: list[str] | None = None):
+    """What each model was fitted on, and whether the length of its gradient, computed from all rows
+    after the solve, is under the bound: weights are then exact to that bound."""
+    _, models = _text_models(t, numeric)
+    certified = F.col("gradient") <= text_ridge.GRADIENT
+    return models.select("fold", "target", "n_train", "n_terms", "mean", certified.alias("certified"))
+
+
 @query("tfidf_ridge")
 def _(t: Tables):
-    scored = learn.out_of_fold(_doc_features(t), "fold", 5, learn.fit_predict_tfidf("doc_id", min_df=2), ["quality", "toxic"])
-    return scored.select("doc_id", "fold", "quality", "quality_pred", "toxic", "toxic_pred")
+    return _text_models(t)[0].select("doc_id", "fold", "quality", "quality_pred", "toxic", "toxic_pred")
 
 
 @query("tfidf_numeric_ridge")
 def _(t: Tables):
-    fit_predict = learn.fit_predict_tfidf("doc_id", numeric=["n_marks", "flag_int"], min_df=2)
-    scored = learn.out_of_fold(_doc_features(t), "fold", 5, fit_predict, ["quality", "toxic"])
-    return scored.select("doc_id", "fold", "quality", "quality_pred", "toxic", "toxic_pred")
+    return _text_models(t, ["n_marks", "flag_int"])[0].select("doc_id", "fold", "quality", "quality_pred", "toxic", "toxic_pred")
 
 
-@query("embedding_ridge")
+@query("tfidf_ridge_models", sql("labelled", TEXT_MODELS, **FOLDED))
 def _(t: Tables):
-    from pyspark.ml.functions import array_to_vector
+    return _text_certificates(t)
+
+
+@query("tfidf_numeric_ridge_models", sql("labelled", TEXT_MODELS, **FOLDED))
+def _(t: Tables):
+    return _text_certificates(t, ["n_marks", "flag_int"])
+
 
-    rows = t.labelled.join(t.vectors, "doc_id").select("doc_id", "quality", "toxic", array_to_vector("vec").alias("features"))
-    rows = rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5)).persist()
-    return learn.cross_validate(rows, "fold", 5, {"embedding": learn.fit_predict_ridge("features")}, ["quality", "toxic"])
+VECTOR_NUMBERS = f"""SELECT doc_id, {FOLD} AS fold, list_concat([1.0], list_concat(CAST(embedding AS DOUBLE[]), [quality, toxic])) AS z
+    FROM labelled JOIN embeddings ON vec_id = doc_id"""
+
+
+@query(
+    "embedding_ridge",
+    recursive(sql("labelled", f"SELECT 'embedding' AS model, CAST(fold AS INTEGER) AS fold, count(*) AS n, {FOLD_ERRORS} FROM scored GROUP BY fold", **gram_sql(VECTOR_NUMBERS, 67), **ridge_sql(67, list(range(2, 66))))),
+)
+def _(t: Tables):
+    rows = t.labelled.join(t.vectors, "doc_id").select("doc_id", "quality", "toxic", "vec")
+    rows = rows.withColumn("fold", splits.row_fold([F.col("doc_id")], 5))
+    found = metrics.regression_errors(moment_ridge.cross_fitted(rows, "fold", 5, F.col("vec"), 64, LABELS), LABELS, ["fold"])
+    return found.select(F.lit("embedding").alias("model"), *found.columns)
 
 
 @query(
