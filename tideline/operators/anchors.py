@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.expressions import lenient_bool
-from tideline.operators.joins import _refuse, duplicate_keys, marker_rows
+from tideline.operators.joins import refuse, duplicate_keys, marker_rows
 from tideline.roles import Roles
 from tideline.scale import join_one_row_per_key
 
@@ -66,7 +66,7 @@ def last_before(
     past = joined.where(ts <= F.col("_cutoff") if inclusive else ts < F.col("_cutoff")).drop("_cutoff")
     found = latest_row(past, roles)
     if check:
-        _refuse(limits.join(found, roles.entity, "left_anti"), [roles.entity], "no row before the cutoff")
+        refuse(limits.join(found, roles.entity, "left_anti"), [roles.entity], "no row before the cutoff")
     return found
 
 
@@ -80,7 +80,7 @@ def history_up_to(df: DataFrame, anchors: DataFrame, roles: Roles, length: int,
     """The last ``length`` rows per entity at or before its anchor time, ``back`` = 0 for
     the newest. Spark keeps only ``length`` rows per entity and task before shuffling. An
     entity with two anchors is refused."""
-    _refuse(duplicate_keys(anchors, [roles.entity]), [roles.entity], "more than one anchor")
+    refuse(duplicate_keys(anchors, [roles.entity]), [roles.entity], "more than one anchor")
     limits = anchors.select(roles.entity, F.col(anchor_ts).alias("_anchor"))
     joined = join_one_row_per_key(df, limits, [roles.entity]).where(F.col(roles.ts) <= F.col("_anchor"))
     newest = W.partitionBy(roles.entity).orderBy(*[F.col(c).desc() for c in roles.order])

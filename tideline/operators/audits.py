@@ -52,6 +52,22 @@ def passed(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count(F.lit(1)).alias("n_checks"), fails.alias("n_failed"), (fails == 0).alias("ok"))
 
 
+def with_sample(name: str, bad: DataFrame, on: list[str]) -> DataFrame:
+    """One finding about offending rows, with up to sixteen of their keys, from one aggregate.
+
+    The sample has, for each first digit of the keys' hashes, the key with the smallest hash. Such
+    minima merge, so it is as large however many rows are bad, and no second job looks for
+    examples. Keys are shown in hash order, parted by spaces; null as an empty value.
+    """
+    text = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in on])
+    hashed = bad.select(F.struct(F.md5(text.cast("binary")).alias("hash"), text.alias("key")).alias("_k"))
+    seats = [F.min(F.when(F.col("_k.hash").startswith(f"{i:x}"), F.col("_k"))) for i in range(16)]
+    found = hashed.agg(F.count(F.lit(1)).alias("n_bad"), F.array_compact(F.array(*seats)).alias("_sample"))
+    keys = F.array_join(F.transform("_sample", lambda x: x["key"]), " ")
+    status = F.when(F.col("n_bad") > 0, "FAIL").otherwise("PASS")
+    return found.select(F.lit(name).alias("check_name"), status.alias("status"), "n_bad", F.when(F.col("n_bad") > 0, keys).alias("sample"))
+
+
 def required_columns(df: DataFrame, columns: list[str], what: str) -> DataFrame:
     """Missing columns, from the schema alone."""
     missing = [c for c in columns if c not in df.columns]

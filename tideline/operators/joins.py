@@ -25,7 +25,8 @@ def duplicate_keys(df: DataFrame, on: list[str]) -> DataFrame:
     return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _refuse(bad: DataFrame, on: list[str], text: str) -> None:
+def refuse(bad: DataFrame, on: list[str], text: str) -> None:
+    """Raise with a sample of the rows, if there are any."""
     sample = bad.select(*on).limit(SAMPLE).collect()
     if sample:
         raise ValueError(f"{text}; sample: {[tuple(r) for r in sample]}")
@@ -41,12 +42,12 @@ def key_census(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def require_unique(df: DataFrame, on: list[str], what: str) -> None:
-    _refuse(duplicate_keys(df, on), [*on, "n"], f"{what}: duplicate {on}")
+    refuse(duplicate_keys(df, on), [*on, "n"], f"{what}: duplicate {on}")
 
 
 def _require(left: DataFrame, right: DataFrame, on: list[str], bad: str, text: str) -> None:
     census = key_census(left, right, on).where(bad)
-    _refuse(census, [*on, "n_left", "n_right"], f"{text} (key, left rows, right rows)")
+    refuse(census, [*on, "n_left", "n_right"], f"{text} (key, left rows, right rows)")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", check: bool = True) -> DataFrame:
@@ -77,7 +78,7 @@ def marker_rows(markers: DataFrame, rows: DataFrame, on: dict[str, str], check:
     extra = [c for c in markers.columns if c in renamed.columns and c not in keys]
     joined = markers.drop(*extra).join(renamed.withColumn("_found", F.lit(True)), keys, "left")
     if check:
-        _refuse(joined.where(F.col("_found").isNull()), keys, "marker without a row")
+        refuse(joined.where(F.col("_found").isNull()), keys, "marker without a row")
     return joined.drop("_found")
 
 

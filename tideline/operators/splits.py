@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.expressions import digest_number, key_digest
+from tideline.numbering import row_numbers
+from tideline.operators.joins import refuse, require_unique
 from tideline.roles import Roles
 from tideline.scale import whole
 from tideline.timeline import RowsBefore, Timeline
@@ -82,11 +84,12 @@ def row_part(key: list[Column], seed: int = 42, share: float = 0.2) -> Column:
     return F.when(digest_number(key_digest(*key, F.lit(seed))) < limit, "val").otherwise("train")
 
 
-def load_split(spark: SparkSession, path: str) -> DataFrame:
+def load_split(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(key, part, id_type) from a split file in JSON: row positions under
     ``train_indices``/``val_indices`` or keys under ``train_ids``/``val_ids``, whose
-    kind is in ``id_type`` and defaults to row positions."""
-    raw = spark.read.option("multiLine", True).json(path)
+    kind is in ``id_type`` and defaults to row positions. ``lines`` reads a folder with a
+    document per line (:func:`save_split`) instead of one document."""
+    raw = spark.read.option("multiLine", not lines).json(path)
     names = raw.columns
     if {"train_indices", "val_indices"} <= set(names):
         train, val, kind = "train_indices", "val_indices", F.lit("row_index")
@@ -100,6 +103,36 @@ def load_split(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def save_split(rows: DataFrame, path: str, key: str, id_type: str = "row_index", per_document: int = 65_536) -> None:
+    """Write rows of (``key``, part) as JSON lines of the layouts that :func:`load_split` reads.
+
+    A document has the keys of one range of ``per_document`` numbers, so none holds the whole split.
+    """
+    names = ("train_indices", "val_indices") if id_type == "row_index" else ("train_ids", "val_ids")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col(key)))).alias(n) for n, p in zip(names, ("train", "val"), strict=True)]
+    documents = rows.groupBy(F.floor(F.col(key) / per_document).alias("_d")).agg(*lists).drop("_d")
+    documents.withColumn("id_type", F.lit(id_type)).write.mode("errorifexists").json(path)
+
+
+def apply_split(df: DataFrame, split: DataFrame, roles: Roles, key: str | None = None, check: bool = True) -> DataFrame:
+    """The rows that a frozen split names, with their ``part``.
+
+    Positions count all rows from 0 in the order (entity, time, tie), over ranges of the table;
+    other keys are values of ``key`` (the tie column if not given). Rows that the split does not name go. A
+    key that no row has, or that the split names twice, is an error; ``check=False`` leaves that out.
+    """
+    key = key or roles.tie
+    numbered = row_numbers(df, [roles.entity, *roles.order], "_position")
+    placed = numbered.withColumn("_kind", F.explode(F.array(F.lit("row_index"), F.lit("key"))))
+    placed = placed.withColumn("_key", F.when(F.col("_kind") == "row_index", F.col("_position")).otherwise(F.col(key).cast("long")))
+    named = split.select(F.when(F.col("id_type") == "row_index", "row_index").otherwise("key").alias("_kind"), F.col("key").cast("long").alias("_key"), "part")
+    if check:
+        require_unique(named, ["_kind", "_key"], "split")
+        lost = named.join(placed.select("_kind", "_key"), ["_kind", "_key"], "left_anti")
+        refuse(lost, ["_kind", "_key"], "the split names rows that are not there")
+    return placed.join(named, ["_kind", "_key"]).select(*df.columns, "part")
+
+
 def load_or_create(spark: SparkSession, path: str, create) -> DataFrame:
     """The split table at ``path``; written there first if there is none."""
     from pyspark.errors import AnalysisException

@@ -32,13 +32,21 @@ def log_rows(rows: DataFrame, **identity) -> DataFrame:
 
 
 def append_log(rows: DataFrame, path: str, **identity) -> None:
-    log_rows(rows, **identity).write.mode("append").parquet(path)
+    """Add the rows of a run and seed to the log.
+
+    A run's rows are staged and then take the place of the rows that the same run and seed had,
+    so writing them again adds none.
+    """
+    full = log_rows(rows, **identity)
+    writer = full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id", "seed").parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The log, or an empty one if nothing was written yet."""
     try:
-        return spark.read.schema(LOG_SCHEMA).parquet(path)
+        columns = T.StructType.fromDDL(LOG_SCHEMA).names
+        return spark.read.schema(LOG_SCHEMA).parquet(path).select(*columns)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
