@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import expressions as ex
+from tideline.functions import terms
 from tideline.functions import text as tx
 from tideline.functions.quantiles import exact_quantiles
 from tideline.operators import (
@@ -216,7 +217,7 @@ def test_text_counts_on_edge_texts(spark):
 
 def test_terms_are_words_and_neighbour_pairs(spark):
     df = spark.createDataFrame([(1, "The cat, a CAT sat"), (2, "x")], "id int, text string")
-    got = {(r["id"], r["term"]): r["tf"] for r in tx.term_counts(df, "id").collect()}
+    got = {(r["id"], r["term"]): r["tf"] for r in terms.term_counts(df, "id").collect()}
     assert got == {(1, "the"): 1, (1, "cat"): 2, (1, "sat"): 1, (1, "the cat"): 1, (1, "cat cat"): 1, (1, "cat sat"): 1}
 
 

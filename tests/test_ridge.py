@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.functions.terms import with_term_counts
+from tideline.functions.terms import term_counts, tfidf_weights, top_terms, with_term_counts
 from tideline.operators import moment_ridge, text_ridge
 
 
@@ -117,3 +117,17 @@ def test_terms_are_counted_inside_rows(spark):
     assert len(found) == len(rows)
     for r in found:
         assert dict(zip(r["terms"], r["times"], strict=True)) == dict(terms_of(r["text"]))
+
+
+def test_weights_in_rows_have_unit_length(spark):
+    rows = [(r[0], r[2]) for r in texts(50, 9)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    vocabulary = top_terms(term_counts(df, "id"), 20, 2)
+    got = {}
+    for r in tfidf_weights(df, vocabulary, F.lit(len(rows)), "id").collect():
+        got.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    df_of = {r["term"]: r["df"] for r in vocabulary.collect()}
+    for i, text in rows:
+        raw = {t: n * (np.log((1 + len(rows)) / (1 + df_of[t])) + 1) for t, n in terms_of(text).items() if t in df_of}
+        norm = np.sqrt(sum(x * x for x in raw.values()))
+        assert got.get(i, {}) == pytest.approx({t: x / norm for t, x in raw.items()})

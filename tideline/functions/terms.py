@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.carry import with_results
@@ -73,3 +73,61 @@ def with_term_counts(df: DataFrame, text: str = "text", keep: bool = False) -> D
     """
     split = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
     return with_results(split if keep else split.drop(text), "_words", _count, "terms array<string>, times array<long>")
+
+
+def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Long table (key, term, tf); a row of ``df`` is a document. Nothing is shuffled."""
+    counted = with_term_counts(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    pairs = counted.select("key", F.explode(F.arrays_zip("terms", "times")).alias("x"))
+    return pairs.select(F.col("key").alias(key), F.col("x.terms").alias("term"), F.col("x.times").alias("tf"))
+
+
+def top_terms(counts: DataFrame, size: int, min_df: int = 1) -> DataFrame:
+    """Vocabulary: the ``size`` most frequent terms, ties in term order. The only shuffle by term."""
+    totals = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return totals.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(size)
+
+
+def idf(df_count: Column, n_docs: Column) -> Column:
+    """Smoothed inverse document frequency ln((1+n)/(1+df)) + 1."""
+    return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df_count)) + F.lit(1.0)
+
+
+def _weigh(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weights = shared.value
+        for batch in batches:
+            for part in slices_by_length(batch, list_lengths(batch.column("value").field("terms")), 2 * WORDS):
+                value, n = part.column("value"), part.num_rows
+                lists = value.field("terms")
+                place = pc.index_in(lists.flatten().cast(pa.string()), value_set=known)
+                found = place.is_valid().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(n), list_lengths(lists))[found]
+                at = place.drop_null().to_numpy(zero_copy_only=False)
+                raw = value.field("times").flatten().to_numpy(zero_copy_only=False)[found] * weights[at]
+                norm = np.sqrt(np.bincount(owner, raw * raw, n))
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]), pa.int32())
+                columns = [
+                    part.column("row"),
+                    pa.ListArray.from_arrays(ends, known.take(pa.array(at))),
+                    pa.ListArray.from_arrays(ends, pa.array(raw / norm[owner])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "terms", "weights"])
+
+    return run
+
+
+def tfidf_weights(df: DataFrame, vocabulary: DataFrame, n_docs: Column, key: str, text: str = "text") -> DataFrame:
+    """Long table (key, term, weight): count times idf of the vocabulary's terms, rows of unit length.
+
+    The vocabulary (term, df), as large as the caller chose, goes to every task. A document's weights
+    are made inside its row; nothing is shuffled.
+    """
+    rows = vocabulary.select("term", idf(F.col("df"), n_docs).alias("w")).collect()
+    known = pa.array([r["term"] for r in rows], pa.string()), np.array([r["w"] for r in rows], float)
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    counted = with_term_counts(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    packed = counted.select("key", F.struct("terms", "times").alias("counts"))
+    weighed = with_results(packed, "counts", _weigh(shared), "terms array<string>, weights array<double>")
+    pairs = weighed.select("key", F.explode(F.arrays_zip("terms", "weights")).alias("x"))
+    return pairs.select(F.col("key").alias(key), F.col("x.terms").alias("term"), F.col("x.weights").alias("weight"))

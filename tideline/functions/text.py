@@ -9,13 +9,16 @@ from tideline.scale import attach
 
 # fixed values: patterns of the text features and of the word tokenizer
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SENTENCE_END = "[.!?]"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
 def token_count(text: Column) -> Column:
-    """Number of tokens between white space; 0 for blank text."""
-    return F.size(F.array_remove(F.split(text, SPACE), "")).cast("int")
+    """Number of tokens between white space; 0 for blank text. All white space is made one
+    character first, so the cut needs no pattern."""
+    spaced = F.translate(text, SPACES, " " * len(SPACES))
+    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("int")
 
 
 def character_count(text: Column) -> Column:
@@ -31,19 +34,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def word_terms(words: Column) -> Column:
-    """Words and pairs of neighbouring words, repeats kept."""
-    fewer = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, fewer), F.slice(words, 2, fewer), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
-
-
-def with_terms(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add the terms of a text. The words become a column first, so each text is scanned once."""
-    split = df.withColumn("_words", words(F.coalesce(F.col(text), F.lit(""))))
-    return split.withColumn(name, word_terms(F.col("_words"))).drop("_words")
-
-
 def text_features(df: DataFrame, text: str = "text", flag: str | None = "flag", prefix: str = "") -> DataFrame:
     """Six text columns: tokens, characters, sentence marks, flag as tinyint, and the
     z-scores (sample deviation, 0 if undefined) of tokens and characters."""
@@ -81,35 +71,3 @@ def z_scores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         }
     )
     return scored.drop("_stats")
-
-
-def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Long table (key, term, tf). The counts are combined on the map side, so a
-    frequent term does not make a large task."""
-    # An inner explode would make Spark test the size of the terms below the shuffle,
-    # which scans every text once more.
-    terms = with_terms(df.select(key, text), text, "_terms").select(key, F.explode_outer("_terms").alias("term"))
-    terms = terms.where(F.col("term").isNotNull())
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def top_terms(counts: DataFrame, size: int, min_df: int = 1) -> DataFrame:
-    """Vocabulary: the ``size`` most frequent terms, ties in term order."""
-    totals = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
-    return totals.where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(size)
-
-
-def idf(df_count: Column, n_docs: Column) -> Column:
-    """Smoothed inverse document frequency ln((1+n)/(1+df)) + 1."""
-    return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df_count)) + F.lit(1.0)
-
-
-def tfidf_weights(counts: DataFrame, vocabulary: DataFrame, n_docs: Column, key: str) -> DataFrame:
-    """Long table (key, term, weight) with rows of unit length.
-
-    The vocabulary is as large as the caller chose; Spark broadcasts it if its size allows.
-    """
-    known = counts.join(vocabulary.select("term", F.col("df").alias("_df")), "term")
-    raw = known.withColumn("_w", F.col("tf") * idf(F.col("_df"), n_docs))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))

@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.carry import with_results
-from tideline.functions.terms import list_lengths, slices_by_length, with_term_counts
-from tideline.functions.text import idf
+from tideline.functions.terms import idf, list_lengths, slices_by_length, with_term_counts
 
 # fixed values: penalty of the ridge, vocabulary size
 ALPHA = 1.0

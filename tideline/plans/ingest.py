@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideline.functions import terms
 from tideline.functions import text as tx
 from tideline.functions.expressions import (
     digest_number,
@@ -353,7 +354,7 @@ VOCABULARY = "SELECT term, sum(tf) AS tf, count(*) AS df FROM terms GROUP BY ter
 
 @query("term_counts", sql("docs", "SELECT * FROM terms", terms=TERMS))
 def _(t: Tables):
-    return tx.term_counts(t.docs, "doc_id")
+    return terms.term_counts(t.docs, "doc_id")
 
 
 @query(
@@ -361,7 +362,7 @@ def _(t: Tables):
     sql("docs", "SELECT term, CAST(tf AS BIGINT) AS tf, df FROM vocabulary", terms=TERMS, vocabulary=VOCABULARY),
 )
 def _(t: Tables):
-    return tx.top_terms(tx.term_counts(t.docs, "doc_id"), 20_000, 2)
+    return terms.top_terms(terms.term_counts(t.docs, "doc_id"), 20_000, 2)
 
 
 @query(
@@ -376,9 +377,9 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    counts = tx.term_counts(t.docs, "doc_id")
     n = t.raw("documents").agg(F.count(F.lit(1))).scalar()
-    return tx.tfidf_weights(counts, tx.top_terms(counts, 20_000, 2), n, "doc_id")
+    vocabulary = terms.top_terms(terms.term_counts(t.docs, "doc_id"), 20_000, 2)
+    return terms.tfidf_weights(t.docs, vocabulary, n, "doc_id")
 
 
 @query(
