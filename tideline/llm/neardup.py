@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from tideline.llm.common import components, durable, table
 from tideline.llm.words import LOWER, NOT_SPACE, chain, hashed_words, mix, slices
 
-SKETCH, KEYS, SHORT, HUBS, LISTS, BLOCK = 48, 24, 16, 4, 8, 1024
+SKETCH, KEYS, SHORT, HUBS, LISTS, BLOCK = 48, 24, 16, 4, 12, 1024
+#: Bytes of full sets in a block.
+BYTES = 16 << 20
 #: Shared values of a union sketch below which a pair at the threshold falls with a chance
 #: of about 1e-8 (binomial tail for 48 draws at 0.8), as standard deviations.
 SLACK = 5.5
@@ -157,28 +159,156 @@ def _way(node: str, partner: str):
     return F.struct(F.col(node).alias("node"), F.col(partner).alias("partner"))
 
 
+def _shared(values: list[np.ndarray]) -> np.ndarray:
+    """How many values every two sets have in common."""
+    n = np.array([len(x) for x in values])
+    _, inverse, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(values)), n)
+    common = count[inverse] > 1  # a value of one set alone is in no intersection
+    number = (np.cumsum(count > 1) - 1)[inverse[common]]
+    row = row[common]
+    order = np.argsort(number, kind="stable")
+    number, row = number[order], row[order]
+    both = np.zeros((len(values), len(values)), np.float32)
+    most = int(number[-1]) + 1 if len(number) else 0
+    width = min(most, max(1, (1 << 22) // len(values)))
+    for start in range(0, most, width or 1):
+        lo, hi = np.searchsorted(number, [start, start + width])
+        held = np.zeros((len(values), width), np.float32)
+        held[row[lo:hi], number[lo:hi] - start] = 1
+        both += held @ held.T
+    return both
+
+
+def _parts(roots: pa.Array) -> np.ndarray:
+    """Components as numbers."""
+    return roots.combine_chunks().dictionary_encode().indices.to_numpy()
+
+
+def _needed(of: np.ndarray, percent: int) -> np.ndarray:
+    """Shared values that a union sketch of ``of`` values needs."""
+    t = percent / 100
+    return t * of - SLACK * np.sqrt(t * (1 - t) * of)
+
+
+def _union_sketches_allow(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the union sketch of each two sketches (rows, padded with the largest value) allows the similarity."""
+    end = np.iinfo(np.int64).max
+    out = np.zeros(len(left), bool)
+    for a in range(0, len(left), 1 << 14):
+        values = np.sort(np.hstack([left[a : a + (1 << 14)], right[a : a + (1 << 14)]]), axis=1)
+        repeated = np.zeros(values.shape, bool)
+        repeated[:, 1:] = (values[:, 1:] == values[:, :-1]) & (values[:, 1:] < end)
+        new = ~repeated & (values < end)
+        seat = np.cumsum(new, axis=1)
+        of = np.minimum(seat[:, -1], SKETCH)
+        hit = (repeated & (seat <= SKETCH)).sum(1)
+        out[a : a + (1 << 14)] = hit >= _needed(of, percent)
+    return out
+
+
+def _padded(sketches: pa.Array) -> np.ndarray:
+    out = np.full((len(sketches), SKETCH), np.iinfo(np.int64).max)
+    for row, x in enumerate(sketches.to_pylist()):
+        out[row, : len(x)] = x
+    return out
+
+
+def _short_pairs(percent: int):
+    """Pairs of different components that meet in a short list and whose sizes and union sketch allow a link.
+
+    Rows come sorted by list; lists are worked on many at a time, and no list is cut.
+    """
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        value, n = rows.column("value").to_numpy(), rows.column("n").to_numpy()
+        part = _parts(rows.column("root"))
+        starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        size = np.diff(np.concatenate([starts, [len(value)]]))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, int(size.max())):
+            # every row with the one `step` after it in the same list
+            own = np.flatnonzero(value[:-step] == value[step:])
+            left.append(own)
+            right.append(own + step)
+        i, j = np.concatenate(left), np.concatenate(right)
+        on = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[on], j[on]
+        low = _padded(rows.column("sketch").combine_chunks())
+        on = _union_sketches_allow(low[i], low[j], percent)
+        names = rows.column("class").combine_chunks()
+        return pa.RecordBatch.from_arrays([names.take(pa.array(i[on])), names.take(pa.array(j[on]))], names=["p", "q"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) < 4 * BLOCK:
+                continue
+            rows = pa.Table.from_batches(held)
+            value = rows.column("value").to_numpy()
+            end = len(value) - int((value[::-1] == value[-1]).argmin()) if (value != value[-1]).any() else 0
+            if end:
+                yield pairs(rows.slice(0, end))
+            held = rows.slice(end).to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what a symmetric relation of rows joins, and no more of them than that takes."""
+    seen = np.zeros(len(near), bool)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in np.flatnonzero(near.any(1)).tolist():
+        if seen[start]:
+            continue
+        front = np.array([start])
+        seen[start] = True
+        while len(front):
+            reach = near[front]
+            new = np.flatnonzero(reach.any(0) & ~seen)
+            left.append(front[reach[:, new].argmax(0)])
+            right.append(new)
+            seen[new] = True
+            front = new
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _block_survivors(percent: int):
+    """Pairs that join the classes of a block as the union sketches of different components allow."""
+
+    def run(block: pa.Table) -> pa.Table:
+        part = _parts(block.column("root"))
+        n = block.column("n").to_numpy()
+        low = [np.array(x, np.int64) for x in block.column("sketch").to_pylist()]
+        held = np.array([len(x) for x in low])
+        # the union sketch has as many values as the longer of two, at least
+        allowed = _shared(low) >= _needed(np.maximum(held[:, None], held[None, :]), percent)
+        allowed &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        allowed &= part[:, None] < part[None, :]
+        i, j = np.nonzero(allowed)
+        padded = _padded(block.column("sketch").combine_chunks())
+        on = _union_sketches_allow(padded[i], padded[j], percent)
+        near = np.zeros(allowed.shape, bool)
+        near[i[on], j[on]] = near[j[on], i[on]] = True
+        i, j = _forest(near)
+        names = block.column("class").combine_chunks()
+        return pa.table({"p": names.take(pa.array(i)), "q": names.take(pa.array(j))})
+
+    return run
+
+
 def _block_links(percent: int):
     """Links between different components in one block of sets; enough of them to join all that are linked."""
 
     def run(block: pa.Table) -> pa.Table:
-        classes, roots = block.column("class").to_pylist(), block.column("root").to_pylist()
+        classes = block.column("class").to_pylist()
+        part = _parts(block.column("root"))
         sets = [np.frombuffer(x, np.uint64) for x in block.column("full").to_pylist()]
         n = np.array([len(x) for x in sets])
-        values, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), n)
-        shared = count[inverse] > 1  # a value of one set alone is in no intersection
-        number = (np.cumsum(count > 1) - 1)[inverse[shared]]
-        row = row[shared]
-        order = np.argsort(number, kind="stable")
-        number, row = number[order], row[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        width = max(1, (1 << 22) // len(sets))
-        for start in range(0, int(number[-1]) + 1 if len(number) else 0, width):
-            lo, hi = np.searchsorted(number, [start, start + width])
-            held = np.zeros((len(sets), width), np.float32)
-            held[row[lo:hi], number[lo:hi] - start] = 1
-            both += held @ held.T
-        part = np.unique(np.array(roots, object).astype("S16"), return_inverse=True)[1]
+        both = _shared(sets)
         linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (part[:, None] < part[None, :])
         names = list(range(int(part.max()) + 1))
 
@@ -200,29 +330,76 @@ def _block_links(percent: int):
     return run
 
 
-def _across(tagged: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links ``x, y`` between different components within the long lists.
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """``class, root, n`` of lists (``value, length``) in the blocks ``value, band, i, j`` in which every two classes of a list may meet.
 
-    Of the lists that hold several components each class takes those of its ``LISTS`` smallest
-    values. A list is cut into blocks of about ``BLOCK`` and every two blocks are compared in a
-    task: pairs stay there, only links come out.
+    A list (``value``) over ``BLOCK`` classes is cut by size: linked sets have sizes within
+    ``percent`` of each other, so they are of the same band or of neighbouring ones, and a band's
+    list holds both. What is longer still, or has over ``BYTES`` of sets, is cut into blocks, and
+    every two blocks meet in a task.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent))).cast("int")
+    # sizes at the edge of the ratio may round into the band after the next: three bands share a list
+    bands = F.when(F.col("length") <= BLOCK, F.array(F.lit(-1))).otherwise(F.array(band, band + 1, band + 2))
+    banded = rows.select("class", "root", "n", "value", F.explode(bands).alias("band"))
+    sizes = banded.groupBy("value", "band").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BYTES)).cast("int").alias("blocks"),
+        F.min("root").alias("lo"), F.max("root").alias("hi"),
+    )
+    sizes = sizes.where("lo <> hi").select("value", "band", "blocks")
+    placed = banded.join(sizes, ["value", "band"]).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    placed = placed.select("class", "root", "n", "value", "band", "own", other)
+    return placed.select("class", "root", "n", "value", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _lengths(rows: DataFrame) -> DataFrame:
+    """``value, length`` of the lists that hold several components."""
+    lengths = rows.groupBy("value").agg(F.count("*").alias("length"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return durable(lengths.where("lo <> hi").select("value", "length"))
+
+
+def _across(tagged: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x, y`` of different components within the long lists that join all whose union sketch allows a link.
+
+    Of the long lists that hold several components each class takes those of its ``LISTS`` smallest
+    values, two values at a time: lists of two values are far shorter unless they hold a group. Classes
+    with less than two shared values here have met in a short list. Lists of two values with at most
+    ``SHORT`` classes give their pairs; in the others sketches meet in blocks.
     """
     mixed = tagged.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     rows = tagged.join(mixed.where("lo <> hi").select("value"), "value")
     own = F.slice(F.array_sort(F.collect_list("value")), 1, LISTS)  # at most KEYS values are collected
-    rows = rows.groupBy("class", "root").agg(own.alias("values")).select("class", "root", F.explode("values").alias("value"))
-    rows = durable(rows)
-    sizes = rows.groupBy("value").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")
-    )
-    sizes = sizes.where("lo <> hi").select("value", "blocks")
-    placed = rows.join(sizes, "value").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = placed.select("class", "root", "value", "own", other).select(
-        "class", "root", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
-    )
-    placed = placed.join(_sets(rows.select("class").distinct(), docs, classes, width), "class")
-    return durable(placed.groupBy("value", "i", "j").applyInArrow(_block_links(percent), "x binary, y binary").distinct())
+    rows = rows.groupBy("class", "root").agg(own.alias("own"), F.first("n").cast("int").alias("n"))
+    later = lambda x, i: F.transform(F.slice("own", i + 2, LISTS), lambda y: F.xxhash64(x, y))
+    # classes travel as longs here; two classes that share one would only be compared once too often
+    short_name = lambda c: F.xxhash64(c).alias(c)
+    rows = durable(rows.select(short_name("class"), short_name("root"), "n", F.explode(F.flatten(F.transform("own", later))).alias("value")))
+    lists = rows.join(_lengths(rows), "value")
+    # 31 bits of a value, in the same order, are enough to estimate from
+    low = classes.select(short_name("class"), F.transform("sketch", lambda x: F.shiftright(x, 33).cast("int")).alias("sketch"))
+    lists = durable(lists)
+    few = lists.where(F.col("length") <= SHORT).join(low, "class")
+    few = few.select("value", "class", "root", "n", "sketch").repartition("value").sortWithinPartitions("value")
+    short = few.mapInArrow(_short_pairs(percent), "p long, q long")
+    placed = _blocks(lists.where(F.col("length") > SHORT), percent).join(low, "class")
+    long = placed.groupBy("value", "band", "i", "j").applyInArrow(_block_survivors(percent), "p long, q long")
+    pairs = durable(short.union(long).select(*_pair("p", "q")).distinct())
+    named = lambda s: classes.select(F.xxhash64("class").alias(s), F.col("class").alias(f"c{s}"))
+    return pairs.join(named("x"), "x").join(named("y"), "y").select(*_pair("cx", "cy"))
+
+
+def _grouped_links(pairs: DataFrame, named: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links between different components among all classes that the pairs join; enough to join all that are linked.
+
+    What the pairs join is a list, so a class's full set travels once, or once a block of a long list.
+    """
+    lists = components(pairs, "x", "y").toDF("class", "value")
+    rows = lists.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rows = durable(rows.join(classes.select("class", "n"), "class"))
+    placed = durable(_blocks(rows.join(_lengths(rows), "value"), percent))
+    full = placed.join(_sets(placed.select("class").distinct(), docs, classes, width), "class")
+    return durable(full.groupBy("value", "band", "i", "j").applyInArrow(_block_links(percent), "x binary, y binary").distinct())
 
 
 def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
@@ -258,6 +435,10 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         long.join(hubs.distinct(), "value")
         .where("class <> hub")
         .select(*_pair("class", "hub"), F.when(F.col("class") < F.col("hub"), 1).otherwise(2).alias("who"))
+        .groupBy("x", "y")
+        .agg(F.count("*").alias("lists"), F.bit_or("who").alias("who"))
+        .where("lists > 1")  # members of a group meet its hub in most lists
+        .select("x", "y", "who")
     )
     chosen = near.union(starred).groupBy("x", "y").agg(F.bit_or("who").alias("who"))
     scored = durable(_scored(chosen, classes, percent).join(chosen, ["x", "y"]))
@@ -278,7 +459,6 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
     roots = components(linked, "x", "y")
     named = roots.toDF("class", "root")
     tagged = long.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    across = _across(tagged, docs, classes, width, percent)
     side = lambda s: named.toDF(s, f"r{s}")
     rest = (
         scored.select("x", "y")
@@ -287,9 +467,10 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         .where(F.coalesce("rx", "x") != F.coalesce("ry", "y"))
         .join(best, ["x", "y"], "left_anti")
         .select("x", "y")
+        .union(_across(tagged, classes, percent))
     )
-    more = _verified(durable(rest), docs, classes, width, percent)
-    return components(linked.union(across).union(more), "x", "y").toDF("class", "root")
+    more = _grouped_links(durable(rest.distinct()), named, docs, classes, width, percent)
+    return components(linked.union(more), "x", "y").toDF("class", "root")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
