@@ -70,7 +70,7 @@ def _digest(x: np.ndarray) -> bytes | None:
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 sets = shingle_sets(part.column("text"), width)
                 low = [ordered(np.sort(x)[:k]) for x in sets]  # hashes are mixed already
                 yield pa.RecordBatch.from_arrays(
@@ -89,7 +89,7 @@ def _sketches(width: int, k: int):
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 sets = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -191,12 +191,12 @@ def _needed(of: np.ndarray, percent: int) -> np.ndarray:
     return t * of - SLACK * np.sqrt(t * (1 - t) * of)
 
 
-def _union_sketches_allow(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the union sketch of each two sketches (rows, padded with the largest value) allows the similarity."""
+def _union_sketches_allow(low: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the union sketch of each two rows of ``low`` (sketches, padded with the largest value) allows the similarity."""
     end = np.iinfo(np.int64).max
     out = np.zeros(len(left), bool)
     for a in range(0, len(left), 1 << 14):
-        values = np.sort(np.hstack([left[a : a + (1 << 14)], right[a : a + (1 << 14)]]), axis=1)
+        values = np.sort(np.hstack([low[left[a : a + (1 << 14)]], low[right[a : a + (1 << 14)]]]), axis=1)
         repeated = np.zeros(values.shape, bool)
         repeated[:, 1:] = (values[:, 1:] == values[:, :-1]) & (values[:, 1:] < end)
         new = ~repeated & (values < end)
@@ -235,7 +235,7 @@ def _short_pairs(percent: int):
         on = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         i, j = i[on], j[on]
         low = _padded(rows.column("sketch").combine_chunks())
-        on = _union_sketches_allow(low[i], low[j], percent)
+        on = _union_sketches_allow(low, i, j, percent)
         names = rows.column("class").combine_chunks()
         return pa.RecordBatch.from_arrays([names.take(pa.array(i[on])), names.take(pa.array(j[on]))], names=["p", "q"])
 
@@ -290,7 +290,7 @@ def _block_survivors(percent: int):
         allowed &= part[:, None] < part[None, :]
         i, j = np.nonzero(allowed)
         padded = _padded(block.column("sketch").combine_chunks())
-        on = _union_sketches_allow(padded[i], padded[j], percent)
+        on = _union_sketches_allow(padded, i, j, percent)
         near = np.zeros(allowed.shape, bool)
         near[i[on], j[on]] = near[j[on], i[on]] = True
         i, j = _forest(near)
