@@ -155,7 +155,8 @@ def quality(
 
     A null text counts as empty and fails the base rule; a null source is the host ''. Rows
     that repeat a document are all returned, and counted once. Extra columns are ignored; an
-    empty table gives an empty result.
+    empty table gives an empty result. Write the result before filtering on ``kept``: the filter
+    would else be pushed into the counts and evaluate their nested expressions per word.
     """
     out = base_counts(_keyed(docs)).join(removed_lines(docs, min_docs, share), ["key", "key2"], "left")
     removed = F.coalesce("removed_words", F.lit(0))
