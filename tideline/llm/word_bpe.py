@@ -30,7 +30,7 @@ from tideline.llm.common import table
 from tideline.llm.words import slices
 
 #: Characters of the words whose ids a worker keeps, and of the longest such word.
-CACHE_CHARS = 4 << 20
+CACHE_CHARS = 1 << 20
 CACHED_WORD = 64
 #: A pair's key is its left id, shifted, and its right id; a heap entry is a rank, shifted, and a position.
 _SHIFT, _PLACE = 21, 40
@@ -187,7 +187,7 @@ def _encode(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content)
         for batch in batches:
-            for part in slices(batch, "value", 1 << 20):
+            for part in slices(batch, "value", 1 << 19):
                 ids = [encoder.ids(x) for x in part.column("value").to_pylist()]
                 ends = np.cumsum([0] + [len(x) // 4 for x in ids])
                 flat = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
