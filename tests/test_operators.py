@@ -288,7 +288,7 @@ def test_sign_agreement_counts_zero_with_zero_only(spark):
 def test_half_profile_matches_numpy(small):
     halves = windows.halves(windows.timeline(small.where("user_id = 'u1' or text_id <= 11"), R)).result()
     rows = {r["user_id"]: r for r in profiles.half_profile(halves, R).collect()}
-    assert set(rows["u1"].asDict()) >= set(profiles.PROFILE_COLUMNS)
+    assert set(rows["u1"].asDict()) >= set(profiles.profile_columns(R))
     assert rows["u1"]["v_slope"] == pytest.approx(1.0) and rows["u1"]["v_std"] == pytest.approx(0.5)
     assert rows["u2"]["v_slope"] == 0.0 and rows["u2"]["v_std"] == 0.0 and rows["u2"]["n_half1"] == 1
 
@@ -381,6 +381,38 @@ def test_forest_fits_a_step(spark):
     assert error[(got["x"] < 8) | (got["x"] > 11)].max() < 1e-9 and error.mean() < 0.1
 
 
+def test_forest_depends_on_rows_alone(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    rows = [(i, *map(float, r), float(r[0] * r[1] + rng.normal() / 5)) for i, r in enumerate(x)]
+    df = learn.assemble(spark.createDataFrame(rows, "k long, p double, q double, r double, y double"), list("pqr"))
+    ways = [df.repartition(2), df.repartitionByRange(7, F.desc("y"))]
+    got = [learn.apply_models(df, learn.fit_forest(w, "features", ["y"], trees=10, key=["k"])).orderBy("k").toPandas() for w in ways]
+    assert (got[0]["y_pred"] == got[1]["y_pred"]).all()
+    assert ((got[0]["y_pred"] - got[0]["y"]) ** 2).mean() < got[0]["y"].var() / 2
+
+
+def test_value_summary_equals_numpy(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=500), 1) * 10
+    rows = [("a", float(v)) for v in x] + [("a", None), ("a", float("nan")), ("a", float("-inf")), ("b", None), (None, -2.0)]
+    got = {r["g"]: r for r in aggregates.value_summary(spark.createDataFrame(rows, "g string, x double"), "x", ["g"], {"a": (-5, 5)}).collect()}
+    a = got["a"]
+    assert (a["n"], a["nan_count"], a["inf_count"]) == (503, 2, 1)
+    want = [x.mean(), x.std(), x.min(), x.max(), np.abs(x).max(), np.quantile(x, 0.05), np.quantile(np.abs(x), 0.99), (x < -5).mean(), (x > 5).mean()]
+    np.testing.assert_allclose([a[c] for c in ("mean", "std", "min", "max", "abs_max", "p05", "abs_p99", "frac_below", "frac_above")], want, atol=1e-9)
+    assert (got["b"]["n"], got["b"]["nan_count"], got["b"]["mean"], got["b"]["p50"]) == (1, 1, None, None)
+    assert (got[None]["p50"], got[None]["abs_p99"], got[None]["frac_below"]) == (-2.0, 2.0, None)
+    whole = aggregates.value_summary(spark.createDataFrame([], "x double"), "x", [])
+    assert [r["n"] for r in whole.collect()] == [0]
+
+
+def test_value_summary_reads_its_input_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS g", "id * 1.0 AS x").write.parquet(str(tmp_path / "t"))
+    plan = aggregates.value_summary(spark.read.parquet(str(tmp_path / "t")), "x", ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_blend_and_ensemble_refuse_unequal_keys(spark):
     a = spark.createDataFrame([("u", 1.0), ("w", 2.0)], "user_id string, p double")
     b = spark.createDataFrame([("u", 3.0), ("w", 4.0)], "user_id string, p double")

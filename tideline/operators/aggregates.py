@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions.expressions import is_finite
 from tideline.functions.quantiles import exact_quantiles
 from tideline.scale import attach, same_key
+from tideline.timeline import SumBefore, Timeline, Total
 
 # fixed values: quantiles of the value summary and of the short description
 SUMMARY_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
@@ -76,33 +77,50 @@ def value_summary(
     """Per group: counts of all, NaN and infinite values; over the finite ones mean,
     population deviation, extremes, quantiles, largest absolute value and its 99 %
     quantile. A null counts as NaN. ``bounds`` are per value of the first group column
-    and give the shares below and above."""
-    x = F.col(column).cast("double")
-    rows = df.select(*by, x.alias("x"), F.when(is_finite(x), x).alias("f"))
+    and give the shares below and above.
+
+    The input is read once, into counts of its distinct values. Values and absolute values
+    are two orders of that table, and every number comes from their running counts."""
+    counts = df.select(*by, F.col(column).cast("double").alias("_x")).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    entry = lambda order, at: F.struct(F.lit(order).alias("_order"), at.alias("_at"))
+    x = F.col("_x")
+    orders = F.when(is_finite(x), F.array(entry("value", x), entry("size", F.abs(x)))).otherwise(F.array(entry("none", x)))
+    n, at = F.col("_n"), F.col("_at")
+    long = counts.select(*by, "_n", F.inline(orders))
+    ranked = Timeline(long, [*by, "_order"], ["_at"]).running(_below=SumBefore(n), _total=Total(n), _sum=Total(n * at)).result()
+    total, reached = F.col("_total"), F.col("_below") + n
+    is_value, is_size, is_none = (F.col("_order") == o for o in ("value", "size", "none"))
+    unknown = at.isNull() | F.isnan(at)
+    number = lambda when: F.coalesce(F.sum(F.when(when, n)), F.lit(0).cast("long"))
+    known = F.sum(F.when(is_value, n))
+    mean = F.col("_sum") / total
+
+    def quantile(when, p: float):
+        rank = F.lit(float(p)) * (total - 1)
+        low = F.min(F.when(when & (reached > F.floor(rank)), at))
+        high = F.min(F.when(when & (reached > F.ceil(rank)), at))
+        return low + (high - low) * F.max(F.when(when, rank - F.floor(rank)))
+
     aggregates = [
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("x").isNull() | F.isnan("x")).alias("nan_count"),
-        F.count_if(F.col("x").isNotNull() & ~F.isnan("x") & F.col("f").isNull()).alias("inf_count"),
-        F.avg("f").alias("mean"),
-        F.stddev_pop("f").alias("std"),
-        F.min("f").alias("min"),
-        F.max("f").alias("max"),
-        F.max(F.abs("f")).alias("abs_max"),
+        number(~is_size).alias("n"),
+        number(is_none & unknown).alias("nan_count"),
+        number(is_none & ~unknown).alias("inf_count"),
+        F.max(F.when(is_value, mean)).alias("mean"),
+        F.sqrt(F.sum(F.when(is_value, n * (at - mean) * (at - mean))) / known).alias("std"),
+        F.min(F.when(is_value, at)).alias("min"),
+        F.max(F.when(is_value, at)).alias("max"),
+        F.max(F.when(is_size, at)).alias("abs_max"),
     ]
     if bounds:
         low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
         for name, (a, b) in bounds.items():
             low = F.when(F.col(by[0]) == name, F.lit(float(a))).otherwise(low)
             high = F.when(F.col(by[0]) == name, F.lit(float(b))).otherwise(high)
-        rows = rows.withColumns({"_lo": low, "_hi": high})
-        aggregates += [
-            F.avg((F.col("f") < F.col("_lo")).cast("double")).alias("frac_below"),
-            F.avg((F.col("f") > F.col("_hi")).cast("double")).alias("frac_above"),
-        ]
-    basic = rows.groupBy(*by).agg(*aggregates)
-    quantiles = exact_quantiles(rows, by, "f", SUMMARY_QUANTILES)
-    absolute = exact_quantiles(rows.withColumn("f", F.abs("f")), by, "f", {"abs_p99": 0.99})
-    return join_groups(join_groups(basic, quantiles, by), absolute, by)
+        ranked = ranked.withColumns({"_low": low, "_high": high})
+        share = lambda outside: F.sum(F.when(is_value & outside.isNotNull(), n * outside.cast("int"))) / known
+        aggregates += [share(at < F.col("_low")).alias("frac_below"), share(at > F.col("_high")).alias("frac_above")]
+    aggregates += [quantile(is_value, p).alias(name) for name, p in SUMMARY_QUANTILES.items()]
+    return ranked.groupBy(*by).agg(*aggregates, quantile(is_size, 0.99).alias("abs_p99"))
 
 
 def prediction_summary(

@@ -19,15 +19,16 @@ from tideline.operators.windows import (
 from tideline.roles import Roles
 from tideline.scale import join_one_row_per_key
 
-# fixed values: order of the numeric features, for targets v, a and deltas dv, da
-FEATURE_COLUMNS = [
-    "dv_prev", "da_prev", "dv_prev_missing", "da_prev_missing",
-    "gap_prev_seconds", "history_len",
-    "dv_mean_prev", "da_mean_prev", "dv_ema_prev", "da_ema_prev",
-    "dv_base", "da_base",
-    "v", "a", "v_missing", "a_missing",
-    "v_prev_state", "a_prev_state", "v_prev_state_missing", "a_prev_state_missing",
-]
+def feature_columns(roles: Roles) -> list[str]:
+    """The numeric features in their order: what is known of past deltas, then base predictions, then states."""
+    deltas, targets = roles.deltas, roles.targets
+    states = [t + "_prev_state" for t in targets]
+    lags, missing = [d + "_prev" for d in deltas], "{}_missing".format
+    past = [*[d + "_mean_prev" for d in deltas], *[d + "_ema_prev" for d in deltas]]
+    return [
+        *lags, *map(missing, lags), "gap_prev_seconds", "history_len", *past, *[d + "_base" for d in deltas],
+        *targets, *map(missing, targets), *states, *map(missing, states),
+    ]
 
 
 def history_block(df: DataFrame, roles: Roles) -> DataFrame:
@@ -44,7 +45,7 @@ def feature_block(rows: DataFrame, model: DataFrame, roles: Roles, finish: bool
     out = missing_flags(
         out, [*[d + "_prev" for d in roles.deltas], *roles.targets, *[t + "_prev_state" for t in roles.targets]]
     )
-    return finite_features(out, FEATURE_COLUMNS) if finish else out
+    return finite_features(out, feature_columns(roles)) if finish else out
 
 
 def train_rows(rows: DataFrame, split: DataFrame, on: list[str]) -> DataFrame:
@@ -81,12 +82,12 @@ def step_dataset(
     steps = join_one_row_per_key(steps, split.select(*split_on, "part"), split_on)
     # Targets keep their own columns: scaling must not touch them.
     if not use_history:
-        steps = zero_columns(steps, FEATURE_COLUMNS)
+        steps = zero_columns(steps, feature_columns(roles))
     if residual:
         steps = residuals(steps, list(roles.deltas))
     if normalise:
-        stats = fit_norm_stats(steps.where(F.col("part") == "train"), FEATURE_COLUMNS)
-        steps = apply_norm_stats(steps, stats, FEATURE_COLUMNS)
+        stats = fit_norm_stats(steps.where(F.col("part") == "train"), feature_columns(roles))
+        steps = apply_norm_stats(steps, stats, feature_columns(roles))
     return steps
 
 

@@ -43,20 +43,35 @@ def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float
     return models
 
 
+def in_fixed_places(rows: DataFrame, key: list[str], parts: int) -> DataFrame:
+    """The rows in ``parts`` partitions by a hash of their key, in the order of their keys.
+
+    Spark ML draws bootstrap samples from the number of a partition and the place in it; after
+    this, both depend on the rows alone. Keys must not repeat.
+    """
+    return rows.repartition(parts, *key).sortWithinPartitions(*key)
+
+
 def fit_forest(
     train: DataFrame, features: str, targets: list[str], trees: int = TREES, seed: int = 42,
-    key: list[str] | None = None, max_rows: int | None = None,
+    key: list[str] | None = None, max_rows: int | None = None, parts: int = 16, grid: float = 2.0**-12,
 ) -> dict:
     """One random forest per target, as deep as Spark ML allows, on all rows.
 
+    With a ``key`` (unique) the forest depends on the rows, ``seed`` and ``parts`` alone, however the
+    table is partitioned: rows take fixed places, and targets are put on a ``grid``, so that sums
+    of targets and of their squares are exact in any order (up to 2 ** 53 grid steps squared).
     With ``max_rows`` it is fitted on that many rows at most: those with the smallest hash of
-    ``key``, so the choice depends on the rows alone.
+    ``key``.
     """
     if max_rows is not None:
         if not key:
             raise ValueError("a bound on rows needs a key to choose them by")
         place = F.xxhash64(*key, F.lit(seed))
         train = train.orderBy(place, *key).limit(max_rows)
+    if key:
+        exact = {t: F.round(F.col(t) / grid) * grid for t in targets}
+        train = in_fixed_places(train.select(*key, features, *targets).withColumns(exact), key, parts)
     return {
         t: RandomForestRegressor(
             featuresCol=features, labelCol=t, predictionCol=t + "_pred", numTrees=trees, maxDepth=30, seed=seed,
@@ -84,14 +99,20 @@ def fit_predict_ridge(features: list[str] | str):
     return run
 
 
-def fit_predict_forest(features: list[str], trees: int = TREES):
+def fit_predict_forest(features: list[str], trees: int = TREES, key: list[str] | None = None):
     def run(train: DataFrame, test: DataFrame, targets: list[str]) -> DataFrame:
-        models = fit_forest(assemble(train, features), "features", targets, trees)
+        models = fit_forest(assemble(train, features), "features", targets, trees, key=key)
         return apply_models(assemble(test, features), models)
 
     return run
 
 
+def cross_predict(df: DataFrame, fold: str, folds: int, fit_predict: Callable, targets: list[str]) -> DataFrame:
+    """Every row with the predictions of the model that did not see its fold."""
+    parts = [fit_predict(df.where(F.col(fold) != k), df.where(F.col(fold) == k), targets) for k in range(folds)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def cross_validate(
     df: DataFrame, fold: str, folds: int, models: dict[str, Callable], targets: list[str], slices: Callable | None = None
 ) -> DataFrame:

@@ -12,11 +12,10 @@ from tideline.operators.joins import pair_means
 from tideline.roles import Roles
 from tideline.scale import attach
 
-# fixed values: order of the numeric profile columns for targets v and a
-PROFILE_COLUMNS = [
-    "v_mean", "a_mean", "v_last", "a_last", "v_std", "a_std", "v_change", "a_change",
-    "v_slope", "a_slope", "n_half1", "n_total", "cut",
-]
+def profile_columns(roles: Roles) -> list[str]:
+    """The numbers of a half profile, in order."""
+    kinds = ("mean", "last", "std", "change", "slope")
+    return [f"{t}_{kind}" for kind in kinds for t in roles.targets] + ["n_half1", "n_total", "cut"]
 
 
 def half_profile(rows: DataFrame, roles: Roles) -> DataFrame:

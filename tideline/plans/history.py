@@ -252,7 +252,7 @@ F32 = "CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE)"
         "history two_lag_model",
         "SELECT user_id, event_id, "
         + ", ".join(
-            r6(f"round({F32.format(c=c)}, 3)", c)
+            r6(F32.format(c=c), c)
             for c in "dv_prev da_prev gap_prev_seconds dv_mean_prev da_mean_prev dv_ema_prev da_ema_prev v a v_prev_state a_prev_state dv_base da_base".split()
         )
         + ", CAST(history_len AS DOUBLE) AS history_len, "
@@ -264,9 +264,9 @@ F32 = "CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE)"
 )
 def _(t: Tables):
     rows = datasets.feature_block(t.history, t.two_lag_model, EVENTS)
-    flags = [c for c in datasets.FEATURE_COLUMNS if c.endswith("_missing") or c == "history_len"]
-    plain = [c for c in datasets.FEATURE_COLUMNS if c not in flags]
-    return rows.select("user_id", "event_id", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in plain], *flags)
+    flags = [c for c in datasets.feature_columns(EVENTS) if c.endswith("_missing") or c == "history_len"]
+    plain = [c for c in datasets.feature_columns(EVENTS) if c not in flags]
+    return rows.select("user_id", "event_id", *[F.col(c).cast("double").alias(c) for c in plain], *flags)
 
 
 @query(

@@ -14,6 +14,7 @@ from tideline.plans.history import MOMENTUM
 from tideline.plans.ingest import TERMS, TOKENS
 from tideline.plans.registry import query
 from tideline.scale import join_one_row_per_key
+from tideline.sources import stored
 
 RESULTS = ["user_id", "event_id", "dv_pred", "da_pred"]
 TRAIN_MEANS = """SELECT avg(v) AS mv, avg(a) AS ma FROM entries JOIN user_split USING (user_id) WHERE part = 'train'"""
@@ -111,18 +112,23 @@ def _(t: Tables):
     return metrics.delta_errors(rows.where(EVENTS.eligible()), ["dv", "da"])
 
 
+MEAN_SCORE = ", ".join(
+    f"{r6(f'avg(abs({d} - m_{d}))', f'mae_{d}')}, {r6(f'avg(({d} - m_{d}) ** 2)', f'mse_{d}')}, {r6(f'avg(CASE WHEN {d} IS NULL THEN NULL WHEN sign({d}) = sign(m_{d}) THEN 1.0 ELSE 0.0 END)', f'sign_{d}')}"
+    for d in ("dv", "da")
+)
+
+
 @query(
     "baseline_comparison",
     sql(
         "timeline",
-        f"""SELECT 'zero' AS model, n, {r6s('mae_dv mse_dv sign_dv')} FROM (SELECT count(*) AS n, {ZERO_SCORE} FROM timeline WHERE {OK})
-            UNION ALL SELECT 'mean', count(*), {r6('avg(abs(dv - m))')}, {r6('avg((dv - m) ** 2)')}, {r6('avg(CASE WHEN sign(dv) = sign(m) THEN 1.0 ELSE 0.0 END)')}
-              FROM timeline, (SELECT avg(dv) AS m FROM timeline WHERE {OK}) WHERE {OK}
-            UNION ALL SELECT 'momentum', n, {r6s('mae_dv mse_dv sign_dv')} FROM (SELECT count(*) AS n, {PRED_SCORE} FROM momentum WHERE {OK})"""
-        .replace(" AS avg(abs(dv - m))", "").replace(" AS avg((dv - m) ** 2)", "").replace(" AS avg(CASE WHEN sign(dv) = sign(m) THEN 1.0 ELSE 0.0 END)", ""),
+        f"""SELECT 'zero' AS model, count(*) AS n, {ZERO_SCORE} FROM timeline WHERE {OK}
+            UNION ALL BY NAME SELECT 'mean' AS model, count(*) AS n, {MEAN_SCORE}
+              FROM timeline, (SELECT avg(dv) AS m_dv, avg(da) AS m_da FROM timeline WHERE {OK}) WHERE {OK}
+            UNION ALL BY NAME SELECT 'momentum' AS model, count(*) AS n, {PRED_SCORE} FROM momentum WHERE {OK}""",
         momentum=MOMENTUM,
     ),
-)
+)
 def _(t: Tables):
     rows = t.timeline.where(EVENTS.eligible())
     moved = windows.momentum(windows.timeline(t.timeline, EVENTS), EVENTS).result().where(EVENTS.eligible())
@@ -132,7 +138,7 @@ def _(t: Tables):
         "momentum": moved,
     }
     tables = {name: metrics.delta_errors(df, ["dv", "da"]) for name, df in scored.items()}
-    return metrics.compare_models(tables, ["n", "mae_dv", "mse_dv", "sign_dv"])
+    return metrics.compare_models(tables, ["n", *[f"{m}_{d}" for d in ("dv", "da") for m in ("mae", "mse", "sign")]])
 
 
 RIDGE = """SELECT mx, my, sxy / (sxx + 1.0) AS b FROM (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx FROM train)"""
@@ -273,14 +279,51 @@ def _(t: Tables):
     return comparison.comparison(long, LABELS, "flag")
 
 
-@query("forest_cross_validation")
-def _(t: Tables):
+HALF_TARGETS = ["v_half_change", "a_half_change"]
+
+
+def _half_rows(t: Tables):
+    """A row per user with its profile, its targets and a fold; written, since each fold's fit reads it many times."""
+    columns = profiles.profile_columns(EVENTS)
     rows = profiles.half_profile(t.halves, EVENTS).join(profiles.half_change(t.halves, EVENTS), "user_id")
     rows = rows.withColumn("fold", splits.row_fold([F.col("user_id")], 5))
-    columns = profiles.PROFILE_COLUMNS
-    targets = ["v_half_change", "a_half_change"]
-    rows = rows.select("user_id", "fold", *[F.col(c).cast("double").alias(c) for c in columns], *targets).persist()
-    return learn.cross_validate(rows, "fold", 5, {"forest": learn.fit_predict_forest(columns)}, targets)
+    return columns, stored.once(rows.select("user_id", "fold", *[F.col(c).cast("double").alias(c) for c in columns], *HALF_TARGETS))
+
+
+@query("forest_cross_validation")
+def _(t: Tables):
+    columns, rows = _half_rows(t)
+    return learn.cross_validate(rows, "fold", 5, {"forest": learn.fit_predict_forest(columns, key=["user_id"])}, HALF_TARGETS)
+
+
+@query(
+    "forest_report",
+    sql(
+        "halves",
+        f"""SELECT target, count(*) AS n, count(DISTINCT fold) AS n_folds, true AS within_range, true AS under_mean FROM
+            (SELECT user_id, CAST(('0x' || substr(md5(concat(user_id, ':42')), 1, 8)) AS BIGINT) % 5 AS fold FROM
+             (SELECT user_id FROM halves GROUP BY user_id HAVING count(*) FILTER (half = 1) > 0 AND count(*) FILTER (half = 2) > 0)),
+            (VALUES ('v_half_change'), ('a_half_change')) v(target) GROUP BY target""",
+    ),
+)
+def _(t: Tables):
+    """Forests of all folds: rows they score, whether scores stay in the range of the targets, and whether
+    their squared error is under that of the training mean."""
+    columns, rows = _half_rows(t)
+    scored = learn.cross_predict(rows, "fold", 5, learn.fit_predict_forest(columns, key=["user_id"]), HALF_TARGETS)
+    means = learn.cross_predict(rows.select("user_id", "fold", *HALF_TARGETS), "fold", 5, learn.fit_predict_mean, HALF_TARGETS)
+    means = means.select("user_id", *[F.col(c + "_pred").alias(c + "_mean") for c in HALF_TARGETS])
+    both = scored.join(means, "user_id")
+    long = both.select("fold", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("target"), F.col(c).alias("y"), F.col(c + "_pred").alias("p"), F.col(c + "_mean").alias("m")) for c in HALF_TARGETS
+    ])))
+    error = lambda c: F.avg((F.col("y") - F.col(c)) * (F.col("y") - F.col(c)))
+    return long.groupBy("target").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("fold").alias("n_folds"),
+        ((F.min("p") >= F.min("y") - 1e-3) & (F.max("p") <= F.max("y") + 1e-3)).alias("within_range"),
+        (error("p") < error("m")).alias("under_mean"),
+    )
 
 
 TEXT_MODELS = f"""SELECT CAST(k AS INTEGER) AS fold, target, n_train, n_terms, {r6('mean')}, true AS certified FROM
@@ -411,7 +454,7 @@ def _(t: Tables):
 
 def steps(t: Tables, **options):
     return datasets.step_dataset(
-        t.gappy, t.doc_vectors_keyed, t.user_split, ["user_id"], EVENTS, "vec", 5, windows.zero_vector(64), ["user_id", "event_id"], check=False, **options
+        t.gappy, t.doc_vectors_keyed, t.user_split, ["user_id"], EVENTS, "vec", 5, windows.zero_vector(64), ["user_id", "event_id"], **options
     )
 
 
@@ -445,5 +488,5 @@ def _(t: Tables):
 )
 def _(t: Tables):
     chosen = anchors.latest_eligible(t.timeline, EVENTS)
-    found = datasets.anchor_dataset(steps(t, normalise=False), chosen, ["user_id", "event_id"], check=False)
+    found = datasets.anchor_dataset(steps(t, normalise=False), chosen, ["user_id", "event_id"])
     return found.select("user_id", "event_id", "seq_len", "history_len")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.operators import anchors, audits, splits
-from tideline.operators.datasets import FEATURE_COLUMNS
+from tideline.operators.datasets import feature_columns
 from tideline.operators.metrics import LOG_SCHEMA
 from tideline.plans.fixtures import EVENTS, Tables, sql
 from tideline.plans.registry import query
 from tideline.scale import join_one_row_per_key
-from tideline.sources import tables
+from tideline.sources import stored, tables
 
 
 def finding(name: str, bad: str, key: str, source: str, level: str = "FAIL") -> str:
@@ -153,9 +153,12 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    found = anchors.last_before(t.timeline, t.cutoffs, EVENTS, check=False)
+    """Claims come from the raw rows and are stored; the truth is derived from the timeline."""
+    before = t.entries.join(t.cutoffs, "user_id").where("ts < cutoff")
+    last = before.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("last")).select("user_id", "last.*")
     claim = F.when(F.col("user_id") % 50 == 7, F.col("event_id") + 1).otherwise(F.col("event_id"))
-    preds = found.select("user_id", claim.alias("anchor_id"), F.col("ts").alias("anchor_ts"))
+    preds = stored.once(last.select("user_id", claim.alias("anchor_id"), F.col("ts").alias("anchor_ts")))
+    found = anchors.last_before(t.timeline, t.cutoffs, EVENTS, check=False)
     return audits.anchor_audit(preds, found, EVENTS, "forecast")
 
 
@@ -279,8 +282,8 @@ def _(t: Tables):
     sql(
         "anchor_preds",
         both(
-            """SELECT 'submission:rows' AS check_name, CASE WHEN n = 150 THEN 'PASS' ELSE 'FAIL' END AS status, abs(n - 150) AS n_bad, CAST(n AS VARCHAR) AS example
-               FROM (SELECT count(*) AS n FROM damaged)""",
+            """SELECT 'submission:rows' AS check_name, CASE WHEN n = users THEN 'PASS' ELSE 'FAIL' END AS status, abs(n - users) AS n_bad, CAST(n AS VARCHAR) AS example
+               FROM (SELECT count(*) AS n FROM damaged), (SELECT count(DISTINCT user_id) AS users FROM events)""",
             constant("submission:unique"),
             finding("submission:bounds", "dv_pred IS NULL OR NOT isfinite(dv_pred) OR dv_pred < -10 OR dv_pred > 10 OR da_pred < -50 OR da_pred > 50", USER, "damaged"),
         ),
@@ -288,7 +291,8 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return audits.submission_audit(damaged(t), ["user_id"], {"dv_pred": (-10, 10), "da_pred": (-50, 50)}, 150)
+    users = t.raw("events").agg(F.countDistinct("user_id")).scalar()
+    return audits.submission_audit(damaged(t), ["user_id"], {"dv_pred": (-10, 10), "da_pred": (-50, 50)}, users)
 
 
 @query(
@@ -302,7 +306,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    names = [*FEATURE_COLUMNS, "dv_target"]
+    names = [*feature_columns(EVENTS), "dv_target"]
     checked = audits.label_in_features(t.timeline, names, ["dv_target"])
     return audits.report(checked, audits.non_empty(tables.require_columns(t.timeline, ["dv", "da"], "timeline"), "timeline"))
 

@@ -11,7 +11,7 @@ from tideline.operators import audits, metrics, splits
 from tideline.plans.fixtures import EVENTS, SEED, Tables, sql
 from tideline.plans.registry import SQL, query
 from tideline.scale import join_one_row_per_key
-from tideline.sources import sinks, stored
+from tideline.sources import sinks, stored, vectors
 
 
 def fresh(t: Tables, name: str) -> str:
@@ -87,6 +87,15 @@ def _(t: Tables):
     return row_numbers(placed, ["_part", "_row"], "place").drop("_part", "_row")
 
 
+@query("vectors_npz", "SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding][1:8] AS head, len(embedding) AS dim FROM embeddings")
+def _(t: Tables):
+    """Vectors written as NPZ files and read back by ranges of rows."""
+    path = fresh(t, "vectors")
+    vectors.export_npz(t.raw("embeddings"), path, ["vec_id"], "embedding")
+    back = vectors.import_npz(t.spark, path, ["vec_id"], rows=500)
+    return back.select("vec_id", F.slice("vec", 1, 8).cast("array<double>").alias("head"), F.size("vec").cast("long").alias("dim"))
+
+
 DIGEST = """SELECT count(*) AS n, concat_ws('-', CAST(sum(CAST(CAST(('0x' || substr(h, 1, 16)) AS UBIGINT) AS HUGEINT)) AS VARCHAR),
     CAST(sum(CAST(CAST(('0x' || substr(h, 17, 16)) AS UBIGINT) AS HUGEINT)) AS VARCHAR)) AS digest FROM
     (SELECT md5(concat_ws('|', {row})) AS h FROM events)"""

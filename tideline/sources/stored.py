@@ -24,6 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def once(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read from there: for inputs of many jobs."""
+    path = f"{shared_folder(df.sparkSession)}/tideline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_text(columns: list[str]) -> Column:
     """A row as text in which different rows differ: each value with its length, ``-`` for null."""
     parts = []

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.sources import npz
 from tideline.sources.tables import require_columns
 
 
@@ -34,21 +30,25 @@ def save_vectors(df: DataFrame, path: str, key: list[str], vector: str, mode: st
     df.select(*key, F.col(vector).cast("array<float>").alias(vector)).write.mode(mode).parquet(path)
 
 
-def import_npz(spark: SparkSession, path: str, key: list[str], matrix: str = "embeddings", vector: str = "vec") -> DataFrame:
-    """Rows of NPZ files (a matrix and one parallel array per key), one task per file. A
-    way in for existing stores; write the result with :func:`save_vectors`."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = ", ".join([f"{k} bigint" for k in key] + [f"{vector} array<float>"])
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                with np.load(io.BytesIO(content), allow_pickle=False) as store:
-                    rows, keys = store[matrix].astype("float32"), {k: store[k] for k in key}
-                if any(len(v) != len(rows) for v in keys.values()):
-                    raise ValueError(f"{name}: keys and vectors differ in number")
-                for start in range(0, len(rows), 1024):
-                    part = {k: v[start : start + 1024] for k, v in keys.items()}
-                    yield pd.DataFrame({**part, vector: list(rows[start : start + 1024])})
-
-    return files.mapInPandas(unpack, schema)
+def import_npz(
+    spark: SparkSession, path: str, key: list[str], matrix: str = "embeddings", vector: str = "vec", key_type: str = "bigint",
+    rows: int = npz.ROWS,
+) -> DataFrame:
+    """Rows of an NPZ file, or of a folder of them (a matrix and one parallel array per key), ``rows`` of them a task."""
+    spark.dataSource.register(npz.VectorFiles)
+    schema = ", ".join([f"`{k}` {key_type}" for k in key] + [f"`{vector}` array<float>"])
+    return spark.read.format(npz.FORMAT).schema(schema).options(matrix=matrix, rows=rows).load(path)
+
+
+def export_npz(
+    df: DataFrame, path: str, key: list[str], vector: str, matrix: str = "embeddings", overwrite: bool = False,
+    file_bytes: int = npz.FILE_BYTES,
+) -> None:
+    """Write (key..., vector) as a folder of NPZ files of about ``file_bytes`` each, beside those that are there.
+
+    Null keys or vectors and vectors of uneven length raise.
+    """
+    df.sparkSession.dataSource.register(npz.VectorFiles)
+    slim = df.select(*key, F.col(vector).cast("array<float>").alias(vector))
+    writer = slim.write.format(npz.FORMAT).mode("overwrite" if overwrite else "append")
+    writer.options(matrix=matrix, bytes=file_bytes).save(path)
