@@ -372,6 +372,26 @@ def test_main_text_of_a_page():
     html_text.main_text("<div>" * 3000 + "deep")
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><h2 class="section-header">Head</h2><p class="navy">Blue</p></article>', "Head\n\nBlue"),
+        ('<article><div class="shareholder-letter">Dear owners</div><section class="related-work">Others did</section></article>', "Dear owners\n\nOthers did"),
+        ('<article><p>Text</p><div class="related-posts">More</div><div class="share-box">Tell</div><div class="site-nav">Go</div></article>', "Text"),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", "So x=2 holds"),
+        ("<article><p>One</p><iframe src=x><p>Two</p><noscript><p>Three</p></article>", "One\n\nTwo\n\nThree"),
+        ('<div class="widget-content"><h1>Head</h1><p>Text of it</p><div><nav>Menu</nav></div></div>', "Head\n\nText of it"),
+        ('<div class="widget-content"><article><p>Text</p></article><div class="related">x</div></div>', "Text"),
+        ('<p>Plain</p><p><a href="/x">A paragraph that is one long link</a></p><ul><li><a href="/y">Home</a></li></ul>', "Plain\n\nA paragraph that is one long link"),
+        ('<div class="has-sidebar"><p>Text</p><div class="sidebar">Side</div></div>', "Text"),
+        ('<div class="site-header">Top</div><p>H<span class="subscript">2</span>O</p><div class="cookie-notice">Cookies</div>', "H2O"),
+        ('<div class="cookie-notice"><p>Cookies</p></div>', ""),
+    ],
+)
+def test_names_and_open_elements(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_style_tree_removes_what_a_host_repeats(spark):
     rows = [
         (i, f"http://H.example/{i}", f'<article><p>own text number {i} of this page</p><div class="zz">Read our other stories</div></article><div class="q">boiler</div>', "k")
@@ -449,6 +469,22 @@ def test_stages_on_awkward_and_empty_tables(spark, rows, awkward, none):
 ROWS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_columns_of_any_name_survive(spark):
+    names = ["n_tokens", "decoded", "ids", "row", "value", "key", "c0", "_doc_key", "_hit_key", "spans"]
+    rows = [(1, "a text of words", *names), (2, None, *names), (1, "a text of words", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = bpe.digests(docs, RANKS)
+    replaced = {"n_tokens", "ids"}
+    for r in out.collect():
+        assert all(r[c] == c for c in names if c not in replaced) and r["n_tokens"] == (4 if r["doc_id"] == 1 else 0)
+        assert r["decoded_sha256"] == hashlib.sha256(b"a text of words" if r["doc_id"] == 1 else b"").hexdigest()
+    items = spark.createDataFrame([("i", "text of")], "item_id string, text string")
+    left = decontaminate.decontaminate(docs, items)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [rows[1]]
+    with pytest.raises(ValueError, match="must be under"):
+        decontaminate.matches(docs, items, slop=decontaminate.GAP)
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     got = corpus_pipeline.run(spark, SF).toPandas()

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.carry import with_results
 from tideline.llm.common import table
 from tideline.llm.words import slices
 
@@ -186,17 +187,19 @@ def _encode(content, pattern: str):
         ranks, known = _ranks(content.value)
         split = regex.compile(pattern).findall
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "value", 1 << 20):
                 if len(known) > CACHE:
                     known.clear()
-                texts = [split(x) if x else [] for x in part.column("text").to_pylist()]
+                texts = [split(x) if x else [] for x in part.column("value").to_pylist()]
                 new = list(set().union(*texts).difference(known))
                 known.update(zip(new, encode_pieces([x.encode() for x in new], ranks), strict=True))
                 ids = [b"".join(map(known.__getitem__, x)) for x in texts]
-                rest = [part.column(i) for i, c in enumerate(part.schema.names) if c != "text"]
+                for piece in new:
+                    if len(piece) > WIDE:
+                        del known[piece]  # so the cache is bounded in bytes too
                 yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.large_binary())],
-                    names=[c for c in part.schema.names if c != "text"] + ["n_tokens", "ids"],
+                    [part.column("row"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.large_binary())],
+                    names=["row", "n_tokens", "ids"],
                 )
         known.clear()  # an idle worker holds no more than the ranks
 
@@ -207,10 +210,10 @@ def _decode(content):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = rank_tokens(content.value).__getitem__
         for batch in batches:
-            for part in slices(batch, "ids", 1 << 20):
-                ids = part.column("ids").to_pylist()
+            for part in slices(batch, "value", 1 << 20):
+                ids = part.column("value").to_pylist()
                 raw = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.large_binary())], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(raw, pa.large_binary())], names=["row", "decoded"])
 
     return run
 
@@ -224,27 +227,34 @@ def read_ranks(spark: SparkSession, path: str):
 def encode(docs: DataFrame, ranks, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Every column of ``docs`` but text, ``n_tokens``, and ``ids`` as little-endian uint32.
 
-    A null or empty text has no tokens. ``docs`` has a column text and none named n_tokens or
-    ids. Rows are worked on one by one, so repeated rows and ids do not matter.
+    A null or empty text has no tokens. Columns named n_tokens or ids are replaced, others may have
+    any name. Rows are worked on one by one, so repeated rows and ids do not matter.
     """
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(_encode(ranks, pattern), f"{schema}, n_tokens long, ids binary")
+    return with_results(docs, "text", _encode(ranks, pattern), "n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks) -> DataFrame:
-    """Adds ``decoded``: the bytes that ``ids`` stand for; null for null."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(_decode(ranks), f"{schema}, decoded binary")
+    """Adds ``decoded``: the bytes that ``ids`` stand for; null for null. A column of that name is replaced."""
+    return with_results(encoded, "ids", _decode(ranks), "decoded binary", keep=True)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """The encoding of every text and its way back, with hashes of both; text is left out."""
+    """The encoding of every text and its way back, with hashes of both; text is left out.
+
+    Columns named n_tokens, ids, ids_sha256 or decoded_sha256 are replaced; all others stay.
+    """
     ranks = read_ranks(docs.sparkSession, path)
-    both = decode(encode(docs, ranks), ranks)
-    return both.withColumns(
-        {"ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
-    ).drop("decoded")
+    results = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    names = [c for c in docs.columns if c.lower() not in ("text", *results)]
+    row = F.struct(F.lit(True).alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    both = decode(encode(docs.select(row.alias("row"), "text"), ranks), ranks)
+    return both.select(
+        *[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)],
+        "n_tokens",
+        "ids",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -245,7 +245,10 @@ def matches(
     of ``width`` words; an item of fewer words is one window, one without words has none. items
     and near_items hold distinct item ids as text (an item without an id counts in spans only).
     Null texts have no words; an empty benchmark gives empty matches; extra columns are ignored.
+    ``width`` and ``slop`` of ``GAP`` words or more are refused: they would reach into other documents.
     """
+    if max(width, slop) >= GAP:
+        raise ValueError(f"width {width} and slop {slop} must be under {GAP} words")
     queries = benchmark.select("item_id", "text").distinct()
     total = queries.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = int(total // BLOCK_BYTES) + 1
@@ -297,10 +300,13 @@ def _tidy(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without an exact benchmark passage; columns as given."""
-    hit = matches(docs, benchmark).where(F.size("spans") > 0).select(F.col("key").alias("_hit_key")).distinct()
-    keyed = docs.withColumn("_doc_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(hit, F.col("_doc_key") == F.col("_hit_key"), "left_anti").drop("_doc_key")
+    """The rows of ``docs`` without an exact benchmark passage; columns as given, whatever their names.
+
+    Rows with null or empty texts stay; of repeated rows all stay or go.
+    """
+    hit = matches(docs, benchmark).where(F.size("spans") > 0).select("key").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
+    return keyed.join(hit, "key", "left_anti").select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:

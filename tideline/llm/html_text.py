@@ -30,21 +30,31 @@ MIN_PAGES, LOW, LOW_INSIDE, GAMMA, MOST = 6, 0.3, 0.1, 0.9, 0.5
 
 # fixed values: kinds of elements by name
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas audio video annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var".split()
+    "span strike strong sub sup time tt u var math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot msup msub "
+    "msubsup munder mover munderover mfenced mstyle mpadded mtable mtr mtd".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_TAGS = frozenset("nav footer aside form button select option fieldset dialog menu head".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSED_BY_BLOCK = frozenset(["p"])
+#: Parts of class names and ids, whole; a part after has-, with-, no- or without- says something of the page.
 NOISE_NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?\w*|consent|gdpr|notices?|"
-    r"alerts?|nav\w*|menus?|breadcrumbs?|footer\w*|header|masthead|sidebars?|side-?bar|widgets?|related\w*|recommend\w*|"
-    r"shar(?:e|ing)\w*|social\w*|subscri\w*|newsletter\w*|sign-?up|log-?in|search\w*|comments?|comment-?list|disqus\w*|"
-    r"respond|repl(?:y|ies)|popup\w*|modal\w*|overlay|skip\w*|toolbar|pagination|pager|tag-?cloud|hidden|visually-hidden|sr-only)(?:$|[-_\s])",
+    r"(?:^|[-_\s])(?<!has[-_])(?<!with[-_])(?<!no[-_])(?<!without[-_])"
+    r"(?:ads?|adverts?|advertis\w*|adsense|sponsor(?:s|ed|ship)?|promos?|promot(?:ion|ions|ed)|banners?|cookies?(?:bar|notice|banner|consent)?|consent|gdpr|"
+    r"notices?|alerts?|nav|navs|navbar|navigation|navlinks?|navmenu|menus?|breadcrumbs?|footer(?:s|bar|links|nav)?|masthead|sidebars?|side-?bar|widgets?|"
+    r"related(?=$|\s|[-_]?(?:posts?|articles?|links?|stor(?:y|ies)|contents?|items?|reads?|reading|news|topics?|videos?|products?|box|list))|"
+    r"related(?:posts?|articles?|links?|stories)|recommend(?:s|ed|ations?)?|shar(?:e|es|ing)(?:bar|box|buttons?|links?|this)?|social(?:s|bar|links|media)?|"
+    r"subscrib\w*|subscriptions?|newsletter\w*|sign-?up|log-?in|search(?:bar|box|form)?|comments?|comment-?list|disqus\w*|"
+    r"respond|repl(?:y|ies)|popups?|modals?|overlay|skip|skiplinks?|skipnav|toolbar|pagination|pager|tag-?cloud|hidden|visually-hidden|sr-only)(?:$|[-_\s])",
     re.I,
 )
+#: Headers are noise outside an article only, and never as names of headings and paragraphs.
+HEADER_NAMES = re.compile(r"(?:^|[-_\s])(?:header|head-?bar)(?:$|[-_\s])", re.I)
+#: Words from which on a paragraph that is one link counts as prose on a page without an article.
+LINK_WORDS = 6
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:_-]*)([^>]*)>")
@@ -76,13 +86,16 @@ def _is_noise(tag: str, own: dict[str, str], inside: bool) -> bool:
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I):
         return True
     names = f"{own.get('class', '')} {own.get('id', '')}"
+    if not inside and tag != "p" and tag not in HEADINGS and HEADER_NAMES.search(names):
+        return True
     return bool(NOISE_NAMES.search(names)) and not (tag == "article" and not re.search("comment|repl|ad|related", names, re.I))
 
 
-def parse(page: str | None):
-    """``blocks, presentations`` of a page: (text, path of nodes, noise, inside article, link letters) in
-    page order, and (node, sequence of children) for every element."""
-    blocks: list[tuple[str, tuple[int, ...], bool, bool, int]] = []
+def parse(page: str | None, spare: bool = False):
+    """``blocks, presentations`` of a page: (text, path of nodes, noise, inside article, link letters, tag) in
+    page order, and (node, sequence of children) for every element. With ``spare`` the names of ``div`` and
+    ``section`` elements outside an article do not count."""
+    blocks: list[tuple[str, tuple[int, ...], bool, bool, int, str]] = []
     presentations: list[tuple[int, int]] = []
     stack = [_Element("", 0, False, False)]
     buffer: list[str] = []
@@ -95,7 +108,7 @@ def parse(page: str | None):
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
                 top = stack[-1]
-                blocks.append((text, tuple(e.node for e in stack[1:] if not e.inline), top.noise, top.main, links[0]))
+                blocks.append((text, tuple(e.node for e in stack[1:] if not e.inline), top.noise, top.main, links[0], top.tag))
         links[0] = 0
 
     def pop() -> None:
@@ -103,6 +116,12 @@ def parse(page: str | None):
         if not gone.inline:
             presentations.append((gone.node, zlib.crc32(repr(gone.children).encode())))
 
+    def judge(tag: str, own: dict[str, str]) -> bool:
+        top = stack[-1]
+        if spare and not top.main and tag in ("div", "section"):
+            own = {k: v for k, v in own.items() if k not in ("class", "id")}
+        return top.noise or _is_noise(tag, own, top.main)
+
     page = page or ""
     at, n = 0, len(page)
     while at < n:
@@ -144,7 +163,8 @@ def parse(page: str | None):
         if tag in RAW:
             if not rest.endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                # an element that is never closed holds nothing, but for code
+                at = end.end() if end else n if tag in ("script", "style") else at
             continue
         if tag in VOID:
             if tag == "hr":
@@ -154,7 +174,7 @@ def parse(page: str | None):
             continue
         own = _attributes(rest)
         top = stack[-1]
-        noise = top.noise or _is_noise(tag, own, top.main)
+        noise = judge(tag, own)
         if tag in INLINE:
             if tag == "a":
                 links[1] = 1
@@ -169,7 +189,7 @@ def parse(page: str | None):
         if rest.endswith("/") and tag not in ("p", "div", "li"):
             continue
         top = stack[-1]
-        noise = top.noise or _is_noise(tag, own, top.main)
+        noise = judge(tag, own)
         main = top.main or tag in ("article", "main") or own.get("role") == "main" or own.get("itemprop") == "articleBody"
         sign = f"{tag}.{_DIGITS.sub('0', own.get('class', ''))}#{_DIGITS.sub('0', own.get('id', ''))}"
         node = zlib.crc32(sign.encode(), top.node)
@@ -196,7 +216,7 @@ def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 blocks, presentations = parse(page)
                 found = {(_signed(node), 0, _signed(value)) for node, value in presentations}
-                for text, path, noise, _, _ in blocks:
+                for text, path, noise, *_ in blocks:
                     if not noise:
                         value = _signed(zlib.crc32(text.encode()))
                         found.update((_signed(node), 1, value) for node in path)
@@ -252,13 +272,16 @@ def main_text(page: str | None, low: frozenset[int] = frozenset(), lowest: froze
     """
     blocks, _ = parse(page)
     named = [b for b in blocks if not b[2]]
+    if not named and any(b[3] or b[5] in HEADINGS for b in blocks):
+        # a wrapper with the name of something else holds the whole page
+        named = [b for b in parse(page, spare=True)[0] if not b[2]]
     inside = [b for b in named if b[3]]
     if inside:
         kept = [b for b in inside if not any(_signed(x) in lowest for x in b[1])]
         if sum(len(b[0]) for b in kept) < MOST * sum(len(b[0]) for b in inside):
             kept = inside  # pages that share their article say nothing against it
     else:
-        prose = [b for b in named if b[4] < 0.6 * len(b[0])]
+        prose = [b for b in named if b[4] < 0.6 * len(b[0]) or (b[5] == "p" and b[0].count(" ") >= LINK_WORDS - 1)]
         kept = [b for b in prose if not any(_signed(x) in low for x in b[1])] or prose
     return "\n\n".join(b[0] for b in kept)
 
