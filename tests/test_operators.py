@@ -225,6 +225,9 @@ def test_bool_spellings_and_number_tags(spark):
     df = spark.createDataFrame([(" Yes ",), ("0",), (None,), ("T",)], "x string")
     assert [r[0] for r in df.select(ex.lenient_bool(F.col("x"))).collect()] == [True, False, False, True]
     assert ex.number_tag(0.25) == "0p25" and ex.number_tag(1.0) == "1"
+    numbers = [0.25, 1.0, -0.5, 10.0, 0.0, 120.0]
+    tags = spark.createDataFrame([(x,) for x in numbers], "x double").select(ex.number_tags(F.col("x"))).collect()
+    assert [r[0] for r in tags] == [ex.number_tag(x) for x in numbers]
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -407,6 +410,13 @@ def test_value_summary_equals_numpy(spark):
     assert [r["n"] for r in whole.collect()] == [0]
 
 
+def test_describe_of_constants_and_unknowns(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0), (2.0, None, None), (4.0, None, None)], "p double, q double, r double")
+    got = {r["name"]: r for r in aggregates.describe(df, ["p", "q", "r"]).collect()}
+    assert got["p"]["std"] == pytest.approx(np.std([1, 2, 4], ddof=1)) and got["p"]["q25"] == 1.5
+    assert (got["q"]["n"], got["q"]["mean"], got["r"]["n"], got["r"]["std"], got["r"]["q75"]) == (0, None, 1, None, 2.0)
+
+
 def test_value_summary_reads_its_input_once(spark, tmp_path):
     spark.range(100).selectExpr("id % 3 AS g", "id * 1.0 AS x").write.parquet(str(tmp_path / "t"))
     plan = aggregates.value_summary(spark.read.parquet(str(tmp_path / "t")), "x", ["g"])._jdf.queryExecution().executedPlan().toString()

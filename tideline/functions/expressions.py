@@ -57,6 +57,12 @@ def number_tag(value: float) -> str:
     return f"{value:g}".replace("-", "m").replace(".", "p")
 
 
+def number_tags(value: Column) -> Column:
+    """:func:`number_tag` of a column, for numbers of at most six decimals."""
+    plain = F.regexp_replace(value.cast("decimal(24,6)").cast("string"), r"\.?0+$", "")
+    return F.translate(plain, "-.", "mp")
+
+
 # --- aggregates -----------------------------------------------------------------
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.expressions import is_finite
-from tideline.functions.quantiles import exact_quantiles
-from tideline.scale import attach, same_key
+from tideline.scale import attach
 from tideline.timeline import SumBefore, Timeline, Total
 
 # fixed values: quantiles of the value summary and of the short description
@@ -15,15 +16,6 @@ SUMMARY_QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0
 DESCRIBE_QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Left join of two aggregates of the same groups; a null group matches itself."""
-    if not by:
-        return left.join(right, how="left")
-    renamed = right.withColumnsRenamed({k: "_g_" + k for k in by})
-    joined = left.join(renamed, same_key(left, renamed, by, "_g_"), "left")
-    return joined.drop(*["_g_" + k for k in by])
-
-
 def group_counts(df: DataFrame, by: str, distinct: str) -> DataFrame:
     """Rows and distinct keys per group."""
     return df.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(distinct).alias("n_keys"))
@@ -33,17 +25,48 @@ def entity_means(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:
     return df.groupBy(entity).agg(*[F.avg(c).alias(c + "_mean") for c in columns], F.count(F.lit(1)).alias("n_rows"))
 
 
+def _entry(order: str | Column, at: Column) -> Column:
+    name = F.lit(order) if isinstance(order, str) else order
+    return F.struct(name.alias("_order"), at.alias("_at"))
+
+
+def _ranked_counts(df: DataFrame, by: list[str], column: str, orders: Callable[[Column], Column]) -> DataFrame:
+    """Counts ``_n`` of the distinct values of a column in one or more orders (entries ``_order, _at`` per
+    value), with the rows of the group and order below each value, all its rows, and their sum.
+
+    The input is read once; no buffer holds the values of a group."""
+    counts = df.select(*by, F.col(column).cast("double").alias("_x")).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    long = counts.select(*by, "_n", F.inline(orders(F.col("_x"))))
+    n = F.col("_n")
+    running = Timeline(long, [*by, "_order"], ["_at"]).running(_below=SumBefore(n), _total=Total(n), _sum=Total(n * F.col("_at")))
+    return running.result()
+
+
+def _quantile(when: Column, p: float) -> Column:
+    """Aggregate: linearly interpolated quantile of the ranked values of one order."""
+    at, reached = F.col("_at"), F.col("_below") + F.col("_n")
+    rank = F.lit(float(p)) * (F.col("_total") - 1)
+    low = F.min(F.when(when & (reached > F.floor(rank)), at))
+    high = F.min(F.when(when & (reached > F.ceil(rank)), at))
+    return low + (high - low) * F.max(F.when(when, rank - F.floor(rank)))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, mean, sample deviation, extremes and exact quartiles per column."""
+    """Count, mean, sample deviation, extremes and exact quartiles of the non-null values per column, from one scan."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "name", "x")
-    basic = long.groupBy("name").agg(
-        F.count("x").alias("n"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
+    known = lambda x: F.array(_entry(F.when(x.isNotNull(), "value").otherwise("none"), x))
+    ranked = _ranked_counts(long, ["name"], "x", known)
+    is_value, n, at, total = F.col("_order") == "value", F.col("_n"), F.col("_at"), F.col("_total")
+    mean, count = F.col("_sum") / total, F.coalesce(F.sum(F.when(is_value, n)), F.lit(0).cast("long"))
+    spread = F.sum(F.when(is_value, n * (at - mean) * (at - mean)))
+    return ranked.groupBy("name").agg(
+        count.alias("n"),
+        F.max(F.when(is_value, mean)).alias("mean"),
+        F.when(count > 1, F.sqrt(spread / (count - 1))).alias("std"),
+        F.min(F.when(is_value, at)).alias("min"),
+        F.max(F.when(is_value, at)).alias("max"),
+        *[_quantile(is_value, p).alias(name) for name, p in DESCRIBE_QUANTILES.items()],
     )
-    return join_groups(basic, exact_quantiles(long, ["name"], "x", DESCRIBE_QUANTILES), ["name"])
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -81,26 +104,15 @@ def value_summary(
 
     The input is read once, into counts of its distinct values. Values and absolute values
     are two orders of that table, and every number comes from their running counts."""
-    counts = df.select(*by, F.col(column).cast("double").alias("_x")).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    entry = lambda order, at: F.struct(F.lit(order).alias("_order"), at.alias("_at"))
-    x = F.col("_x")
-    orders = F.when(is_finite(x), F.array(entry("value", x), entry("size", F.abs(x)))).otherwise(F.array(entry("none", x)))
-    n, at = F.col("_n"), F.col("_at")
-    long = counts.select(*by, "_n", F.inline(orders))
-    ranked = Timeline(long, [*by, "_order"], ["_at"]).running(_below=SumBefore(n), _total=Total(n), _sum=Total(n * at)).result()
-    total, reached = F.col("_total"), F.col("_below") + n
+    both = lambda x: F.when(is_finite(x), F.array(_entry("value", x), _entry("size", F.abs(x)))).otherwise(F.array(_entry("none", x)))
+    ranked = _ranked_counts(df, by, column, both)
+    n, at, total = F.col("_n"), F.col("_at"), F.col("_total")
     is_value, is_size, is_none = (F.col("_order") == o for o in ("value", "size", "none"))
     unknown = at.isNull() | F.isnan(at)
     number = lambda when: F.coalesce(F.sum(F.when(when, n)), F.lit(0).cast("long"))
     known = F.sum(F.when(is_value, n))
     mean = F.col("_sum") / total
 
-    def quantile(when, p: float):
-        rank = F.lit(float(p)) * (total - 1)
-        low = F.min(F.when(when & (reached > F.floor(rank)), at))
-        high = F.min(F.when(when & (reached > F.ceil(rank)), at))
-        return low + (high - low) * F.max(F.when(when, rank - F.floor(rank)))
-
     aggregates = [
         number(~is_size).alias("n"),
         number(is_none & unknown).alias("nan_count"),
@@ -119,8 +131,8 @@ def value_summary(
         ranked = ranked.withColumns({"_low": low, "_high": high})
         share = lambda outside: F.sum(F.when(is_value & outside.isNotNull(), n * outside.cast("int"))) / known
         aggregates += [share(at < F.col("_low")).alias("frac_below"), share(at > F.col("_high")).alias("frac_above")]
-    aggregates += [quantile(is_value, p).alias(name) for name, p in SUMMARY_QUANTILES.items()]
-    return ranked.groupBy(*by).agg(*aggregates, quantile(is_size, 0.99).alias("abs_p99"))
+    aggregates += [_quantile(is_value, p).alias(name) for name, p in SUMMARY_QUANTILES.items()]
+    return ranked.groupBy(*by).agg(*aggregates, _quantile(is_size, 0.99).alias("abs_p99"))
 
 
 def prediction_summary(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.functions import terms
+from tideline.functions import expressions, terms
 from tideline.functions import text as tx
 from tideline.functions.expressions import (
     digest_number,
@@ -54,6 +54,15 @@ def _(t: Tables):
     return typed.select("o_orderkey", "customer", "o_totalprice", "is_t", "priority")
 
 
+@query(
+    "number_tags",
+    "SELECT l_discount, count(*) AS n, replace(replace(regexp_replace(CAST(CAST(l_discount - 0.05 AS DECIMAL(24, 6)) AS VARCHAR), '\\.?0+$', ''), '-', 'm'), '.', 'p') AS tag FROM lineitem GROUP BY l_discount",
+)
+def _(t: Tables):
+    counted = t.raw("lineitem").groupBy("l_discount").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("tag", expressions.number_tags(F.col("l_discount") - 0.05))
+
+
 @query(
     "vector_store_scan",
     sql("", f"SELECT vec_id, len(embedding) AS dim, {r6('list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))', 'total')} FROM embeddings"),

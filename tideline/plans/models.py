@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import text as tx
 from tideline.operators import (
-    anchors, baselines, comparison, datasets, learn, metrics, moment_ridge, profiles, scoring, splits, text_ridge, windows,
+    aggregates, anchors, baselines, comparison, datasets, learn, metrics, moment_ridge, profiles, scoring, splits, text_ridge, windows,
 )
 from tideline.plans.fixtures import EVENTS, OK, Tables, r6, r6s, sql
 from tideline.plans.history import MOMENTUM
@@ -296,6 +296,43 @@ def _(t: Tables):
     return learn.cross_validate(rows, "fold", 5, {"forest": learn.fit_predict_forest(columns, key=["user_id"])}, HALF_TARGETS)
 
 
+# The numbers of a half profile in SQL, for targets v and a.
+PROFILE_SQL = {
+    "mean": "avg({c})", "last": "arg_max({c}, (ts, event_id))", "std": "stddev_pop({c})",
+    "change": "arg_max({c}, (ts, event_id)) - arg_min({c}, (ts, event_id))",
+    "slope": "CASE WHEN count(*) > 1 THEN regr_slope({c}, entry_index) ELSE 0 END",
+}
+HALF_NUMBERS = f"""SELECT user_id, CAST(('0x' || substr(md5(concat(user_id, ':42')), 1, 8)) AS BIGINT) % 5 AS fold, list_concat(z, [v, a]) AS z FROM
+    (SELECT user_id, CAST([1.0, {", ".join(e.format(c=c) for e in PROFILE_SQL.values() for c in ("v", "a"))}, count(*), max(n_total), max(cut)] AS DOUBLE[]) AS z
+     FROM halves WHERE half = 1 GROUP BY user_id)
+    JOIN (SELECT user_id, avg(v) FILTER (half = 2) - avg(v) FILTER (half = 1) AS v, avg(a) FILTER (half = 2) - avg(a) FILTER (half = 1) AS a FROM halves GROUP BY user_id) USING (user_id)"""
+HALF_ERRORS = [f"{m}_{t}" for t in HALF_TARGETS for m in ("mae", "mse")]
+
+
+@query(
+    "half_change_comparison",
+    recursive(sql(
+        "halves",
+        "SELECT model, " + ", ".join(f"{r6(f'avg({c})', c + '_mean')}, {r6(f'stddev_samp({c})', c + '_std')}" for c in HALF_ERRORS) + " FROM per_fold GROUP BY model",
+        **gram_sql(HALF_NUMBERS, 16),
+        **ridge_sql(16, list(range(2, 15))),
+        per_fold="SELECT model, " + ", ".join(
+            f"avg(abs({c} - {c}_pred)) AS mae_{c}_half_change, avg(({c} - {c}_pred) ** 2) AS mse_{c}_half_change" for c in ("v", "a")
+        ) + """ FROM (SELECT 'mean' AS model, fold, z[15] AS v, z[16] AS a, c[15] AS v_pred, c[16] AS a_pred FROM numbers JOIN centres ON k = fold
+            UNION ALL SELECT 'ridge', fold, quality, toxic, quality_pred, toxic_pred FROM scored) GROUP BY model, fold""",
+    )),
+)
+def _(t: Tables):
+    """Mean and deviation over folds of the errors of the mean and of the ridge on half profiles."""
+    columns = profiles.profile_columns(EVENTS)
+    rows = profiles.half_profile(t.halves, EVENTS).join(profiles.half_change(t.halves, EVENTS), "user_id")
+    rows = rows.withColumn("fold", splits.row_fold([F.col("user_id")], 5)).select("user_id", "fold", *columns, *HALF_TARGETS)
+    numbers = F.array(*[F.col(c).cast("double") for c in columns])
+    models = {"mean": [], "ridge": list(range(len(columns)))}
+    long = moment_ridge.predictions(rows, "fold", moment_ridge.leave_one_out(5), models, numbers, len(columns), HALF_TARGETS)
+    return aggregates.fold_summary(metrics.regression_errors(long, HALF_TARGETS, ["model", "fold"]), ["model"], HALF_ERRORS)
+
+
 @query(
     "forest_report",
     sql(
