@@ -75,6 +75,24 @@ def test_text_ridge_equals_the_closed_form(spark, numeric, size, min_df):
     assert [found[k, "z"]["n_train"] for k in range(3)] == [sum(r[1] != k for r in rows) for k in range(3)]
 
 
+def test_the_solve_takes_few_passes_and_keeps_its_terms_for_later_predictions(spark, monkeypatch):
+    seen = {"passes": 0, "freed": 0}
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i, i % 3, " ".join(rng.choice(words, 30)), float(rng.normal()), float(i % 7) * 100) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, fold int, text string, y double, p double")
+    solve = text_ridge.Solve(df, "fold", 3, ["y"], "text", ["p"], 400, 2, 1.0)
+    product = text_ridge.Solve.product
+    monkeypatch.setattr(text_ridge.Solve, "product", lambda self, v: seen.update(passes=seen["passes"] + 1) or product(self, v))
+    monkeypatch.setattr(type(solve.shared), "unpersist", lambda self, blocking=False: seen.update(freed=seen["freed"] + (self is solve.shared)))
+    solve.solve()
+    solve.close()
+    # all columns are in the preconditioner, which differs from a model's matrix by the rows of its fold alone
+    assert seen["passes"] <= 20
+    assert seen["freed"] == 0
+    assert solve.predictions().where(F.col("y_pred").isNotNull()).count() == len(rows)
+
+
 def test_a_fold_without_rows_to_fit_on_is_an_error(spark):
     df = spark.createDataFrame([(0, "some words", 1.0), (0, "more words", 2.0)], "fold int, text string, y double")
     with pytest.raises(ValueError, match="no rows"):

@@ -5,10 +5,12 @@ A row with fold k is held out from model k; every other row (also one with a fol
 taken from one table of term counts per fold: the whole less the fold.
 
 The models are right-hand sides of one solve by preconditioned conjugate gradients. Rows stay
-sparse lists of (term, count) in the partitions; one pass an iteration multiplies them with all
-directions and adds the products up by blocks of the result, so a task or the driver holds
-vectors as long as the vocabulary, never rows. Columns are centred by their means, so there is
-no intercept to fit and no row becomes dense.
+sparse lists of (term, count) in the partitions, packed into blocks by row and by term; one pass an
+iteration multiplies them with all directions at once and adds the products up by blocks of the
+result, so a task or the driver holds vectors as long as the vocabulary, never rows. Columns are
+centred by their means, so there is no intercept to fit and no row becomes dense. The
+preconditioner is the inverse of the columns that vary most, over all rows, and the diagonal for
+the others; it decides the number of passes, never the result.
 """
 
 from __future__ import annotations
@@ -36,8 +38,11 @@ GRADIENT = 1e-8
 ITERATIONS = 2_000
 #: Entries of a result vector that are added up together.
 BLOCK = 4096
-#: Terms of the rows worked on at a time.
+#: Terms of the rows worked on at a time, and of the rows packed into one block.
 ENTRIES = 1 << 20
+PACKED = 1 << 17
+#: Columns whose products with each other are in the preconditioner.
+CORE = 512
 
 
 @dataclass
@@ -135,24 +140,90 @@ class Block:
         size = len(self.space.terms)
         return np.bincount(self.owner, entries * vector[self.at], self.n) + self.numeric @ vector[size:]
 
-    def times_rows(self, entries: np.ndarray, numbers: np.ndarray, squared: bool = False) -> np.ndarray:
-        """The sum of the rows (or of their squares), each times its number."""
-        entries, numeric = (entries**2, self.numeric**2) if squared else (entries, self.numeric)
-        text = np.bincount(self.at, entries * numbers[self.owner], len(self.space.terms))
-        return np.concatenate([text, numeric.T @ numbers])
 
-
-def _blocks(batches: Iterator[pa.RecordBatch], space: Space) -> Iterator[tuple[pa.RecordBatch, Block]]:
+def _blocks(batches: Iterator[pa.RecordBatch], space: Space, most: int = ENTRIES) -> Iterator[tuple[pa.RecordBatch, Block]]:
     for batch in batches:
-        for part in slices_by_length(batch, list_lengths(batch.column("value").field("at")), ENTRIES):
+        for part in slices_by_length(batch, list_lengths(batch.column("value").field("at")), most):
             yield part, Block(part, space)
 
 
+#: Columns of a packed block and their types: entries by row, the same entries by term, then the rows.
+LAYOUT = {
+    "row_starts": "i4", "with_terms": "i4", "at": "i4", "times": "f8", "term_starts": "i4", "terms": "i4", "owner": "i4", "term_times": "f8",
+    "norms": "f8", "numeric": "f8", "targets": "f8", "fold": "f8",
+}
+
+
+def _pack(shared):
+    """Rows to blocks, each one row of binary columns, so that no pass has to take lists apart again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches, shared.value, PACKED):
+            with_terms, row_starts = np.unique(block.owner, return_index=True)
+            order = np.argsort(block.at, kind="stable")
+            terms, term_starts = np.unique(block.at[order], return_index=True)
+            found = {
+                "row_starts": row_starts, "with_terms": with_terms, "at": block.at, "times": block.times,
+                "term_starts": term_starts, "terms": terms, "owner": block.owner[order], "term_times": block.times[order],
+                "norms": block.norms, "numeric": block.numeric, "targets": block.targets, "fold": block.fold,
+            }
+            columns = [pa.array([np.ascontiguousarray(found[c], t).tobytes()], pa.binary()) for c, t in LAYOUT.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=list(LAYOUT))
+
+    return run
+
+
+class Packed:
+    """A packed block: products of its rows with one column of numbers per (model, target)."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int, space: Space):
+        for name, kind in LAYOUT.items():
+            setattr(self, name, np.frombuffer(batch.column(name)[at].as_buffer(), kind))
+        self.space, self.n = space, len(self.fold)
+        self.norms, self.numeric, self.targets = (x.reshape(self.n, -1) for x in (self.norms, self.numeric, self.targets))
+        self.inverse = np.divide(1.0, self.norms, out=np.zeros_like(self.norms), where=self.norms > 0)
+
+    def times_vectors(self, vectors: np.ndarray, models: list[int]) -> np.ndarray:
+        """Rows times each vector (a row of ``vectors``), taken as rows of the model named for it."""
+        size = len(self.space.terms)
+        out = np.zeros((self.n, len(models)))
+        if len(self.at):
+            weighted = np.ascontiguousarray((self.space.weights[models] * vectors[:, :size]).T)
+            out[self.with_terms] = np.add.reduceat(np.take(weighted, self.at, axis=0) * self.times[:, None], self.row_starts, axis=0)
+        return out * self.inverse[:, models] + self.numeric @ vectors[:, size:].T
+
+    def add_rows(self, numbers: np.ndarray, models: list[int], total: np.ndarray, power: int = 1) -> None:
+        """Adds to ``total`` the sums of the rows (or of their squares), each times its number in a column of ``numbers``."""
+        size = len(self.space.terms)
+        if len(self.at):
+            scaled = numbers * self.inverse[:, models] ** power
+            sums = np.add.reduceat(np.take(scaled, self.owner, axis=0) * (self.term_times**power)[:, None], self.term_starts, axis=0)
+            total[:, self.terms] += sums.T * self.space.weights[np.ix_(models, self.terms)] ** power
+        total[:, size:] += numbers.T @ self.numeric**power
+
+    def columns(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Dense: the columns with these places, the text of unit length under ``weights``; and the numeric columns."""
+        lookup = np.full(len(self.space.terms), -1)
+        lookup[places] = np.arange(len(places))
+        counts = np.diff(np.append(self.row_starts, len(self.at)))
+        owner = np.repeat(self.with_terms, counts)
+        entries = self.times * weights[self.at]
+        norm = np.sqrt(np.bincount(owner, entries**2, self.n)) if len(owner) else np.ones(self.n)
+        out, to = np.zeros((self.n, len(places) + self.numeric.shape[1])), lookup[self.at]
+        use = to >= 0
+        out[owner[use], to[use]] = entries[use] / norm[owner[use]]
+        out[:, len(places) :] = self.numeric
+        return out
+
+
 class Solve:
     """The rows of one problem, persisted while the solve runs."""
 
     def __init__(self, df: DataFrame, fold: str, folds: int, targets: list[str], text: str, numeric: list[str], size: int, min_df: int, alpha: float):
         self.folds, self.targets, self.alpha = folds, targets, alpha
+        parts = [F.count(F.lit(1)).alias("n"), *[F.sum(F.col(t).cast("double")).alias(f"t{i}") for i, t in enumerate(targets)]]
+        per_fold = df.groupBy(F.coalesce(F.col(fold).cast("int"), F.lit(-1)).alias("fold")).agg(*parts)
+        self.per_fold = {r["fold"]: r for r in per_fold.collect()}
         spark = df.sparkSession
         number = lambda names: F.array(*[F.col(c).cast("double") for c in names]) if names else F.array().cast("array<double>")
         packed = df.withColumns({"_targets": number(targets), "_numeric": number(numeric)})
@@ -165,87 +236,113 @@ class Solve:
             "at array<int>, times array<double>, norms array<double>",
         )
         value = F.struct("at", "times", "norms", F.col("_numeric").alias("numeric"), F.col("_targets").alias("targets"), F.col(fold).cast("int").alias("fold"))
-        self.rows = placed.withColumn("_value", value).drop("at", "times", "norms", "_numeric", "_targets").persist()
+        self.rows = placed.withColumn("_value", value).drop("at", "times", "norms", "_numeric", "_targets")
+        packed = self.rows.select(F.col("_value").alias("value")).mapInArrow(_pack(self.shared), ", ".join(f"{c} binary" for c in LAYOUT))
+        # the join before may leave few partitions; every pass should use all cores
+        self.blocks = packed.repartition(spark.sparkContext.defaultParallelism).persist()
 
     def close(self) -> None:
-        self.rows.unpersist()
-        self.shared.unpersist()
+        """Frees the blocks. The space stays, since rows to predict are read later: an executor may
+        hold on to a broadcast whose file has gone."""
+        self.blocks.unpersist()
 
-    def summed(self, partial: Callable[[Block], dict[int, np.ndarray]], count: int) -> np.ndarray:
-        """``count`` vectors, each the sum over all rows of what ``partial`` gives for a block of rows.
+    def summed(self, add: Callable[[Packed, np.ndarray], None], count: int, width: int) -> np.ndarray:
+        """``count`` vectors of ``width`` entries, the sums over all blocks of what ``add`` adds for a block of rows.
 
         Tasks add up their own blocks; the sums are then added by pieces of ``BLOCK`` entries.
         """
-        shared, width = self.shared, self.width
+        shared = self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((count, width))
-            for _, block in _blocks(batches, shared.value):
-                for at, vector in partial(block).items():
-                    total[at] += vector
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    add(Packed(batch, at, shared.value), total)
             pieces = [(r, b, total[r, b : b + BLOCK]) for r in range(count) for b in range(0, width, BLOCK) if total[r, b : b + BLOCK].any()]
             if pieces:
                 r, b, x = zip(*pieces, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["r", "b", "x"])
 
-        sent = self.rows.select(F.col("_value").alias("value")).mapInArrow(run, "r int, b int, x array<double>")
+        sent = self.blocks.mapInArrow(run, "r int, b int, x array<double>")
         added = sent.groupBy("r", "b").agg(Summarizer.sum(array_to_vector("x")).alias("x"))
+        found = added.select("r", "b", vector_to_array("x").alias("x")).toArrow()
         out = np.zeros((count, width))
-        for row in added.select("r", "b", vector_to_array("x").alias("x")).collect():
-            out[row["r"], row["b"] : row["b"] + len(row["x"])] = row["x"]
+        for r, b, x in zip(*(found.column(c) for c in "rbx"), strict=True):
+            out[r.as_py(), b.as_py() : b.as_py() + BLOCK] = x.values.to_numpy(zero_copy_only=False)
         return out
 
     def moments(self) -> None:
         """Per model: rows, means of columns and targets, squares of columns, products with targets."""
         folds, targets = self.folds, len(self.targets)
 
-        def partial(block: Block) -> dict[int, np.ndarray]:
-            out = {}
-            for k in range(folds):
-                use = (block.fold != k).astype(float)
-                x, at = block.entries(k), k * (2 + targets)
-                out[at], out[at + 1] = block.times_rows(x, use), block.times_rows(x, use, squared=True)
-                for t in range(targets):
-                    out[at + 2 + t] = block.times_rows(x, use * block.targets[:, t])
-            return out
-
-        sums = self.summed(partial, folds * (2 + targets)).reshape(folds, 2 + targets, self.width)
-        fold = F.coalesce(F.col("_value.fold"), F.lit(-1))
-        parts = [F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_value.targets")[t]).alias(f"t{t}") for t in range(targets)]]
-        per_fold = {r["fold"]: r for r in self.rows.groupBy(fold.alias("fold")).agg(*parts).collect()}
+        models = [k for k in range(folds) for _ in range(1 + targets)]
+
+        def add(block: Packed, total: np.ndarray) -> None:
+            use = (block.fold[:, None] != np.arange(folds)).astype(float)
+            numbers = np.hstack([np.ones((block.n, 1)), block.targets])
+            block.add_rows((use[:, :, None] * numbers[:, None]).reshape(block.n, -1), models, total[folds:])
+            block.add_rows(use, list(range(folds)), total[:folds], power=2)
+
+        sums = self.summed(add, folds * (2 + targets), self.width)
+        squares, sums = sums[:folds], sums[folds:].reshape(folds, 1 + targets, self.width)
+        per_fold = self.per_fold
         outside = lambda name, k: sum(r[name] for f, r in per_fold.items() if f != k)
         self.n = np.array([outside("n", k) for k in range(folds)], float)
         if (self.n == 0).any():
             raise ValueError("a fold leaves no rows to fit on")
         self.target_means = np.array([[outside(f"t{t}", k) for t in range(targets)] for k in range(folds)]) / self.n[:, None]
         self.means = sums[:, 0] / self.n[:, None]
-        self.diagonal = np.maximum(sums[:, 1] - self.n[:, None] * self.means**2, 0) + self.alpha
-        self.right = sums[:, 2:] - self.n[:, None, None] * self.means[:, None] * self.target_means[:, :, None]
+        self.diagonal = np.maximum(squares - self.n[:, None] * self.means**2, 0) + self.alpha
+        self.right = sums[:, 1:] - self.n[:, None, None] * self.means[:, None] * self.target_means[:, :, None]
 
     def product(self, vectors: np.ndarray) -> np.ndarray:
         """Each model's matrix, centred rows times themselves plus the penalty, times its vectors (models x targets x columns)."""
         folds, targets = self.folds, len(self.targets)
-        sent = self.rows.sparkSession.sparkContext.broadcast(vectors)
-
-        def partial(block: Block) -> dict[int, np.ndarray]:
-            out = {}
-            for k in range(folds):
-                x, use = block.entries(k), block.fold != k
-                for t in range(targets):
-                    vector = sent.value[k, t]
-                    out[k * targets + t] = block.times_rows(x, block.times_vector(x, vector) * use)
-            return out
-
-        found = self.summed(partial, folds * targets).reshape(folds, targets, self.width)
+        sent = self.rows.sparkSession.sparkContext.broadcast(vectors.reshape(folds * targets, self.width))
+
+        models = [k for k in range(folds) for _ in range(targets)]
+
+        def add(block: Packed, total: np.ndarray) -> None:
+            use = block.fold[:, None] != np.array(models)
+            block.add_rows(block.times_vectors(sent.value, models) * use, models, total)
+
+        found = self.summed(add, folds * targets, self.width).reshape(folds, targets, self.width)
         sent.unpersist()
         along = (self.means[:, None] * vectors).sum(2)
         return found - (self.n[:, None] * along)[:, :, None] * self.means[:, None] + self.alpha * vectors
 
+    def prepare(self) -> None:
+        """The preconditioner: which columns are taken together, and the inverse of their products over all rows."""
+        size, weights = len(self.space.terms), self.space.weights.max(0)
+        places = np.sort(np.argsort(-self.diagonal[:, :size].max(0), kind="stable")[:CORE])
+        count = len(places) + self.width - size
+
+        def add(block: Packed, total: np.ndarray) -> None:
+            x = np.hstack([block.columns(places, weights), np.ones((block.n, 1))])
+            total += x.T @ x
+
+        sums = self.summed(add, count + 1, count + 1)
+        products = sums[:count, :count] - np.outer(sums[count, :count], sums[count, :count]) / sums[count, count]
+        scale = 1 / np.sqrt(np.diag(products) + self.alpha)
+        values, vectors = np.linalg.eigh((products + self.alpha * np.eye(count)) * np.outer(scale, scale))
+        # rounding may leave an eigenvalue at or under 0, which a preconditioner must not have
+        values = np.maximum(values, 1e-12 * values[-1])
+        self.core = np.concatenate([places, np.arange(size, self.width)])
+        self.core_inverse = (vectors / values) @ vectors.T * np.outer(scale, scale)
+        numeric = np.ones((self.folds, self.width - size), bool)
+        self.core_known = np.hstack([self.space.weights[:, places] > 0, numeric]).astype(float)[:, None]
+
+    def preconditioned(self, r: np.ndarray) -> np.ndarray:
+        z = r / self.diagonal[:, None]
+        z[:, :, self.core] = (r[:, :, self.core] * self.core_known) @ self.core_inverse * self.core_known
+        return z
+
     def solve(self) -> None:
         """Conjugate gradients, all models side by side; a model that is done takes no further steps."""
         self.moments()
+        self.prepare()
         x, r = np.zeros_like(self.right), self.right.copy()
-        z = r / self.diagonal[:, None]
+        z = self.preconditioned(r)
         p, rz = z.copy(), (r * z).sum(2)
         self.iterations = 0
         while True:
@@ -255,7 +352,7 @@ class Solve:
                 self.gradient = np.sqrt((r * r).sum(2))
                 if (self.gradient <= GRADIENT).all():
                     break
-                z = r / self.diagonal[:, None]
+                z = self.preconditioned(r)
                 p, rz = z.copy(), (r * z).sum(2)
             if self.iterations == ITERATIONS:
                 raise ArithmeticError(f"no convergence in {ITERATIONS} iterations")
@@ -263,7 +360,7 @@ class Solve:
             on = np.sqrt((r * r).sum(2)) > GRADIENT / 2
             step = np.divide(rz, (p * q).sum(2), out=np.zeros_like(rz), where=on)[:, :, None]
             x, r = x + step * p, r - step * q
-            z = r / self.diagonal[:, None]
+            z = self.preconditioned(r)
             new = (r * z).sum(2)
             p = np.where(on[:, :, None], z + np.divide(new, rz, out=np.zeros_like(rz), where=on & (rz > 0))[:, :, None] * p, p)
             rz = np.where(on, new, rz)
