@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline.numbering import in_ranges, range_starts, row_numbers
 
@@ -29,3 +30,14 @@ def test_equal_rows_share_a_range_and_get_all_numbers(spark):
 
 def test_an_empty_table_stays_empty(spark):
     assert row_numbers(spark.createDataFrame([], "a int, b string"), ["a"], "n").count() == 0
+
+
+def test_a_range_takes_few_comparisons(spark):
+    """Ten steps of halving find a row's range among 1,024 cut points, not a walk through them."""
+    df = spark.range(20_000).select(((F.col("id") * 7919) % 20_000).alias("a"))
+    ranged = in_ranges(df, ["a"], 1000)
+    plan = ranged._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "filter(_cuts" not in plan
+    bounds = ranged.groupBy("_range").agg(F.min("a").alias("low"), F.max("a").alias("high")).orderBy("_range").collect()
+    assert len(bounds) > 900
+    assert all(x["high"] < y["low"] for x, y in zip(bounds, bounds[1:]))

@@ -100,3 +100,25 @@ def test_samples_of_bad_keys_do_not_depend_on_partitions(spark):
     none = audits.with_sample("c", bad.where("false"), ["a"]).first()
     assert (none["status"], none["n_bad"], none["sample"]) == ("PASS", 0, None)
     assert audits.with_sample("c", bad.where("a = 3"), ["a", "b"]).select(F.col("sample")).first()[0] == "3,"
+
+
+def test_positions_are_checked_without_numbering_and_keys_take_no_numbers(spark, monkeypatch):
+    rows = [(i % 7, i * 10, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "user int, at int, id long")
+    roles = Roles("user", "at", "id", ("at", "at"), ("dv", "da"), "flag")
+    calls = []
+    real = splits.row_numbers
+    monkeypatch.setattr(splits, "row_numbers", lambda *a: calls.append(1) or real(*a))
+    keys = spark.createDataFrame([(i, "train", "id") for i in range(0, 60, 2)], "key long, part string, id_type string")
+    assert {r["id"] for r in splits.apply_split(df, keys, roles).collect()} == set(range(0, 60, 2))
+    assert not calls
+    both = keys.unionByName(spark.createDataFrame([(0, "val", "row_index"), (59, "val", "row_index")], keys.schema))
+    order = sorted(rows)
+    want = sorted([(i, "train") for i in range(0, 60, 2)] + [(order[0][2], "val"), (order[59][2], "val")])
+    assert sorted((r["id"], r["part"]) for r in splits.apply_split(df, both, roles).collect()) == want
+    assert len(calls) == 1
+    for lost in (60, -1, None):
+        bad = spark.createDataFrame([(lost, "val", "row_index")], keys.schema)
+        with pytest.raises(Exception, match="not there"):
+            splits.apply_split(df, bad, roles)
+    assert splits.apply_split(df, keys.limit(0), roles).count() == 0

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tideline.scale import attach
 
 RANGES = 1024
-_STEP = 32
 
 
 def _cut_points(places: DataFrame, ranges: int) -> DataFrame:
@@ -25,8 +24,7 @@ def _cut_points(places: DataFrame, ranges: int) -> DataFrame:
     drawn = attach(places, "_size", size).where(F.pmod(F.xxhash64("_at"), thin) == 0)
     seats = drawn.groupBy(F.pmod(F.xxhash64("_at", F.lit(3)), F.lit(ranges)).alias("_seat"))
     chosen = seats.agg(F.max_by("_at", F.xxhash64("_at", F.lit(5))).alias("_at"))
-    cuts = chosen.agg(F.array_sort(F.collect_list("_at")).alias("cuts"))
-    return cuts.withColumn("heads", F.filter("cuts", lambda x, i: i % _STEP == 0))
+    return chosen.agg(F.array_sort(F.collect_list("_at")).alias("cuts"))
 
 
 def in_ranges(df: DataFrame, order: list[str], ranges: int = RANGES) -> DataFrame:
@@ -35,12 +33,11 @@ def in_ranges(df: DataFrame, order: list[str], ranges: int = RANGES) -> DataFram
     Ranges follow each other in ``order`` (ascending, null first); there are ``ranges`` + 1 at most.
     """
     at = F.struct(*order)
-    cut = attach(df, "_cuts", _cut_points(df.select(at.alias("_at")), ranges))
-    # every 32nd cut point first, then those between two of them
-    cut = cut.withColumn("_head", F.size(F.filter("_cuts.heads", lambda x: x <= at)))
-    within = F.slice("_cuts.cuts", (F.greatest(F.lit(1), F.col("_head")) - 1) * _STEP + 1, F.lit(_STEP))
-    found = (F.col("_head") - 1) * _STEP + F.size(F.filter(within, lambda x: x <= at))
-    return cut.withColumn("_range", F.when(F.col("_head") == 0, 0).otherwise(found)).drop("_cuts", "_head")
+    cut = attach(df, "_cuts", _cut_points(df.select(at.alias("_at")), ranges)).withColumn("_at", at)
+    # by halving: a step is taken if the cut point it leads to is at or before the row
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(ranges.bit_length()))])
+    taken = lambda found, step: found + F.when(F.get("_cuts.cuts", found + step - 1) <= F.col("_at"), step).otherwise(0)
+    return cut.withColumn("_range", F.aggregate(steps, F.lit(0), taken)).drop("_cuts", "_at")
 
 
 def range_starts(ranged: DataFrame) -> DataFrame:

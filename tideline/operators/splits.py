@@ -5,6 +5,7 @@ depend on partitioning, input order or the table's size."""
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -122,15 +123,26 @@ def apply_split(df: DataFrame, split: DataFrame, roles: Roles, key: str | None =
     key that no row has, or that the split names twice, is an error; ``check=False`` leaves that out.
     """
     key = key or roles.tie
-    numbered = row_numbers(df, [roles.entity, *roles.order], "_position")
-    placed = numbered.withColumn("_kind", F.explode(F.array(F.lit("row_index"), F.lit("key"))))
-    placed = placed.withColumn("_key", F.when(F.col("_kind") == "row_index", F.col("_position")).otherwise(F.col(key).cast("long")))
     named = split.select(F.when(F.col("id_type") == "row_index", "row_index").otherwise("key").alias("_kind"), F.col("key").cast("long").alias("_key"), "part")
+    kinds = {r["_kind"] for r in named.select("_kind").distinct().collect()}
+    positions, keys = named.where(F.col("_kind") == "row_index"), named.where(F.col("_kind") == "key")
+    own = F.col(key).cast("long")
     if check:
         require_unique(named, ["_kind", "_key"], "split")
-        lost = named.join(placed.select("_kind", "_key"), ["_kind", "_key"], "left_anti")
-        refuse(lost, ["_kind", "_key"], "the split names rows that are not there")
-    return placed.join(named, ["_kind", "_key"]).select(*df.columns, "part")
+        lost = "the split names rows that are not there"
+        if "row_index" in kinds:
+            there = F.coalesce(F.col("_key").between(0, df.count() - 1), F.lit(False))
+            refuse(positions.where(~there), ["_kind", "_key"], lost)
+        if "key" in kinds:
+            refuse(keys.join(df.select(own.alias("_key")), "_key", "left_anti"), ["_kind", "_key"], lost)
+    # rows are numbered only if the split has positions
+    placed = []
+    if "row_index" in kinds:
+        numbered = row_numbers(df, [roles.entity, *roles.order], "_position")
+        placed.append(numbered.withColumn("_key", F.col("_position")).join(positions, "_key"))
+    if "key" in kinds or not placed:
+        placed.append(df.withColumn("_key", own).join(keys, "_key"))
+    return reduce(DataFrame.unionByName, [p.select(*df.columns, "part") for p in placed])
 
 
 def load_or_create(spark: SparkSession, path: str, create) -> DataFrame:

@@ -26,7 +26,8 @@ def _parted(t: Tables):
 @query("frozen_split_positions", sql("entries user_split", "SELECT event_id, part FROM entries JOIN user_split USING (user_id)"))
 def _(t: Tables):
     """A split frozen as row positions, written, read and applied to the rows again."""
-    placed = row_numbers(_parted(t), ["user_id", "ts", "event_id"], "place")
+    # numbering reads its rows several times; the split is made once
+    placed = row_numbers(stored.once(_parted(t)), ["user_id", "ts", "event_id"], "place")
     path = fresh(t, "split")
     splits.save_split(placed, path, "place", per_document=500)
     split = splits.load_split(t.spark, path, lines=True)
