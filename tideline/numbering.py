@@ -37,7 +37,8 @@ def in_ranges(df: DataFrame, order: list[str], ranges: int = RANGES) -> DataFram
     # by halving: a step is taken if the cut point it leads to is at or before the row
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(ranges.bit_length()))])
     taken = lambda found, step: found + F.when(F.get("_cuts.cuts", found + step - 1) <= F.col("_at"), step).otherwise(0)
-    return cut.withColumn("_range", F.aggregate(steps, F.lit(0), taken)).drop("_cuts", "_at")
+    # known not to be null, so that a join on it does not work it out once more for a filter
+    return cut.withColumn("_range", F.coalesce(F.aggregate(steps, F.lit(0), taken), F.lit(0))).drop("_cuts", "_at")
 
 
 def range_starts(ranged: DataFrame) -> DataFrame:
