@@ -286,7 +286,7 @@ class Solve:
         sums = self.summed(add, folds * (2 + targets), self.width)
         squares, sums = sums[:folds], sums[folds:].reshape(folds, 1 + targets, self.width)
         per_fold = self.per_fold
-        outside = lambda name, k: sum(r[name] for f, r in per_fold.items() if f != k)
+        outside = lambda name, k: sum(r[name] or 0 for f, r in per_fold.items() if f != k)
         self.n = np.array([outside("n", k) for k in range(folds)], float)
         if (self.n == 0).any():
             raise ValueError("a fold leaves no rows to fit on")
@@ -294,6 +294,8 @@ class Solve:
         self.means = sums[:, 0] / self.n[:, None]
         self.diagonal = np.maximum(squares - self.n[:, None] * self.means**2, 0) + self.alpha
         self.right = sums[:, 1:] - self.n[:, None, None] * self.means[:, None] * self.target_means[:, :, None]
+        if not (np.isfinite(self.right).all() and np.isfinite(self.diagonal).all()):
+            raise ArithmeticError("a target or a numeric column is null or not finite")
 
     def product(self, vectors: np.ndarray) -> np.ndarray:
         """Each model's matrix, centred rows times themselves plus the penalty, times its vectors (models x targets x columns)."""
