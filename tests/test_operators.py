@@ -19,6 +19,7 @@ from tideline.operators import (
     datasets,
     filters,
     joins,
+    forest,
     learn,
     metrics,
     profiles,
@@ -395,6 +396,32 @@ def test_forest_depends_on_rows_alone(spark):
     assert ((got[0]["y_pred"] - got[0]["y"]) ** 2).mean() < got[0]["y"].var() / 2
 
 
+def test_forest_takes_few_jobs_and_splits_large_nodes_alike(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(600, 3)), 1)
+    rows = [(i, *map(float, r), float(r[0] * r[1] + rng.normal() / 5)) for i, r in enumerate(x)]
+    df = learn.assemble(spark.createDataFrame(rows, "k long, p double, q double, r double, y double"), list("pqr"))
+    context = spark.sparkContext
+    got = []
+    for local in (50_000, 60):
+        monkeypatch.setattr(forest, "LOCAL", local)
+        context.setJobGroup(f"forest-{local}", "")
+        models = learn.fit_forest(df, "features", ["y"], trees=5, key=["k"])
+        context.setLocalProperty("spark.jobGroup.id", None)
+        got.append(learn.apply_models(df, models).orderBy("k").toPandas())
+    # a job for every level of the trees took over 30
+    assert len(context.statusTracker().getJobIdsForGroup("forest-50000")) < 15
+    assert len(models["y"].top) > 1 and (got[0]["y_pred"] == got[1]["y_pred"]).all()
+    assert ((got[0]["y_pred"] - got[0]["y"]) ** 2).mean() < got[0]["y"].var() / 4
+
+
+def test_forest_grows_to_single_rows():
+    y = np.array([3.0, 1.0, 2.0, 2.0])
+    feature, cut, left, value = forest.grow(np.array([[0, 1], [1, 0], [2, 0], [2, 1]]), y, np.array([1.0, 2.0, 1.0, 1.0]), 30)
+    assert value[0] == 1.8 and sorted(value[feature < 0]) == [1.0, 2.0, 3.0]
+    assert (feature[left[feature >= 0]] >= -1).all() and forest.thresholds(np.array([1.0, 3.0, 3.0])) == [2.0]
+
+
 def test_value_summary_equals_numpy(spark):
     rng = np.random.default_rng(6)
     x = np.round(rng.normal(size=500), 1) * 10

@@ -1,4 +1,4 @@
-"""Ridge and forest baselines with Spark ML, and their cross-validation."""
+"""Ridge (Spark ML) and forest baselines, and their cross-validation."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import forest
 from tideline.operators.baselines import fit_mean, predict_mean
 from tideline.operators.metrics import regression_errors
 
@@ -43,24 +44,15 @@ def fit_ridge(train: DataFrame, features: str, targets: list[str], alpha: float
     return models
 
 
-def in_fixed_places(rows: DataFrame, key: list[str], parts: int) -> DataFrame:
-    """The rows in ``parts`` partitions by a hash of their key, in the order of their keys.
-
-    Spark ML draws bootstrap samples from the number of a partition and the place in it; after
-    this, both depend on the rows alone. Keys must not repeat.
-    """
-    return rows.repartition(parts, *key).sortWithinPartitions(*key)
-
-
 def fit_forest(
     train: DataFrame, features: str, targets: list[str], trees: int = TREES, seed: int = 42,
-    key: list[str] | None = None, max_rows: int | None = None, parts: int = 16, grid: float = 2.0**-12,
+    key: list[str] | None = None, max_rows: int | None = None, grid: float = 2.0**-12,
 ) -> dict:
-    """One random forest per target, as deep as Spark ML allows, on all rows.
+    """One random forest per target, at most 30 levels deep, on all rows.
 
-    With a ``key`` (unique) the forest depends on the rows, ``seed`` and ``parts`` alone, however the
-    table is partitioned: rows take fixed places, and targets are put on a ``grid``, so that sums
-    of targets and of their squares are exact in any order (up to 2 ** 53 grid steps squared).
+    With a ``key`` (unique) the forest depends on the rows and ``seed`` alone, however the table is
+    partitioned: bags are drawn by a hash of the key, and targets are put on a ``grid``, so that
+    sums of targets are exact in any order (up to 2 ** 53 grid steps).
     With ``max_rows`` it is fitted on that many rows at most: those with the smallest hash of
     ``key``.
     """
@@ -71,14 +63,9 @@ def fit_forest(
         train = train.orderBy(place, *key).limit(max_rows)
     if key:
         exact = {t: F.round(F.col(t) / grid) * grid for t in targets}
-        train = in_fixed_places(train.select(*key, features, *targets).withColumns(exact), key, parts)
-    return {
-        t: RandomForestRegressor(
-            featuresCol=features, labelCol=t, predictionCol=t + "_pred", numTrees=trees, maxDepth=30, seed=seed,
-            featureSubsetStrategy="all",
-        ).fit(train)
-        for t in targets
-    }
+        train = train.select(*key, features, *targets).withColumns(exact)
+    hashed = F.xxhash64(*(key or [F.monotonically_increasing_id()]), F.lit(seed))
+    return {t: forest.fit(train, features, t, t + "_pred", trees, hashed) for t in targets}
 
 
 def apply_models(df: DataFrame, models: dict) -> DataFrame:
