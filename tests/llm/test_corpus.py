@@ -176,6 +176,19 @@ def test_union_sketches_keep_links_of_sets_of_unequal_size(spark):
     assert neardup._scored(spark.createDataFrame(pairs, "x binary, y binary"), own, 80).count() == len(pairs)
 
 
+def test_classes_that_share_too_little_leave_before_the_lists(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):  # common words in all texts, most words of their own
+        own = [f"own{i}x{k}" for k in range(50)]
+        rows.append(" ".join([f"common{k}" for k in rng.permutation(20)[:12]] + own))
+    base = [f"base{k}" for k in range(75)]
+    rows += [" ".join(base), " ".join(base[:60]), " ".join(base + [f"more{k}" for k in range(18)])]  # links at 0.8 and just above
+    rows += ["a b c d", "a b c d e"]
+    found = neardup.sketches(frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(rows)]), 1).withColumnRenamed("n_shingles", "n")
+    assert sorted(r["doc_id"] for r in neardup._linkable(found, 80).collect()) == [60, 61, 62, 63, 64]
+
+
 def test_near_duplicates_with_many_values_of_their_own(spark):
     base = [f"base{k}" for k in range(80)]
     group = [" ".join(base)] + [" ".join(base[:k] + [f"other{k}"] + base[k + 1 :]) for k in range(30)]

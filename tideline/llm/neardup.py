@@ -4,6 +4,9 @@ A document's set is its distinct shingles of ``width`` words (all words as one s
 has fewer, nothing if it has none). Documents with equal sets form a class; the rest works on
 classes. A sketch holds the ``SKETCH`` smallest hashes of a set, as longs of the same order.
 
+0. A class whose sketch shares too few values with sketches of sets of a fitting size, for any
+   union sketch with one of them to pass step 2, is linked with nothing and leaves. What leaves
+   can take others with it, so this is done ``ROUNDS`` times; no pair that passes step 2 is lost.
 1. Inverted lists of the ``KEYS`` smallest values give pairs. A list of at most ``SHORT``
    classes gives its pairs; those that meet in two lists are candidates. In longer lists each
    class is paired with ``HUBS`` hubs. Rare values do not excuse a class from its long lists:
@@ -33,6 +36,8 @@ from tideline.llm.words import LOWER, NOT_SPACE, chain, hashed_words, mix, slice
 SKETCH, KEYS, SHORT, HUBS, LISTS, BLOCK = 48, 24, 16, 4, 12, 1024
 #: Bytes of full sets in a block.
 BYTES = 16 << 20
+#: Rounds of leaving out classes that share too little; steps of size in the ratio of two linked sets.
+ROUNDS, STEPS = 2, 4
 #: Shared values of a union sketch below which a pair at the threshold falls with a chance
 #: of about 1e-8 (binomial tail for 48 draws at 0.8), as standard deviations.
 SLACK = 5.5
@@ -402,6 +407,32 @@ def _grouped_links(pairs: DataFrame, named: DataFrame, docs: DataFrame, classes:
     return durable(full.groupBy("value", "band", "i", "j").applyInArrow(_block_links(percent), "x binary, y binary").distinct())
 
 
+def _linkable(classes: DataFrame, percent: int) -> DataFrame:
+    """The classes that share enough values for a union sketch to allow a link.
+
+    Values that count in a union sketch are in both sketches, and a union sketch has as many values
+    as either sketch at least. So a class of a pair that passes ``_needed`` shares ``_needed`` of its own
+    sketch's size, with a set of a fitting size, and both classes of the pair stay in every round.
+    """
+    t = percent / 100
+    band = F.floor(F.log(F.col("n").cast("double")) * F.lit(STEPS / np.log(1 / t))).cast("int").alias("band")
+    # classes travel as longs; two that share one would only stay once too often
+    rows = classes.select(F.xxhash64("class").alias("name"), band, F.size("sketch").alias("of"), F.explode("sketch").alias("value"))
+    enough = F.col("hits") >= t * F.col("of") - SLACK * F.sqrt(t * (1 - t) * F.col("of"))
+    # sizes within the ratio are STEPS bands apart at most; one more, as they may round
+    meet = lambda x, y: (F.abs(x["band"] - y["band"]) <= STEPS + 1) & ((x["band"] != y["band"]) | (x["count"] > 1))
+    for _ in range(ROUNDS):
+        cells = rows.groupBy("value", "band").count()
+        # as many as there are bands, at most
+        lists = cells.groupBy("value").agg(F.collect_list(F.struct("band", "count")).alias("cells")).where("size(cells) > 1 or cells[0].count > 1")
+        met = F.filter("cells", lambda x: F.exists("cells", lambda y: meet(x, y)))
+        shared = lists.select("value", F.explode(met).alias("x")).select("value", "x.band")
+        rows = durable(rows.join(shared, ["value", "band"], "left_semi"))
+        kept = rows.groupBy("name", "of").agg(F.count("*").alias("hits")).where(enough).select("name").distinct()
+        rows = rows.join(kept, "name", "left_semi")
+    return classes.join(kept, F.xxhash64("class") == F.col("name"), "left_semi")
+
+
 def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
     """``class, root`` of the classes that have a link: the component as its smallest class."""
     classes = durable(
@@ -412,6 +443,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         # document cannot be named by a link
         .where((F.col("n") * (100 - percent) * 1.0 / percent >= 1) & F.col("first").isNotNull())
     )
+    classes = durable(_linkable(classes, percent))
     keys = classes.select("class", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
     lengths = keys.groupBy("value").agg(F.count("*").alias("len"))
     entries = durable(keys.join(lengths.where("len > 1"), "value"))
