@@ -203,6 +203,62 @@ def test_near_duplicates_with_many_values_of_their_own(spark):
     assert set(got.values()) == {0}
 
 
+def passage_rows():
+    """Near copies in twos, and a group of copies at about the threshold, all with a common passage."""
+    rng = random.Random(11)
+    passage = [f"passage{k}" for k in range(24)]
+    rows = []
+    for i in range(60):
+        own = [f"own{i}x{k}" for k in range(36)]
+        rows += [" ".join(passage + own), " ".join(passage + own[:-1] + [f"last{i}"])]
+    base = [f"base{k}" for k in range(36)]
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(36), rng.randint(1, 6)):
+            w[k] = f"edit{i}x{k}"
+        rows.append(" ".join(passage + w))
+    return [(k, t, "en", "s", 1) for k, t in enumerate(rows)]
+
+
+def test_a_common_passage_makes_no_long_lists(spark):
+    rows = passage_rows()[:120]
+    found = neardup.sketches(frame(spark, rows), 2).withColumnRenamed("n_shingles", "n")
+    held = neardup._prefixes(found, 80).groupBy("value").count().collect()
+    assert held and max(r["count"] for r in held) == 2  # the two near copies, though the passage is in all
+
+
+def test_near_duplicates_around_a_common_passage_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = passage_rows()
+    want, _ = components_of(rows, 2)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows), 2).collect()} == want
+
+
+def test_sketches_reach_of_unequal_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.choice(1 << 30, n, replace=False)).astype(np.int32) for n in (40, 48, 60, 200)]
+    sets += [np.sort(np.concatenate([x[: len(x) - len(x) // 10], x[-1:] + 1])) for x in sets]
+    low = [x[: neardup.SKETCH] for x in sets]
+    allowed = neardup._sketches_allow(low, np.arange(8), 80)
+    assert allowed[np.arange(4), np.arange(4, 8)].all() and (allowed == allowed.T).all()
+    assert not allowed[:4, :4][~np.eye(4, dtype=bool)].any()
+
+
+def test_only_rows_of_the_wanted_ids_and_few_others_are_sifted_out(spark):
+    docs = spark.range(20000).selectExpr("if(id = 7, null, id) AS doc_id", "cast(id as string) AS text")
+    wanted = docs.where("doc_id % 100 = 0 OR doc_id IS NULL").select("doc_id")
+    got = {r["doc_id"]: r["_in"] for r in neardup._sifted(docs, wanted).collect()}
+    assert len(got) == 20000 and all(got[r["doc_id"]] for r in wanted.collect())
+    assert sum(got.values()) < 300
+
+
+def test_dropped_copies_go_with_all_rows_of_their_id(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, "en", "s", 1), (2, text, "en", "s", 1), (2, text, "en", "s", 2), (3, "", "en", "s", 1), (None, "", "en", "s", 1), (4, "a b c", "en", "s", 1), (4, text, "en", "s", 1)]
+    got = neardup.drop_near_duplicates(frame(spark, rows), 2).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, text), (3, ""), (0, ""), (4, "a b c"), (4, text)])
+
+
 def test_near_duplicates_of_awkward_rows(awkward):
     got = neardup.near_duplicates(awkward, 2).collect()
     assert len(got) == len(ROWS)

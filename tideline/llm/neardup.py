@@ -7,17 +7,19 @@ classes. A sketch holds the ``SKETCH`` smallest hashes of a set, as longs of the
 0. A class whose sketch shares too few values with sketches of sets of a fitting size, for any
    union sketch with one of them to pass step 2, is linked with nothing and leaves. What leaves
    can take others with it, so this is done ``ROUNDS`` times; no pair that passes step 2 is lost.
-1. Inverted lists of the ``KEYS`` smallest values give pairs. A list of at most ``SHORT``
-   classes gives its pairs; those that meet in two lists are candidates. In longer lists each
-   class is paired with ``HUBS`` hubs. Rare values do not excuse a class from its long lists:
-   they may all be its own.
+1. A class's shared values are put in one order for all classes, rarest first. Two classes that
+   share ``c`` of them meet in a value that is followed by ``c - 1`` of either at least, so only
+   values with enough after them are listed: common passages are at the end and give no lists.
+   A list of at most ``SHORT`` classes gives its pairs. In longer lists each class is paired with
+   ``HUBS`` hubs.
 2. The union sketch of a pair estimates its similarity; clear misses are left out.
 3. The exact Jaccard of the full sets decides. First every class is verified against its best
    two partners only, which joins most of a large group; then all candidates left between
-   different components are verified. Within the long lists, all sets of different components
-   meet in blocks of at most about ``BLOCK`` by ``BLOCK`` (a class takes the lists of its
-   ``LISTS`` smallest values), from which only links come out. So no link between components
-   is left out, and a large group never becomes all of its pairs.
+   different components are verified. Within the long lists, classes outside the list's largest
+   component meet all others by their sketches, in blocks of at most about ``SPAN * BLOCK``, and
+   what these join meets by full sets in blocks of about ``BLOCK``, from which only links come
+   out. So no link between components is left out, and a large group never becomes all of its
+   pairs.
 """
 
 from __future__ import annotations
@@ -33,9 +35,13 @@ from pyspark.sql import functions as F
 from tideline.llm.common import components, durable, table
 from tideline.llm.words import LOWER, NOT_SPACE, chain, hashed_words, mix, slices
 
-SKETCH, KEYS, SHORT, HUBS, LISTS, BLOCK = 48, 24, 16, 4, 12, 1024
+SKETCH, SHORT, HUBS, SPAN, BLOCK = 48, 16, 4, 4, 1024
+#: The smaller half of a sketch, which may be all a set's own.
+KEYS = SKETCH // 2
 #: Bytes of full sets in a block.
 BYTES = 16 << 20
+#: Places of the bitmap that sifts rows by their ids (2 MB).
+SIEVE = 1 << 24
 #: Rounds of leaving out classes that share too little; steps of size in the ratio of two linked sets.
 ROUNDS, STEPS = 2, 4
 #: Shared values of a union sketch below which a pair at the threshold falls with a chance
@@ -142,10 +148,25 @@ def _scored(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("hit") >= t * F.col("of") - slack).select("x", "y", (F.col("hit") / F.col("of")).alias("est"))
 
 
+def _sifted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``_in``: true if the doc_id is one of ``ids``, and for few others.
+
+    A bitmap of bounded size goes to every task, so texts need not be shuffled to be told apart.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE))
+    bit = place.bitwiseAND(F.lit(63)).cast("int")
+    slot = F.shiftright(place, 6)
+    places = ids.select(slot.alias("_slot"), bit.alias("bit"))
+    sieve = places.groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_bits"))
+    rows = docs.withColumn("_slot", slot).join(F.broadcast(sieve), "_slot", "left")
+    return rows.withColumn("_in", F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))).select(*docs.columns, "_in")
+
+
 def _sets(needed: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """``class, full`` of the needed classes, from the text of one document of each."""
-    ids = needed.join(classes.select("class", F.col("first").alias("doc_id")), "class").select("doc_id").distinct()
-    full = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "class binary, full binary")
+    ids = durable(needed.join(classes.select("class", F.col("first").alias("doc_id")), "class").select("doc_id").distinct())
+    texts = _sifted(docs.select("doc_id", "text"), ids).where("_in").drop("_in")
+    full = texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(width), "class binary, full binary")
     return durable(full.where("class is not null").groupBy("class").agg(F.first("full").alias("full")))
 
 
@@ -164,8 +185,8 @@ def _way(node: str, partner: str):
     return F.struct(F.col(node).alias("node"), F.col(partner).alias("partner"))
 
 
-def _shared(values: list[np.ndarray]) -> np.ndarray:
-    """How many values every two sets have in common."""
+def _shared(values: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many values the sets of ``rows`` have in common with every set."""
     n = np.array([len(x) for x in values])
     _, inverse, count = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(values)), n)
@@ -174,92 +195,41 @@ def _shared(values: list[np.ndarray]) -> np.ndarray:
     row = row[common]
     order = np.argsort(number, kind="stable")
     number, row = number[order], row[order]
-    both = np.zeros((len(values), len(values)), np.float32)
+    both = np.zeros((len(rows), len(values)), np.float32)
     most = int(number[-1]) + 1 if len(number) else 0
     width = min(most, max(1, (1 << 22) // len(values)))
     for start in range(0, most, width or 1):
         lo, hi = np.searchsorted(number, [start, start + width])
         held = np.zeros((len(values), width), np.float32)
         held[row[lo:hi], number[lo:hi] - start] = 1
-        both += held @ held.T
+        both += held[rows] @ held.T
     return both
 
 
+def _outside(part: np.ndarray) -> np.ndarray:
+    """The rows outside the largest component: one of two rows of different components is one of these."""
+    return np.flatnonzero(part != np.bincount(part).argmax())
+
+
 def _parts(roots: pa.Array) -> np.ndarray:
     """Components as numbers."""
     return roots.combine_chunks().dictionary_encode().indices.to_numpy()
 
 
-def _needed(of: np.ndarray, percent: int) -> np.ndarray:
-    """Shared values that a union sketch of ``of`` values needs."""
-    t = percent / 100
-    return t * of - SLACK * np.sqrt(t * (1 - t) * of)
-
-
-def _union_sketches_allow(low: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the union sketch of each two rows of ``low`` (sketches, padded with the largest value) allows the similarity."""
-    end = np.iinfo(np.int64).max
-    out = np.zeros(len(left), bool)
-    for a in range(0, len(left), 1 << 14):
-        values = np.sort(np.hstack([low[left[a : a + (1 << 14)]], low[right[a : a + (1 << 14)]]]), axis=1)
-        repeated = np.zeros(values.shape, bool)
-        repeated[:, 1:] = (values[:, 1:] == values[:, :-1]) & (values[:, 1:] < end)
-        new = ~repeated & (values < end)
-        seat = np.cumsum(new, axis=1)
-        of = np.minimum(seat[:, -1], SKETCH)
-        hit = (repeated & (seat <= SKETCH)).sum(1)
-        out[a : a + (1 << 14)] = hit >= _needed(of, percent)
-    return out
-
-
-def _padded(sketches: pa.Array) -> np.ndarray:
-    out = np.full((len(sketches), SKETCH), np.iinfo(np.int64).max)
-    for row, x in enumerate(sketches.to_pylist()):
-        out[row, : len(x)] = x
-    return out
-
+def _sketches_allow(low: list[np.ndarray], rows: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches of ``rows`` and of every row, as far as both reach, allow the similarity.
 
-def _short_pairs(percent: int):
-    """Pairs of different components that meet in a short list and whose sizes and union sketch allow a link.
-
-    Rows come sorted by list; lists are worked on many at a time, and no list is cut.
+    Of the values up to the end of the shorter reach it is known of each whether both sets hold it;
+    they are as many as the union sketch has at least, and draws from the union like these.
     """
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        value, n = rows.column("value").to_numpy(), rows.column("n").to_numpy()
-        part = _parts(rows.column("root"))
-        starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        size = np.diff(np.concatenate([starts, [len(value)]]))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for step in range(1, int(size.max())):
-            # every row with the one `step` after it in the same list
-            own = np.flatnonzero(value[:-step] == value[step:])
-            left.append(own)
-            right.append(own + step)
-        i, j = np.concatenate(left), np.concatenate(right)
-        on = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        i, j = i[on], j[on]
-        low = _padded(rows.column("sketch").combine_chunks())
-        on = _union_sketches_allow(low, i, j, percent)
-        names = rows.column("class").combine_chunks()
-        return pa.RecordBatch.from_arrays([names.take(pa.array(i[on])), names.take(pa.array(j[on]))], names=["p", "q"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) < 4 * BLOCK:
-                continue
-            rows = pa.Table.from_batches(held)
-            value = rows.column("value").to_numpy()
-            end = len(value) - int((value[::-1] == value[-1]).argmin()) if (value != value[-1]).any() else 0
-            if end:
-                yield pairs(rows.slice(0, end))
-            held = rows.slice(end).to_batches()
-        if held and sum(x.num_rows for x in held):
-            yield pairs(pa.Table.from_batches(held))
-
-    return run
+    t = percent / 100
+    both = _shared(low, rows)
+    # a sketch that is not full is the whole set
+    reach = np.array([x[-1] if len(x) == SKETCH else np.iinfo(x.dtype).max for x in low])
+    of = np.stack([np.searchsorted(low[i], reach, "right") for i in rows]).astype(np.float32)
+    of += np.stack([np.searchsorted(x, reach[rows], "right") for x in low], axis=1)
+    of -= both
+    return both >= t * of - SLACK * np.sqrt(t * (1 - t) * of)
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,22 +252,20 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_survivors(percent: int):
-    """Pairs that join the classes of a block as the union sketches of different components allow."""
+    """Pairs that join the classes of a block as the sketches of different components allow."""
 
     def run(block: pa.Table) -> pa.Table:
         part = _parts(block.column("root"))
         n = block.column("n").to_numpy()
-        low = [np.array(x, np.int64) for x in block.column("sketch").to_pylist()]
-        held = np.array([len(x) for x in low])
-        # the union sketch has as many values as the longer of two, at least
-        allowed = _shared(low) >= _needed(np.maximum(held[:, None], held[None, :]), percent)
-        allowed &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-        allowed &= part[:, None] < part[None, :]
-        i, j = np.nonzero(allowed)
-        padded = _padded(block.column("sketch").combine_chunks())
-        on = _union_sketches_allow(padded, i, j, percent)
-        near = np.zeros(allowed.shape, bool)
-        near[i[on], j[on]] = near[j[on], i[on]] = True
+        low = [np.array(x, np.int32) for x in block.column("sketch").to_pylist()]
+        rows = _outside(part)
+        near = np.zeros((len(part), len(part)), bool)
+        if len(rows):
+            allowed = _sketches_allow(low, rows, percent)
+            allowed &= 100 * np.minimum(n[rows, None], n) >= percent * np.maximum(n[rows, None], n)
+            allowed &= part[rows, None] != part
+            near[rows] = allowed
+            near |= near.T
         i, j = _forest(near)
         names = block.column("class").combine_chunks()
         return pa.table({"p": names.take(pa.array(i)), "q": names.take(pa.array(j))})
@@ -313,8 +281,9 @@ def _block_links(percent: int):
         part = _parts(block.column("root"))
         sets = [np.frombuffer(x, np.uint64) for x in block.column("full").to_pylist()]
         n = np.array([len(x) for x in sets])
-        both = _shared(sets)
-        linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (part[:, None] < part[None, :])
+        rows = _outside(part)
+        both = _shared(sets, rows)
+        linked = (100 * both >= percent * (n[rows, None] + n - both)) & (part[rows, None] != part)
         names = list(range(int(part.max()) + 1))
 
         def find(x: int) -> int:
@@ -324,7 +293,11 @@ def _block_links(percent: int):
             return x
 
         xs, ys = [], []
-        for i, j in np.argwhere(linked).tolist():
+        i, j = np.nonzero(linked)
+        i = rows[i]
+        # one link of every two components is enough
+        _, one = np.unique(part[i] * len(names) + part[j], return_index=True)
+        for i, j in zip(i[one].tolist(), j[one].tolist(), strict=True):
             p, q = find(int(part[i])), find(int(part[j]))
             if p != q:
                 names[p] = q
@@ -335,20 +308,20 @@ def _block_links(percent: int):
     return run
 
 
-def _blocks(rows: DataFrame, percent: int) -> DataFrame:
+def _blocks(rows: DataFrame, percent: int, most: int, size: int) -> DataFrame:
     """``class, root, n`` of lists (``value, length``) in the blocks ``value, band, i, j`` in which every two classes of a list may meet.
 
-    A list (``value``) over ``BLOCK`` classes is cut by size: linked sets have sizes within
+    A list (``value``) over ``most`` classes is cut by size: linked sets have sizes within
     ``percent`` of each other, so they are of the same band or of neighbouring ones, and a band's
-    list holds both. What is longer still, or has over ``BYTES`` of sets, is cut into blocks, and
-    every two blocks meet in a task.
+    list holds both. What is longer still, or has over ``BYTES`` at ``size`` bytes a value of a set,
+    is cut into blocks, and every two blocks meet in a task.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent))).cast("int")
     # sizes at the edge of the ratio may round into the band after the next: three bands share a list
-    bands = F.when(F.col("length") <= BLOCK, F.array(F.lit(-1))).otherwise(F.array(band, band + 1, band + 2))
+    bands = F.when(F.col("length") <= most, F.array(F.lit(-1))).otherwise(F.array(band, band + 1, band + 2))
     banded = rows.select("class", "root", "n", "value", F.explode(bands).alias("band"))
     sizes = banded.groupBy("value", "band").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BYTES)).cast("int").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.count("*") / most), F.ceil(F.sum("n") * size / BYTES)).cast("int").alias("blocks"),
         F.min("root").alias("lo"), F.max("root").alias("hi"),
     )
     sizes = sizes.where("lo <> hi").select("value", "band", "blocks")
@@ -365,31 +338,16 @@ def _lengths(rows: DataFrame) -> DataFrame:
 
 
 def _across(tagged: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``x, y`` of different components within the long lists that join all whose union sketch allows a link.
-
-    Of the long lists that hold several components each class takes those of its ``LISTS`` smallest
-    values, two values at a time: lists of two values are far shorter unless they hold a group. Classes
-    with less than two shared values here have met in a short list. Lists of two values with at most
-    ``SHORT`` classes give their pairs; in the others sketches meet in blocks.
-    """
-    mixed = tagged.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rows = tagged.join(mixed.where("lo <> hi").select("value"), "value")
-    own = F.slice(F.array_sort(F.collect_list("value")), 1, LISTS)  # at most KEYS values are collected
-    rows = rows.groupBy("class", "root").agg(own.alias("own"), F.first("n").cast("int").alias("n"))
-    later = lambda x, i: F.transform(F.slice("own", i + 2, LISTS), lambda y: F.xxhash64(x, y))
+    """Pairs ``x, y`` of different components within the long lists that join all whose sketches allow a link."""
     # classes travel as longs here; two classes that share one would only be compared once too often
     short_name = lambda c: F.xxhash64(c).alias(c)
-    rows = durable(rows.select(short_name("class"), short_name("root"), "n", F.explode(F.flatten(F.transform("own", later))).alias("value")))
-    lists = rows.join(_lengths(rows), "value")
+    rows = tagged.select(short_name("class"), short_name("root"), F.col("n").cast("int").alias("n"), "value")
+    lists = durable(rows.join(_lengths(rows), "value"))
     # 31 bits of a value, in the same order, are enough to estimate from
     low = classes.select(short_name("class"), F.transform("sketch", lambda x: F.shiftright(x, 33).cast("int")).alias("sketch"))
-    lists = durable(lists)
-    few = lists.where(F.col("length") <= SHORT).join(low, "class")
-    few = few.select("value", "class", "root", "n", "sketch").repartition("value").sortWithinPartitions("value")
-    short = few.mapInArrow(_short_pairs(percent), "p long, q long")
-    placed = _blocks(lists.where(F.col("length") > SHORT), percent).join(low, "class")
-    long = placed.groupBy("value", "band", "i", "j").applyInArrow(_block_survivors(percent), "p long, q long")
-    pairs = durable(short.union(long).select(*_pair("p", "q")).distinct())
+    placed = _blocks(lists, percent, SPAN * BLOCK, 0).join(low, "class")
+    met = placed.groupBy("value", "band", "i", "j").applyInArrow(_block_survivors(percent), "p long, q long")
+    pairs = durable(met.select(*_pair("p", "q")).distinct())
     named = lambda s: classes.select(F.xxhash64("class").alias(s), F.col("class").alias(f"c{s}"))
     return pairs.join(named("x"), "x").join(named("y"), "y").select(*_pair("cx", "cy"))
 
@@ -402,35 +360,54 @@ def _grouped_links(pairs: DataFrame, named: DataFrame, docs: DataFrame, classes:
     lists = components(pairs, "x", "y").toDF("class", "value")
     rows = lists.join(named, "class", "left").withColumn("root", F.coalesce("root", "class"))
     rows = durable(rows.join(classes.select("class", "n"), "class"))
-    placed = durable(_blocks(rows.join(_lengths(rows), "value"), percent))
+    placed = durable(_blocks(rows.join(_lengths(rows), "value"), percent, BLOCK, 8))
     full = placed.join(_sets(placed.select("class").distinct(), docs, classes, width), "class")
     return durable(full.groupBy("value", "band", "i", "j").applyInArrow(_block_links(percent), "x binary, y binary").distinct())
 
 
-def _linkable(classes: DataFrame, percent: int) -> DataFrame:
-    """The classes that share enough values for a union sketch to allow a link.
+def _needed(of, percent: int):
+    """Values that two classes share at least if they are linked, from the size of either's sketch.
 
     Values that count in a union sketch are in both sketches, and a union sketch has as many values
-    as either sketch at least. So a class of a pair that passes ``_needed`` shares ``_needed`` of its own
-    sketch's size, with a set of a fitting size, and both classes of the pair stay in every round.
+    as either sketch at least. A sketch that is not full is the whole set; then a partner's set has
+    ``1 / t`` as many values at most, and its sketch leaves out what exceeds ``SKETCH``.
     """
     t = percent / 100
-    band = F.floor(F.log(F.col("n").cast("double")) * F.lit(STEPS / np.log(1 / t))).cast("int").alias("band")
-    # classes travel as longs; two that share one would only stay once too often
-    rows = classes.select(F.xxhash64("class").alias("name"), band, F.size("sketch").alias("of"), F.explode("sketch").alias("value"))
-    enough = F.col("hits") >= t * F.col("of") - SLACK * F.sqrt(t * (1 - t) * F.col("of"))
+    whole = F.least(t * of, SKETCH - (1 / t - 1) * of)
+    least = F.when(of < SKETCH, whole).otherwise(t * of - SLACK * F.sqrt(t * (1 - t) * of))
+    return F.greatest(F.lit(1), F.ceil(least - 1e-6)).cast("int")
+
+
+def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
+    """``name, value``: the values in which a class, as a long, meets every class whose union sketch with it allows a link.
+
+    A class's shared values are those that a class of a fitting size holds too. Classes that share less
+    than is ``_needed`` leave, and both classes of a pair to be found stay in every round. All order their
+    values by the same number and the value itself, so the first value that such a pair has in common
+    has ``_needed`` less one of either's behind it.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) * F.lit(STEPS / np.log(100 / percent))).cast("int").alias("band")
+    # two classes that share a name would only stay once too often
+    held = classes.select(F.xxhash64("class").alias("name"), band, F.size("sketch").alias("of"), F.col("sketch").alias("own"))
     # sizes within the ratio are STEPS bands apart at most; one more, as they may round
-    meet = lambda x, y: (F.abs(x["band"] - y["band"]) <= STEPS + 1) & ((x["band"] != y["band"]) | (x["count"] > 1))
+    meet = lambda y: (F.abs(y["band"] - F.col("band")) <= STEPS + 1) & ((y["band"] != F.col("band")) | (y["count"] > 1))
     for _ in range(ROUNDS):
+        rows = held.select("name", "band", "of", F.explode("own").alias("value"))
         cells = rows.groupBy("value", "band").count()
         # as many as there are bands, at most
         lists = cells.groupBy("value").agg(F.collect_list(F.struct("band", "count")).alias("cells")).where("size(cells) > 1 or cells[0].count > 1")
-        met = F.filter("cells", lambda x: F.exists("cells", lambda y: meet(x, y)))
-        shared = lists.select("value", F.explode(met).alias("x")).select("value", "x.band")
-        rows = durable(rows.join(shared, ["value", "band"], "left_semi"))
-        kept = rows.groupBy("name", "of").agg(F.count("*").alias("hits")).where(enough).select("name").distinct()
-        rows = rows.join(kept, "name", "left_semi")
-    return classes.join(kept, F.xxhash64("class") == F.col("name"), "left_semi")
+        lists = lists.withColumn("classes", F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + x["count"]))
+        shared = rows.join(lists, "value").where(F.exists("cells", meet))
+        kept = shared.groupBy("name", "band", "of").agg(F.sort_array(F.collect_list(F.struct("classes", "value"))).alias("own"))
+        kept = kept.where(F.size("own") >= _needed(F.col("of"), percent))
+        held = durable(kept.withColumn("own", F.col("own.value")))
+    listed = held.select("name", F.explode(F.slice("own", F.lit(1), F.size("own") - _needed(F.col("of"), percent) + 1)).alias("value"))
+    return listed.join(listed.groupBy("value").count().where("count > 1").select("value"), "value", "left_semi").select("name", "value")
+
+
+def _linkable(classes: DataFrame, percent: int) -> DataFrame:
+    """The classes that share enough values for a union sketch to allow a link."""
+    return classes.join(_prefixes(classes, percent), F.xxhash64("class") == F.col("name"), "left_semi")
 
 
 def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int) -> DataFrame:
@@ -443,8 +420,9 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         # document cannot be named by a link
         .where((F.col("n") * (100 - percent) * 1.0 / percent >= 1) & F.col("first").isNotNull())
     )
-    classes = durable(_linkable(classes, percent))
-    keys = classes.select("class", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
+    listed = durable(_prefixes(classes, percent))
+    classes = durable(classes.join(listed, F.xxhash64("class") == F.col("name"), "left_semi"))
+    keys = listed.join(classes.select(F.xxhash64("class").alias("name"), "class", "n"), "name").select("class", "n", "value")
     lengths = keys.groupBy("value").agg(F.count("*").alias("len"))
     entries = durable(keys.join(lengths.where("len > 1"), "value"))
     short = entries.where(F.col("len") <= SHORT)
@@ -453,10 +431,8 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         .join(short.select("value", F.col("class").alias("q"), F.col("n").alias("nq")), "value")
         .where("p < q")
         .where(100 * F.least("np", "nq") >= percent * F.greatest("np", "nq"))
-        .groupBy(F.col("p").alias("x"), F.col("q").alias("y"))
-        .agg(F.count("*").alias("lists"))
-        .where("lists > 1")
-        .select("x", "y", F.lit(3).alias("who"))
+        .select(F.col("p").alias("x"), F.col("q").alias("y"), F.lit(3).alias("who"))
+        .distinct()
     )
     long = durable(entries.where(F.col("len") > SHORT))
     hubs = None
@@ -468,9 +444,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame, width: int, percent: int)
         .where("class <> hub")
         .select(*_pair("class", "hub"), F.when(F.col("class") < F.col("hub"), 1).otherwise(2).alias("who"))
         .groupBy("x", "y")
-        .agg(F.count("*").alias("lists"), F.bit_or("who").alias("who"))
-        .where("lists > 1")  # members of a group meet its hub in most lists
-        .select("x", "y", "who")
+        .agg(F.bit_or("who").alias("who"))
     )
     chosen = near.union(starred).groupBy("x", "y").agg(F.bit_or("who").alias("who"))
     scored = durable(_scored(chosen, classes, percent).join(chosen, ["x", "y"]))
@@ -536,8 +510,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
 
     Rows that repeat a document (same doc_id) all stay or go; wordless rows stay.
     """
-    verdict = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_keep"]), "left_semi")
+    verdict = near_duplicates(docs, width, percent).groupBy(F.col("doc_id").alias("doc_id")).agg(F.max("kept").alias("kept"))
+    gone = durable(verdict.where("not kept").select("doc_id"))
+    sifted = _sifted(docs, gone)
+    out = gone.withColumnRenamed("doc_id", "_gone")
+    doubtful = sifted.where("_in").drop("_in")
+    stay = doubtful.join(out, doubtful["doc_id"].eqNullSafe(out["_gone"]), "left_anti")
+    return sifted.where("not _in").drop("_in").union(stay)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
