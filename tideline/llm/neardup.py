@@ -40,6 +40,8 @@ SKETCH, SHORT, HUBS, SPAN, BLOCK = 48, 16, 4, 4, 1024
 KEYS = SKETCH // 2
 #: Bytes of full sets in a block.
 BYTES = 16 << 20
+#: Bytes of texts whose sets are made at a time.
+SLICE = 1 << 19
 #: Places of the bitmap that sifts rows by their ids (2 MB).
 SIEVE = 1 << 24
 #: Rounds of leaving out classes that share too little; steps of size in the ratio of two linked sets.
@@ -81,7 +83,7 @@ def _digest(x: np.ndarray) -> bytes | None:
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), width)
                 low = [ordered(np.sort(x)[:k]) for x in sets]  # hashes are mixed already
                 yield pa.RecordBatch.from_arrays(
@@ -100,7 +102,7 @@ def _sketches(width: int, k: int):
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", SLICE):
                 sets = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays(
                     [
