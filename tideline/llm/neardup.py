@@ -95,6 +95,7 @@ def _sketches(width: int, k: int):
                     ],
                     names=["doc_id", "n_shingles", "class", "sketch"],
                 )
+        pa.default_memory_pool().release_unused()  # the worker stays beside the joins that follow
 
     return run
 
@@ -111,6 +112,7 @@ def _full_sets(width: int):
                     ],
                     names=["class", "full"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 
