@@ -93,6 +93,33 @@ def test_the_solve_takes_few_passes_and_keeps_its_terms_for_later_predictions(sp
     assert solve.predictions().where(F.col("y_pred").isNotNull()).count() == len(rows)
 
 
+def test_many_alike_columns_take_few_passes(spark, monkeypatch):
+    passes = []
+    product = text_ridge.Solve.product
+    monkeypatch.setattr(text_ridge.Solve, "product", lambda self, v: passes.append(1) or product(self, v))
+    rng = np.random.default_rng(11)
+    phrases = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(80)]
+    rows = [(i, i % 3, " ".join(phrases[p] for p in rng.integers(0, 80, 4)), float(rng.normal())) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, fold int, text string, y double")
+    scored, models = text_ridge.cross_fitted(df, "fold", 3, ["y"])
+    assert models.agg(F.max("gradient")).first()[0] <= text_ridge.GRADIENT
+    assert len(passes) <= 25
+
+
+def test_vocabularies_are_whole_however_few_terms_are_counted_per_fold(spark, monkeypatch):
+    rows = texts(60, 3)
+    df = spark.createDataFrame(rows, "id int, fold int, text string, p double, q double, y double, z double").repartition(3)
+    want, sizes = expected(rows, 3, False, 40, 2)
+    found, every = [], text_ridge.term_space
+    monkeypatch.setattr(text_ridge, "term_space", lambda *given: found.append(1) or every(*given))
+    for candidates in (1, 100):
+        monkeypatch.setattr(text_ridge, "CANDIDATES", candidates)
+        scored, models = text_ridge.cross_fitted(df, "fold", 3, ["y", "z"], size=40, min_df=2)
+        assert all(abs(r["y_pred"] - want[r["id"]][0]) < 1e-6 for r in scored.collect())
+        assert [r["n_terms"] for r in models.where("target = 'y'").orderBy("fold").collect()] == sizes
+    assert len(found) == 1  # terms beyond the 40 most frequent could be in a vocabulary, those beyond 4,000 not
+
+
 def test_a_fold_without_rows_to_fit_on_is_an_error(spark):
     df = spark.createDataFrame([(0, "some words", 1.0), (0, "more words", 2.0)], "fold int, text string, y double")
     with pytest.raises(ValueError, match="no rows"):

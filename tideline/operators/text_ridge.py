@@ -2,15 +2,16 @@
 
 A row with fold k is held out from model k; every other row (also one with a fold outside 0 to
 ``folds`` - 1) is in its training rows. Each model has a vocabulary and document frequencies of its own,
-taken from one table of term counts per fold: the whole less the fold.
+the whole less the fold. Folds are counted for the terms that are frequent over all rows; a bound
+shows that no other term is in a vocabulary, else every term is counted per fold.
 
 The models are right-hand sides of one solve by preconditioned conjugate gradients. Rows stay
 sparse lists of (term, count) in the partitions, packed into blocks by row and by term; one pass an
 iteration multiplies them with all directions at once and adds the products up by blocks of the
 result, so a task or the driver holds vectors as long as the vocabulary, never rows. Columns are
 centred by their means, so there is no intercept to fit and no row becomes dense. The
-preconditioner is the inverse of the columns that vary most, over all rows, and the diagonal for
-the others; it decides the number of passes, never the result.
+preconditioner is the inverse in the directions in which all rows vary most, found from their
+product with random directions (Nystrom's method); it decides the number of passes, never the result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.carry import with_results
@@ -41,8 +42,12 @@ BLOCK = 4096
 #: Terms of the rows worked on at a time, and of the rows packed into one block.
 ENTRIES = 1 << 20
 PACKED = 1 << 17
-#: Columns whose products with each other are in the preconditioner.
-CORE = 512
+#: Directions in the preconditioner, and how many of them a pass multiplies.
+SKETCH, TOGETHER = 512, 128
+#: Rows made dense at a time, in the terms that they have.
+DENSE = 64
+#: Terms that are counted per fold, times the size of a vocabulary.
+CANDIDATES = 4
 
 
 @dataclass
@@ -57,15 +62,40 @@ class Space:
         return (self.weights > 0).sum(1)
 
 
-def term_space(counted: DataFrame, fold: str, folds: int, size: int = VOCABULARY, min_df: int = 1) -> Space:
+def frequent_terms(counted: DataFrame, most: int, min_df: int = 1) -> tuple[pa.Array, int]:
+    """The ``most`` most frequent terms of all rows that ``min_df`` of them have, in term order, and how often
+    any other such term occurs at most. One shuffle by term."""
+    long = counted.select(F.explode(F.arrays_zip("terms", "times")).alias("x")).select("x.terms", "x.times")
+    totals = long.groupBy("terms").agg(F.sum("times").alias("tf"), F.count(F.lit(1)).alias("df"))
+    top = totals.where(F.col("df") >= max(min_df, 1)).select("terms", "tf").orderBy(F.desc("tf"), "terms").limit(most + 1).toArrow()
+    rest = top.column("tf")[most].as_py() if top.num_rows > most else 0
+    return pa.array(sorted(top.column("terms").slice(0, most).to_pylist()), pa.string()), rest
+
+
+def vocabularies(terms: pa.Array, tf: np.ndarray, df: np.ndarray, n: np.ndarray, rest: int, size: int, min_df: int) -> Space | None:
+    """The space of all models by the counts of ``terms`` (folds and one more for other rows, x terms); None if
+    a term that occurs ``rest`` times in all rows could be in a vocabulary as well."""
+    folds, found = len(n) - 1, []
+    for k in range(folds):
+        times, rows = tf.sum(0) - tf[k], df.sum(0) - df[k]
+        known = np.flatnonzero(rows >= max(min_df, 1))
+        own = known[np.argsort(-times[known], kind="stable")[:size]]  # terms are in order
+        if rest and size and (len(own) < size or times[own[-1]] <= rest):
+            return None
+        weights = np.zeros(len(terms))
+        weights[own] = np.log((1 + n.sum() - n[k]) / (1 + rows[own])) + 1
+        found.append(weights)
+    weights = np.array(found).reshape(folds, len(terms))
+    used = np.flatnonzero(weights.any(0))
+    return Space(terms.take(pa.array(used)), weights[:, used])
+
+
+def term_space(counted: DataFrame, fold: str, folds: int, n: np.ndarray, size: int = VOCABULARY, min_df: int = 1) -> Space:
     """Each model's ``size`` most frequent terms of its training rows (ties in term order) that ``min_df``
-    of them have, with ``ln((1 + n) / (1 + df)) + 1`` as weights.
+    of them have, with ``ln((1 + n) / (1 + df)) + 1`` as weights; ``n`` has the rows of each fold and of no fold.
 
     One shuffle by term; the vocabularies come to the driver, the counts do not.
     """
-    n = counted.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()
-    rows = {r[fold]: r["n"] for r in n if r[fold] in range(folds)}
-    total = sum(r["n"] for r in n)
     long = counted.select(F.col(fold).alias("fold"), F.explode(F.arrays_zip("terms", "times")).alias("x")).select(
         "fold", "x.terms", "x.times"
     )
@@ -79,7 +109,7 @@ def term_space(counted: DataFrame, fold: str, folds: int, size: int = VOCABULARY
         for k in range(folds):
             outside = totals.select("terms", (F.col("tf") - F.col(f"tf_{k}")).alias("tf"), (F.col("df") - F.col(f"df_{k}")).alias("df"))
             outside = outside.where(F.col("df") >= max(min_df, 1)).orderBy(F.desc("tf"), "terms").limit(size)
-            weight = idf(F.col("df"), F.lit(float(total - rows.get(k, 0))))
+            weight = idf(F.col("df"), F.lit(float(n.sum() - n[k])))
             found.append({r["terms"]: r["w"] for r in outside.select("terms", weight.alias("w")).collect()})
     finally:
         totals.unpersist()
@@ -110,13 +140,19 @@ def _index(shared):
                     part.column("row"),
                     pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())),
                     pa.ListArray.from_arrays(ends, pa.array(times, pa.float64())),
-                    pa.array(list(np.array(norms).T), pa.list_(pa.float64())),
+                    pa.array(list(np.reshape(norms, (-1, n)).T), pa.list_(pa.float64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "at", "times", "norms"])
 
     return run
 
 
+def _placed(counted: DataFrame, shared) -> DataFrame:
+    """``counted`` with ``at, times, norms`` for its terms and times."""
+    lists = counted.withColumn("_value", F.struct("terms", "times")).drop("terms", "times")
+    return with_results(lists, "_value", _index(shared), "at array<int>, times array<double>, norms array<double>")
+
+
 class Block:
     """Rows of a batch in numpy: terms, counts, numeric columns, targets, folds."""
 
@@ -147,39 +183,96 @@ def _blocks(batches: Iterator[pa.RecordBatch], space: Space, most: int = ENTRIES
             yield part, Block(part, space)
 
 
-#: Columns of a packed block and their types: entries by row, the same entries by term, then the rows.
-LAYOUT = {
-    "row_starts": "i4", "with_terms": "i4", "at": "i4", "times": "f8", "term_starts": "i4", "terms": "i4", "owner": "i4", "term_times": "f8",
-    "norms": "f8", "numeric": "f8", "targets": "f8", "fold": "f8",
-}
+#: Columns of a packed block and their types: rows with terms, entries by row, then the rows. Every pass moves
+#: all blocks to Python, so they are small.
+LAYOUT = {"with_terms": "i4", "lengths": "i4", "at": "i4", "times": "i4", "norms": "f8", "numeric": "f8", "targets": "f8", "fold": "f8"}
+#: Columns of a draft: entries by row with places in the candidates, then the rows.
+DRAFT = {"lengths": "i4", "at": "i4", "times": "i4", "numeric": "f8", "targets": "f8", "fold": "f8"}
 
 
-def _pack(shared):
+def _bytes(found: dict, layout: dict) -> pa.RecordBatch:
+    columns = [pa.array([np.ascontiguousarray(found[c], t).tobytes()], pa.binary()) for c, t in layout.items()]
+    return pa.RecordBatch.from_arrays(columns, names=list(layout))
+
+
+def _numbers(batch: pa.RecordBatch, at: int, layout: dict) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(batch.column(c)[at].as_buffer(), t) for c, t in layout.items()}
+
+
+def _draft(shared):
     """Rows to blocks, each one row of binary columns, so that no pass has to take lists apart again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, shared.value, PACKED):
-            with_terms, row_starts = np.unique(block.owner, return_index=True)
-            order = np.argsort(block.at, kind="stable")
-            terms, term_starts = np.unique(block.at[order], return_index=True)
-            found = {
-                "row_starts": row_starts, "with_terms": with_terms, "at": block.at, "times": block.times,
-                "term_starts": term_starts, "terms": terms, "owner": block.owner[order], "term_times": block.times[order],
-                "norms": block.norms, "numeric": block.numeric, "targets": block.targets, "fold": block.fold,
-            }
-            columns = [pa.array([np.ascontiguousarray(found[c], t).tobytes()], pa.binary()) for c, t in LAYOUT.items()]
-            yield pa.RecordBatch.from_arrays(columns, names=list(LAYOUT))
+            found = {c: getattr(block, c) for c in DRAFT if c != "lengths"}
+            yield _bytes(found | {"lengths": np.bincount(block.owner, minlength=block.n)}, DRAFT)
+
+    return run
+
+
+def _tally(folds: int, size: int):
+    """How often the terms occur in rows of each fold (the last: of none), and in how many of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tf, df = np.zeros((folds + 1, size)), np.zeros((folds + 1, size))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _numbers(batch, i, DRAFT)
+                own = np.where((x["fold"] >= 0) & (x["fold"] < folds), x["fold"], folds).astype(int).repeat(x["lengths"])
+                place = own * size + x["at"]
+                tf += np.bincount(place, x["times"], (folds + 1) * size).reshape(tf.shape)
+                df += np.bincount(place, minlength=(folds + 1) * size).reshape(df.shape)
+        yield from _pieces(np.vstack([tf, df]))
+
+    return run
+
+
+def _pack(shared):
+    """Drafts to blocks: terms of the space alone, and the length of each row's weighted counts per model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, places = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = _numbers(batch, i, DRAFT)
+                n, at = len(x["lengths"]), places[x["at"]]
+                known = at >= 0
+                owner, at, times = np.repeat(np.arange(n), x["lengths"])[known], at[known], x["times"][known]
+                with_terms, lengths = np.unique(owner, return_counts=True)
+                norms = np.array([np.sqrt(np.bincount(owner, (times * w[at]) ** 2, n)) for w in space.weights]).T
+                found = {c: x[c] for c in ("numeric", "targets", "fold")}
+                yield _bytes(found | {"with_terms": with_terms, "lengths": lengths, "at": at, "times": times, "norms": norms}, LAYOUT)
 
     return run
 
 
+def _pieces(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a matrix by pieces of ``BLOCK`` entries, without those that are all 0."""
+    found = [(r, b, x) for r, row in enumerate(total) for b in range(0, len(row), BLOCK) if (x := row[b : b + BLOCK]).any()]
+    if found:
+        r, b, x = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["r", "b", "x"])
+
+
+def _added(frame: DataFrame, run: Callable, count: int, width: int) -> np.ndarray:
+    """The sum of the matrices (``count`` x ``width``) whose pieces the tasks of ``run`` return."""
+    added = frame.mapInArrow(run, "r int, b int, x array<double>").groupBy("r", "b").agg(Summarizer.sum(array_to_vector("x")).alias("x"))
+    found = added.select("r", "b", vector_to_array("x").alias("x")).toArrow()
+    out = np.zeros((count, width))
+    for r, b, x in zip(*(found.column(c) for c in "rbx"), strict=True):
+        out[r.as_py(), b.as_py() : b.as_py() + BLOCK] = x.values.to_numpy(zero_copy_only=False)
+    return out
+
+
 class Packed:
     """A packed block: products of its rows with one column of numbers per (model, target)."""
 
     def __init__(self, batch: pa.RecordBatch, at: int, space: Space):
-        for name, kind in LAYOUT.items():
-            setattr(self, name, np.frombuffer(batch.column(name)[at].as_buffer(), kind))
+        for name, numbers in _numbers(batch, at, LAYOUT).items():
+            setattr(self, name, numbers)
         self.space, self.n = space, len(self.fold)
+        self.at, self.times = self.at.astype(np.intp), self.times.astype(float)
+        self.starts, self.owner = np.cumsum(self.lengths) - self.lengths, np.repeat(self.with_terms, self.lengths).astype(np.intp)
         self.norms, self.numeric, self.targets = (x.reshape(self.n, -1) for x in (self.norms, self.numeric, self.targets))
         self.inverse = np.divide(1.0, self.norms, out=np.zeros_like(self.norms), where=self.norms > 0)
 
@@ -188,32 +281,41 @@ class Packed:
         size = len(self.space.terms)
         out = np.zeros((self.n, len(models)))
         if len(self.at):
-            weighted = np.ascontiguousarray((self.space.weights[models] * vectors[:, :size]).T)
-            out[self.with_terms] = np.add.reduceat(np.take(weighted, self.at, axis=0) * self.times[:, None], self.row_starts, axis=0)
+            for i, k in enumerate(models):
+                entries = np.take(self.space.weights[k] * vectors[i, :size], self.at)
+                entries *= self.times
+                out[self.with_terms, i] = np.add.reduceat(entries, self.starts)
         return out * self.inverse[:, models] + self.numeric @ vectors[:, size:].T
 
     def add_rows(self, numbers: np.ndarray, models: list[int], total: np.ndarray, power: int = 1) -> None:
         """Adds to ``total`` the sums of the rows (or of their squares), each times its number in a column of ``numbers``."""
         size = len(self.space.terms)
         if len(self.at):
-            scaled = numbers * self.inverse[:, models] ** power
-            sums = np.add.reduceat(np.take(scaled, self.owner, axis=0) * (self.term_times**power)[:, None], self.term_starts, axis=0)
-            total[:, self.terms] += sums.T * self.space.weights[np.ix_(models, self.terms)] ** power
+            times = self.times**power
+            for i, k in enumerate(models):
+                entries = np.take(numbers[:, i] * self.inverse[:, k] ** power, self.owner)
+                entries *= times
+                total[i, :size] += np.bincount(self.at, entries, size) * self.space.weights[k] ** power
         total[:, size:] += numbers.T @ self.numeric**power
 
-    def columns(self, places: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Dense: the columns with these places, the text of unit length under ``weights``; and the numeric columns."""
-        lookup = np.full(len(self.space.terms), -1)
-        lookup[places] = np.arange(len(places))
-        counts = np.diff(np.append(self.row_starts, len(self.at)))
-        owner = np.repeat(self.with_terms, counts)
-        entries = self.times * weights[self.at]
-        norm = np.sqrt(np.bincount(owner, entries**2, self.n)) if len(owner) else np.ones(self.n)
-        out, to = np.zeros((self.n, len(places) + self.numeric.shape[1])), lookup[self.at]
-        use = to >= 0
-        out[owner[use], to[use]] = entries[use] / norm[owner[use]]
-        out[:, len(places) :] = self.numeric
-        return out
+    def add_products(self, vectors: np.ndarray, model: int, total: np.ndarray) -> None:
+        """Adds to ``total`` (columns x vectors) the rows, as those of one model, times their products with many
+        vectors (columns x vectors). A few rows at a time are made dense in the terms that they have."""
+        size, weights = len(self.space.terms), self.space.weights[model]
+        entries = self.times * weights[self.at] * self.inverse[self.owner, model]
+        has, place = np.zeros(size, bool), np.zeros(size, int)
+        for start in range(0, self.n, DENSE):
+            low, high = np.searchsorted(self.owner, [start, start + DENSE])
+            at, numeric = self.at[low:high], self.numeric[start : start + DENSE]
+            has[:] = False
+            has[at] = True
+            terms = np.flatnonzero(has)
+            place[terms] = np.arange(len(terms))
+            x = np.zeros((len(numeric), len(terms)))
+            x[self.owner[low:high] - start, place[at]] = entries[low:high]
+            products = x @ vectors[terms] + numeric @ vectors[size:]
+            total[terms] += x.T @ products
+            total[size:] += numeric.T @ products
 
 
 class Solve:
@@ -227,49 +329,59 @@ class Solve:
         spark = df.sparkSession
         number = lambda names: F.array(*[F.col(c).cast("double") for c in names]) if names else F.array().cast("array<double>")
         packed = df.withColumns({"_targets": number(targets), "_numeric": number(numeric)})
-        counted = with_term_counts(packed, text, keep=True)
-        self.space = term_space(counted, fold, folds, size, min_df)
-        self.width = len(self.space.terms) + len(numeric)
-        self.shared = spark.sparkContext.broadcast(self.space)
-        placed = with_results(
-            counted.withColumn("_value", F.struct("terms", "times")).drop("terms", "times"), "_value", _index(self.shared),
-            "at array<int>, times array<double>, norms array<double>",
-        )
+        counted = with_term_counts(packed.select(*dict.fromkeys([text, fold, "_targets", "_numeric"])), text)
         value = F.struct("at", "times", "norms", F.col("_numeric").alias("numeric"), F.col("_targets").alias("targets"), F.col(fold).cast("int").alias("fold"))
-        self.rows = placed.withColumn("_value", value).drop("at", "times", "norms", "_numeric", "_targets")
-        packed = self.rows.select(F.col("_value").alias("value")).mapInArrow(_pack(self.shared), ", ".join(f"{c} binary" for c in LAYOUT))
+        candidates, rest = frequent_terms(with_term_counts(df.select(text), text), CANDIDATES * size, min_df)
+        drafts = self.drafted(counted, value, candidates)
+        try:
+            n = [self.per_fold[k]["n"] if k in self.per_fold else 0 for k in range(folds)]
+            n = np.array([*n, sum(r["n"] for r in self.per_fold.values()) - sum(n)], float)
+            tf, df = np.split(_added(drafts, _tally(folds, len(candidates)), 2 * folds + 2, len(candidates)), 2)
+            space = vocabularies(candidates, tf, df, n, rest, size, min_df)
+            if space is None:
+                drafts.unpersist()
+                space = term_space(counted, fold, folds, n, size, min_df)
+                drafts = self.drafted(counted, value, candidates := space.terms)
+            # the last "model" has the terms of all others, for the preconditioner
+            self.space = Space(space.terms, np.vstack([space.weights, space.weights.max(0, initial=0)]))
+            self.width = len(self.space.terms) + len(numeric)
+            self.shared = spark.sparkContext.broadcast(self.space)
+            places = pc.fill_null(pc.index_in(candidates, value_set=space.terms), -1).to_numpy(zero_copy_only=False)
+            pack = _pack(spark.sparkContext.broadcast((self.space, places)))
+            self.blocks = drafts.mapInArrow(pack, ", ".join(f"{c} binary" for c in LAYOUT)).persist()
+            self.blocks.count()
+        finally:
+            drafts.unpersist()
+        self.rows = _placed(with_term_counts(packed, text, keep=True), self.shared).withColumn("_value", value).drop("at", "times", "norms", "_numeric", "_targets")
+
+    def drafted(self, counted: DataFrame, value: Column, candidates: pa.Array) -> DataFrame:
+        """Drafts of all rows with the terms that are among ``candidates``, persisted."""
+        context = counted.sparkSession.sparkContext
+        shared = context.broadcast(Space(candidates, np.zeros((0, len(candidates)))))
+        drafts = _placed(counted, shared).select(value.alias("value")).mapInArrow(_draft(shared), ", ".join(f"{c} binary" for c in DRAFT))
         # the join before may leave few partitions; every pass should use all cores
-        self.blocks = packed.repartition(spark.sparkContext.defaultParallelism).persist()
+        return drafts.repartition(context.defaultParallelism).persist()
 
     def close(self) -> None:
         """Frees the blocks. The space stays, since rows to predict are read later: an executor may
         hold on to a broadcast whose file has gone."""
         self.blocks.unpersist()
 
-    def summed(self, add: Callable[[Packed, np.ndarray], None], count: int, width: int) -> np.ndarray:
+    def summed(self, add: Callable[[Packed, np.ndarray], None], count: int, width: int, order: str = "C") -> np.ndarray:
         """``count`` vectors of ``width`` entries, the sums over all blocks of what ``add`` adds for a block of rows.
 
-        Tasks add up their own blocks; the sums are then added by pieces of ``BLOCK`` entries.
+        Tasks add up their own blocks, in an array of this ``order``; the sums are then added by pieces of ``BLOCK`` entries.
         """
         shared = self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((count, width))
+            total = np.zeros((count, width), order=order)
             for batch in batches:
                 for at in range(batch.num_rows):
                     add(Packed(batch, at, shared.value), total)
-            pieces = [(r, b, total[r, b : b + BLOCK]) for r in range(count) for b in range(0, width, BLOCK) if total[r, b : b + BLOCK].any()]
-            if pieces:
-                r, b, x = zip(*pieces, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(b, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["r", "b", "x"])
-
-        sent = self.blocks.mapInArrow(run, "r int, b int, x array<double>")
-        added = sent.groupBy("r", "b").agg(Summarizer.sum(array_to_vector("x")).alias("x"))
-        found = added.select("r", "b", vector_to_array("x").alias("x")).toArrow()
-        out = np.zeros((count, width))
-        for r, b, x in zip(*(found.column(c) for c in "rbx"), strict=True):
-            out[r.as_py(), b.as_py() : b.as_py() + BLOCK] = x.values.to_numpy(zero_copy_only=False)
-        return out
+            yield from _pieces(np.ascontiguousarray(total))
+
+        return _added(self.blocks, run, count, width)
 
     def moments(self) -> None:
         """Per model: rows, means of columns and targets, squares of columns, products with targets."""
@@ -314,30 +426,45 @@ class Solve:
         return found - (self.n[:, None] * along)[:, :, None] * self.means[:, None] + self.alpha * vectors
 
     def prepare(self) -> None:
-        """The preconditioner: which columns are taken together, and the inverse of their products over all rows."""
-        size, weights = len(self.space.terms), self.space.weights.max(0)
-        places = np.sort(np.argsort(-self.diagonal[:, :size].max(0), kind="stable")[:CORE])
-        count = len(places) + self.width - size
+        """The preconditioner: directions in which all rows vary most, and how much they do.
 
-        def add(block: Packed, total: np.ndarray) -> None:
-            x = np.hstack([block.columns(places, weights), np.ones((block.n, 1))])
-            total += x.T @ x
-
-        sums = self.summed(add, count + 1, count + 1)
-        products = sums[:count, :count] - np.outer(sums[count, :count], sums[count, :count]) / sums[count, count]
-        scale = 1 / np.sqrt(np.diag(products) + self.alpha)
-        values, vectors = np.linalg.eigh((products + self.alpha * np.eye(count)) * np.outer(scale, scale))
-        # rounding may leave an eigenvalue at or under 0, which a preconditioner must not have
-        values = np.maximum(values, 1e-12 * values[-1])
-        self.core = np.concatenate([places, np.arange(size, self.width)])
-        self.core_inverse = (vectors / values) @ vectors.T * np.outer(scale, scale)
+        Rows are taken with the greatest weight of each term. Numeric columns are made as short as
+        the text could be, or one of them would hide the others.
+        """
+        size, whole = len(self.space.terms), self.folds
+        n = sum(r["n"] for r in self.per_fold.values())
+        self.scale = np.ones(self.width)
+        self.scale[size:] = np.minimum(1, np.sqrt(n / self.diagonal[:, size:].max(0)))
+        count, rng = min(SKETCH, self.width), np.random.default_rng(0)
+        given, found, total = rng.normal(size=(count, self.width)), np.zeros((count, self.width)), None
+        for start in range(0, count, TOGETHER):
+            many = min(TOGETHER, count - start)
+            sent = self.rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray((given[start : start + many] * self.scale).T))
+
+            def add(block: Packed, total: np.ndarray, sent=sent, many=many) -> None:
+                block.add_products(sent.value, whole, total[:many].T)
+                block.add_rows(np.ones((block.n, 1)), [whole], total[many:])
+
+            sums = self.summed(add, many + 1, self.width, order="F")
+            found[start : start + many], total = sums[:many] * self.scale, sums[many] * self.scale
+            sent.unpersist()
+        found -= np.outer(given @ total / n, total) if count else 0
+        values, vectors = np.linalg.eigh((given @ found.T + found @ given.T) / 2)
+        kept = values > 1e-11 * values[-1:]
+        roots = (vectors[:, kept] / np.sqrt(values[kept])).T @ found
+        values, vectors = np.linalg.eigh(roots @ roots.T)
+        some = values > 1e-11 * values[-1:]
+        self.directions = (vectors[:, some] / np.sqrt(values[some])).T @ roots
+        # beyond the directions as much as in the least of them, or nothing if they are all there are
+        beyond = values[some][0] if some.any() and kept.all() else 0.0
+        self.shrink = (beyond + self.alpha) / (values[some] + self.alpha) - 1
         numeric = np.ones((self.folds, self.width - size), bool)
-        self.core_known = np.hstack([self.space.weights[:, places] > 0, numeric]).astype(float)[:, None]
+        self.known = np.hstack([self.space.weights[:whole] > 0, numeric]).astype(float)[:, None]
 
     def preconditioned(self, r: np.ndarray) -> np.ndarray:
-        z = r / self.diagonal[:, None]
-        z[:, :, self.core] = (r[:, :, self.core] * self.core_known) @ self.core_inverse * self.core_known
-        return z
+        z = (r * self.known * self.scale).reshape(-1, self.width)
+        z += (z @ self.directions.T * self.shrink) @ self.directions
+        return z.reshape(r.shape) * self.scale * self.known
 
     def solve(self) -> None:
         """Conjugate gradients, all models side by side; a model that is done takes no further steps."""
