@@ -415,6 +415,28 @@ def test_forest_takes_few_jobs_and_splits_large_nodes_alike(spark, monkeypatch):
     assert ((got[0]["y_pred"] - got[0]["y"]) ** 2).mean() < got[0]["y"].var() / 4
 
 
+def test_forest_of_rows_that_fit_shuffles_no_bags(spark, monkeypatch):
+    monkeypatch.setattr(forest, "_bags", None)  # a row for each tree that has it
+    monkeypatch.setattr(forest, "_fallen", None)
+    rows = spark.range(300).select(F.col("id").alias("k"), F.expr("id * 7 % 31").cast("double").alias("x"))
+    df = learn.assemble(rows.withColumn("y", F.col("x") * F.col("x")), ["x"])
+    got = learn.apply_models(df, learn.fit_forest(df, "features", ["y"], trees=10, key=["k"])).toPandas()
+    assert len(got) == 300 and (got["y_pred"] - got["y"]).abs().mean() < 20
+
+
+def test_forest_grows_alike_with_few_nodes_at_a_time_and_few_rows_a_node(monkeypatch):
+    rng = np.random.default_rng(3)
+    bins, w = rng.integers(0, 32, (3000, 4)).astype(np.int8), rng.integers(1, 4, 3000).astype(float)
+    y = np.round(rng.normal(size=3000) * 4096) / 4096
+    y[:500] = 0.5
+    trees = []
+    for nodes, few in ((1 << 20, 0), (2048, 12), (7, 12), (7, 0), (2048, 1 << 20)):
+        monkeypatch.setattr(forest, "NODES", nodes)
+        monkeypatch.setattr(forest, "FEW", few)
+        trees.append(forest.grow(bins, y, w, 30))
+    assert all(np.array_equal(a, b) for other in trees[1:] for a, b in zip(trees[0], other, strict=True))
+
+
 def test_forest_grows_to_single_rows():
     y = np.array([3.0, 1.0, 2.0, 2.0])
     feature, cut, left, value = forest.grow(np.array([[0, 1], [1, 0], [2, 0], [2, 1]]), y, np.array([1.0, 2.0, 1.0, 1.0]), 30)
